@@ -10,6 +10,7 @@ def local_session(cpus: str = "8") -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("wattframe")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_LIMIT = 64 * 1024 * 1024
 SINGLE_TASK_LIMIT = 128 * 1024 * 1024
+MAX_PARTITIONS = 1_000_000  # beyond it the estimate is a placeholder, not a size
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -29,6 +30,17 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     return F.broadcast(df) if is_small(df, limit) else df
 
 
+def partition_count(df: DataFrame, size: int = SINGLE_TASK_LIMIT) -> list[int]:
+    """How many partitions of ``size`` the rows need, as arguments for a repartition.
+
+    Empty while the session's own number is enough; Spark may then merge small ones.
+    """
+    expected = estimated_bytes(df)
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = 0 if expected is None else -(-expected // size)
+    return [needed] if configured < needed <= MAX_PARTITIONS else []
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the cluster's checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 # The collation of identifiers and units, and the accepted number texts.
 KEY_COLLATION = "UNICODE_CI"
-NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER_LETTERS = "^[-+.eE0-9]+$"
 INFINITY_PATTERN = r"^[+-]?(?i:inf|infinity)$"
 NAN_PATTERN = r"^[+-]?(?i:nan)$"
 
@@ -19,11 +19,11 @@ def key(column: Column | str) -> Column:
 def number_or_zero(raw: Column) -> Column:
     """Read a number; bad, blank or missing text counts as 0.0.
 
-    The patterns keep out what a plain cast would also take: outer blanks, type
+    The letters keep out what a plain cast would also take: outer blanks, type
     suffixes such as ``1d`` and hexadecimal floats.
     """
     return (
-        F.when(raw.rlike(NUMBER_PATTERN), raw.try_cast("double"))
+        F.when(raw.rlike(NUMBER_LETTERS), F.coalesce(raw.try_cast("double"), F.lit(0.0)))
         .when(raw.rlike(INFINITY_PATTERN) & raw.startswith("-"), F.lit(float("-inf")))
         .when(raw.rlike(INFINITY_PATTERN), F.lit(float("inf")))
         .when(raw.rlike(NAN_PATTERN), F.lit(float("nan")))

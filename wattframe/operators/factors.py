@@ -84,7 +84,7 @@ def source_or_default(t: Tables, source: str) -> str:
 def resolve_sources(requests: DataFrame, factors: DataFrame, source: str = "source") -> DataFrame:
     """Add ``used_source`` to many requests at once, by the rule of ``source_or_default``."""
     known = factors.select(F.col("source").alias("used_source")).distinct()
-    return requests.join(known, F.col(source) == F.col("used_source"), "left").withColumn(
+    return requests.join(broadcast_if_small(known), F.col(source) == F.col("used_source"), "left").withColumn(
         "used_source", F.coalesce("used_source", F.lit(DEFAULT_SOURCE))
     )
 

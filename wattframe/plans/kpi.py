@@ -14,7 +14,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wattframe.functions.instants import instant, time_span
 from wattframe.functions.intervals import parse_interval, whole_buckets, with_bucket
 from wattframe.functions.text import key
-from wattframe.operators.energy import bucket_energy, mix_shares, series_energy
+from wattframe.operators.energy import (
+    bucket_energy,
+    mix_shares,
+    sample_energy,
+    series_energy,
+)
 from wattframe.operators.factors import factors_of
 from wattframe.operators.series import (
     GRID_REFERENCE,
@@ -57,7 +62,7 @@ def _result(
 
 def _total(t: Tables, role: Column, name: str, from_: Instant, to: Instant) -> DataFrame:
     span = time_span(from_, to)
-    energy = series_energy(t, choose(t, role), *span).agg(F.sum("kwh").alias("kwh"))
+    energy = sample_energy(t, choose(t, role), *span).agg(F.sum("kwh").alias("kwh"))
     return _result(t, energy, F.coalesce("kwh", F.lit(0.0)), name, KWH, span)
 
 
@@ -98,6 +103,7 @@ def autarky(t: Tables, from_: Instant = None, to: Instant = None) -> DataFrame:
 
 
 def _ordered(df: DataFrame, *columns: str) -> DataFrame:
+    """By bucket first; the other columns let a sort split a bucket with many rows."""
     return df.orderBy(*(F.col(c).asc_nulls_last() for c in columns))
 
 
@@ -110,15 +116,7 @@ def _grid_energy(t: Tables, interval: str, span: tuple, *by: str) -> DataFrame:
     )
 
 
-def grid_consumption(
-    t: Tables, interval: str, from_: Instant = None, to: Instant = None
-) -> DataFrame:
-    """Carrier shares of the grid mix beside the energy drawn from the grid per bucket.
-
-    Buckets with a mix but no grid reference keep their shares and have NULL elsewhere.
-    """
-    parse_interval(interval)
-    span = time_span(from_, to)
+def _grid_parts(t: Tables, interval: str, span: tuple) -> DataFrame:
     drawn = _grid_energy(t, interval, span, "unit").select(
         F.col("bucket").alias("drawn_bucket"),
         F.col("kwh").alias("bucket_consumption"),
@@ -127,24 +125,29 @@ def grid_consumption(
     joined = mix_shares(t, interval, *span).join(
         drawn, F.col("bucket") == F.col("drawn_bucket"), "left"
     )
-    rows = joined.select(
+    return joined.select(
         F.col("drawn_bucket").alias("bucket"),
         "bucket_consumption",
         "consumption_unit",
         F.col("share").alias("carrier_proportion"),
         "carrier_name",
     )
-    return _ordered(rows, "bucket", "carrier_name")
 
 
-def local_production(
+def grid_consumption(
     t: Tables, interval: str, from_: Instant = None, to: Instant = None
 ) -> DataFrame:
-    """Energy of local producers per bucket, carrier and unit; negative power counts as 0."""
+    """Carrier shares of the grid mix beside the energy drawn from the grid per bucket.
+
+    Buckets with a mix but no grid reference keep their shares and have NULL elsewhere.
+    """
     parse_interval(interval)
-    span = time_span(from_, to)
+    return _ordered(_grid_parts(t, interval, time_span(from_, to)), "bucket", "carrier_name")
+
+
+def _local_parts(t: Tables, interval: str, span: tuple) -> DataFrame:
     series = choose_with_carrier(t, local_producer(), "unit")
-    rows = (
+    return (
         series.describe(bucket_energy(t, series, interval, *span))
         .groupBy("bucket", "carrier_name", "unit")
         .agg(F.sum("kwh_used").alias("bucket_consumption"))
@@ -156,13 +159,22 @@ def local_production(
             "carrier_name",
         )
     )
-    return _ordered(rows, "bucket")
+
+
+def local_production(
+    t: Tables, interval: str, from_: Instant = None, to: Instant = None
+) -> DataFrame:
+    """Energy of local producers per bucket, carrier and unit; negative power counts as 0."""
+    parse_interval(interval)
+    return _ordered(_local_parts(t, interval, time_span(from_, to)), "bucket", "carrier_name")
 
 
 def consumption_by_carrier(
     t: Tables, interval: str, from_: Instant = None, to: Instant = None
 ) -> DataFrame:
-    """Grid energy split by the grid mix, then local production, per bucket and carrier."""
+    """Grid energy split by the grid mix, and local production, per bucket and carrier."""
+    parse_interval(interval)
+    span = time_span(from_, to)
 
     def energy(parts: DataFrame, local: bool) -> DataFrame:
         share = F.coalesce("carrier_proportion", F.lit(1.0))
@@ -174,8 +186,8 @@ def consumption_by_carrier(
             F.lit(local).alias("local"),
         )
 
-    grid = energy(grid_consumption(t, interval, from_, to), False)
-    return grid.unionByName(energy(local_production(t, interval, from_, to), True))
+    grid = energy(_grid_parts(t, interval, span), False)
+    return grid.unionByName(energy(_local_parts(t, interval, span), True))
 
 
 def local_consumption(
@@ -201,7 +213,23 @@ def local_consumption(
             "carrier_name",
         )
     )
-    return _ordered(rows, "bucket")
+    return _ordered(rows, "bucket", "consumer_name")
+
+
+def _scope_one(t: Tables, interval: str, span: tuple, factors: DataFrame) -> DataFrame:
+    series = choose_with_carrier(t, local_producer(), "identifier")
+    return (
+        series.describe(bucket_energy(t, series, interval, *span))
+        .groupBy("bucket", "carrier", "carrier_name", "identifier")
+        .agg(F.sum("kwh_used").alias("kwh_used"))
+        .join(factors.distinct(), "carrier")
+        .select(
+            "bucket",
+            (F.col("kwh_used") * F.col("factor")).alias("value"),
+            "carrier_name",
+            F.lit(EMISSION_UNIT).alias("unit"),
+        )
+    )
 
 
 def scope_one_emissions(
@@ -213,22 +241,27 @@ def scope_one_emissions(
 ) -> DataFrame:
     """Emissions of local producers, one row per bucket, producer and factor."""
     parse_interval(interval)
-    span = time_span(from_, to)
-    series = choose_with_carrier(t, local_producer(), "identifier")
-    factors = factors_of(t, source).distinct()
-    rows = (
-        series.describe(bucket_energy(t, series, interval, *span))
-        .groupBy("bucket", "carrier", "carrier_name", "identifier")
-        .agg(F.sum("kwh_used").alias("kwh_used"))
+    rows = _scope_one(t, interval, time_span(from_, to), factors_of(t, source))
+    return _ordered(rows, "bucket", "carrier_name", "value")
+
+
+def _scope_two(
+    t: Tables, interval: str, span: tuple, factors: DataFrame, weight: Column
+) -> DataFrame:
+    drawn = _grid_energy(t, interval, span, "carrier").select(
+        F.col("bucket").alias("drawn_bucket"), "kwh_used"
+    )
+    return (
+        mix_shares(t, interval, *span)
+        .join(drawn, F.col("bucket") == F.col("drawn_bucket"), "left")
         .join(factors, "carrier")
         .select(
-            "bucket",
-            (F.col("kwh_used") * F.col("factor")).alias("value"),
+            F.col("drawn_bucket").alias("bucket"),
+            (F.col("kwh_used") * F.col("share") * weight).alias("value"),
             "carrier_name",
             F.lit(EMISSION_UNIT).alias("unit"),
         )
     )
-    return _ordered(rows, "bucket")
 
 
 def scope_two_emissions(
@@ -246,23 +279,9 @@ def scope_two_emissions(
     without grid reference have NULL bucket and value.
     """
     parse_interval(interval)
-    span = time_span(from_, to)
-    drawn = _grid_energy(t, interval, span, "carrier").select(
-        F.col("bucket").alias("drawn_bucket"), "kwh_used"
-    )
     weight = F.col("factor") if apply_factor else F.lit(1.0)
-    rows = (
-        mix_shares(t, interval, *span)
-        .join(drawn, F.col("bucket") == F.col("drawn_bucket"), "left")
-        .join(factors_of(t, source), "carrier")
-        .select(
-            F.col("drawn_bucket").alias("bucket"),
-            (F.col("kwh_used") * F.col("share") * weight).alias("value"),
-            "carrier_name",
-            F.lit(EMISSION_UNIT).alias("unit"),
-        )
-    )
-    return _ordered(rows, "bucket")
+    rows = _scope_two(t, interval, time_span(from_, to), factors_of(t, source), weight)
+    return _ordered(rows, "bucket", "carrier_name")
 
 
 def total_co2_emissions(
@@ -273,9 +292,12 @@ def total_co2_emissions(
     source: str = DEFAULT_SOURCE,
 ) -> DataFrame:
     """Sum of scope one and scope two emissions."""
+    parse_interval(interval)
     span = time_span(from_, to)
-    parts = scope_one_emissions(t, interval, *span, source).select("value")
-    parts = parts.unionByName(scope_two_emissions(t, interval, *span, source).select("value"))
+    factors = factors_of(t, source)
+    parts = _scope_one(t, interval, span, factors).unionByName(
+        _scope_two(t, interval, span, factors, F.lit(1.0))
+    )
     value = F.coalesce("value", F.lit(0.0))
     total = parts.agg(F.sum(value).alias("value"))
     return _result(t, total, value, "total_co2_emissions", EMISSION_UNIT, span)

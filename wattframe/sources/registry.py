@@ -51,13 +51,12 @@ def normalised(inputs: DataFrame) -> DataFrame:
         F.size(missing) > 0,
         F.raise_error(F.format_string("series %s lacks %s", "identifier", F.array_join(missing, ", "))),
     ).otherwise(F.lower("identifier"))
-    return inputs.select(
-        checked.alias("identifier"),
-        F.lower("unit").alias("unit"),
-        "carrier",
-        "consumption",
-        "description",
-        F.coalesce("local", F.lit(False)).alias("local"),
+    return inputs.withColumns(
+        {
+            "identifier": checked,
+            "unit": F.lower("unit"),
+            "local": F.coalesce("local", F.lit(False)),
+        }
     )
 
 
@@ -68,14 +67,13 @@ def new_series(inputs: DataFrame, meta: DataFrame, carriers: DataFrame) -> DataF
     for one pair one is kept, the same one on every run.
     """
     known = meta.select(key("identifier").alias("_i"), key("unit").alias("_u"))
-    fresh = (
+    attributes = ["identifier", "unit", "carrier_id", "consumption", "description", "local"]
+    first = (
         inputs.join(_by_name(carriers), "carrier")
-        .withColumns({"_i": key("identifier"), "_u": key("unit")})
-        .join(known, ["_i", "_u"], "left_anti")
+        .groupBy(key("identifier").alias("_i"), key("unit").alias("_u"))
+        .agg(F.min(F.struct(*attributes)).alias("row"))
     )
-    attributes = ["identifier", "unit", "carrier_id", "consumption", "description", "local"]
-    first = fresh.groupBy("_i", "_u").agg(F.min(F.struct(*attributes)).alias("row"))
-    rows = first.select(
+    rows = first.join(known, ["_i", "_u"], "left_anti").select(
         "row.identifier",
         "row.unit",
         F.col("row.carrier_id").alias("carrier"),
@@ -93,7 +91,7 @@ def resolved(inputs: DataFrame, meta: DataFrame) -> DataFrame:
         F.col("id").alias("meta_id"), key("identifier").alias("_i"), key("unit").alias("_u")
     )
     keyed = inputs.withColumns({"_i": key("identifier"), "_u": key("unit")})
-    return keyed.join(ids, ["_i", "_u"], "left").drop("_i", "_u")
+    return keyed.join(broadcast_if_small(ids), ["_i", "_u"], "left").drop("_i", "_u")
 
 
 def registered_series(inputs: DataFrame, meta: DataFrame, carriers: DataFrame) -> DataFrame:

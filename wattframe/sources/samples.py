@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from wattframe.functions.instants import EPOCH, require_utc
-from wattframe.functions.sizes import broadcast_if_small
+from wattframe.functions.sizes import broadcast_if_small, partition_count
 from wattframe.operators.series import in_range
 from wattframe.tables import SAMPLE_SCHEMA
 
@@ -22,10 +23,12 @@ class DuplicateSamples(ValueError):
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """The stored sample table, partitioned by month; empty if nothing was written yet."""
     require_utc(spark)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    try:
+        return spark.read.schema(STORED_SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], STORED_SCHEMA)
-    return spark.read.schema(STORED_SCHEMA).parquet(path)
 
 
 def has_samples(ts: DataFrame) -> bool:
@@ -52,7 +55,7 @@ def duplicate_samples(batch: DataFrame, existing: DataFrame) -> DataFrame:
     copies = keys.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("copies"))
     clashes = (
         existing.select(*KEYS)
-        .join(broadcast_if_small(keys), KEYS, "left_semi")
+        .join(broadcast_if_small(copies.select(*KEYS)), KEYS, "left_semi")
         .distinct()
         .withColumn("stored", F.lit(True))
     )
@@ -89,9 +92,9 @@ def stored_form(batch: DataFrame) -> DataFrame:
     message = F.format_string("repeated sample: series %s at %s", *KEYS)
     repeated = (F.col("copy") > 1) & F.col("meta_id").isNotNull()
     value = F.when(repeated, F.raise_error(message)).otherwise(F.col("series_value"))
+    ranges = rows.repartitionByRange(*partition_count(batch), *order)
     return (
-        rows.repartitionByRange(*order)
-        .withColumn("copy", copy)
+        ranges.withColumn("copy", copy)
         .select(
             F.xxhash64(*KEYS).alias("id"),
             "series_timestamp",

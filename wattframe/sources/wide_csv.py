@@ -7,16 +7,21 @@ from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from wattframe.functions.sizes import shared_folder
 from wattframe.functions.text import number_or_zero
 from wattframe.sources.registry import normalised, registered_series, resolved, series_inputs
 from wattframe.sources.samples import append_samples, has_samples, read_samples
+from wattframe.tables import local_table
 
 # Fixed value: how the time column is written, with a numeric offset.
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ssxxx"
 
+ENTRY_SCHEMA = T.StructType(
+    [T.StructField("column", T.StringType()), T.StructField("meta_id", T.IntegerType())]
+)
+
 
 @dataclass(frozen=True)
 class ImportSpec:
@@ -106,16 +111,18 @@ def import_wide(
     inputs = series_inputs(spark, used)
     registry = registered_series(inputs, meta, carriers)
     keyed = normalised(inputs.withColumn("column", F.col("identifier")))
-    entries = resolved(keyed, registry)
-    unresolved = [row.identifier for row in entries.filter("meta_id is null").collect()]
+    # as many rows as the spec lists, so they fit where the spec does
+    entries = resolved(keyed, registry).select("column", "meta_id").collect()
+    unresolved = [row.column for row in entries if row.meta_id is None]
     if unresolved:
         raise ValueError(f"series without a registered carrier: {unresolved}")
+    ids = local_table(spark, entries, ENTRY_SCHEMA)
     columns = sorted({e["identifier"] for e in used})
     cells = reduce(
         DataFrame.unionByName,
         (unpivot_wide(wide, spec.time_column, columns) for wide in files.values()),
     )
-    samples = cells.join(F.broadcast(entries.select("column", "meta_id")), "column").select(
+    samples = cells.join(F.broadcast(ids), "column").select(
         "meta_id",
         time_of(F.col("time")).alias("series_timestamp"),
         number_or_zero(F.col("raw")).alias("series_value"),
