@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from wattframe.functions.sizes import is_small
+
 BUCKETS = 1024
 BLOCK = 100_000
+SMALL = 1024 * 1024
 
 
 def with_next_ids(rows: DataFrame, existing: DataFrame) -> DataFrame:
@@ -14,17 +17,22 @@ def with_next_ids(rows: DataFrame, existing: DataFrame) -> DataFrame:
     Equal rows are counted before the shuffle and unfolded again afterwards, block by
     block; distinct rows are numbered within hash buckets and shifted by the sizes of
     the buckets before. So no task sorts more than its buckets, a row repeated many
-    times weighs nothing, and ids depend on the data only, not on its partitioning.
+    many times weighs nothing, and ids depend on the data only, not on its partitioning.
+    Rows that are estimated to be few are numbered in one task instead.
     """
     columns = rows.columns
+    id_type = existing.schema["id"].dataType
+    highest = F.lit(existing.agg(F.max("id")).first()[0] or 0)
+    if is_small(rows, SMALL):
+        number = F.row_number().over(Window.orderBy(*columns)) + highest
+        return rows.select(number.cast(id_type).alias("id"), *columns)
     counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
     counted = counted.withColumn("_bucket", F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)))
     sizes = counted.groupBy("_bucket").agg(F.sum("_copies").alias("_size"))
-    taken = existing.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("_size"))
-    sizes = sizes.unionByName(taken.withColumn("_bucket", F.lit(-1).cast("bigint")))
-    # one row per bucket, so never more than BUCKETS + 1 rows
+    # one row per bucket, so never more than BUCKETS rows
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("_bucket", F.sum("_size").over(earlier).alias("_shift"))
+    shift = highest + F.coalesce(F.sum("_size").over(earlier), F.lit(0))
+    shifts = sizes.select("_bucket", shift.alias("_shift"))
     within = (
         Window.partitionBy("_bucket")
         .orderBy(*columns)
@@ -44,5 +52,4 @@ def with_next_ids(rows: DataFrame, existing: DataFrame) -> DataFrame:
             ),
         )
     )
-    id_type = existing.schema["id"].dataType
     return numbered.select(F.col("_id").cast(id_type).alias("id"), *columns)

@@ -116,11 +116,12 @@ def append_samples(batch: DataFrame, path: str, on_duplicate: str = "error") ->
     if on_duplicate not in ("error", "skip"):
         raise ValueError(f"unknown duplicate handling: {on_duplicate!r}")
     existing = read_samples(batch.sparkSession, path)
-    if has_samples(existing):
+    stored = has_samples(existing)
+    if stored:
         existing = within_span(existing, batch)
     if on_duplicate == "skip":
         batch = new_samples(batch, existing)
-    else:
+    elif stored:
         keys = batch.select(*KEYS)
         clash = existing.select(*KEYS).join(broadcast_if_small(keys), KEYS, "left_semi").first()
         if clash is not None:

@@ -120,11 +120,19 @@ def import_wide(
     columns = sorted({e["identifier"] for e in used})
     cells = reduce(
         DataFrame.unionByName,
-        (unpivot_wide(wide, spec.time_column, columns) for wide in files.values()),
+        (
+            # parsed before the unpivot, once per line and not once per series
+            unpivot_wide(
+                wide.withColumn(spec.time_column, time_of(F.col(f"`{spec.time_column}`"))),
+                spec.time_column,
+                columns,
+            )
+            for wide in files.values()
+        ),
     )
     samples = cells.join(F.broadcast(ids), "column").select(
         "meta_id",
-        time_of(F.col("time")).alias("series_timestamp"),
+        F.col("time").alias("series_timestamp"),
         number_or_zero(F.col("raw")).alias("series_value"),
     )
     return WideImport(registry, samples, skipped)
