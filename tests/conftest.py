@@ -1,0 +1,70 @@
+"""Shared session and small tables."""
+
+from __future__ import annotations
+
+import sys
+import tempfile
+from datetime import datetime, timedelta
+from pathlib import Path
+
+import pytest
+
+ROOT = Path(__file__).resolve().parents[1]
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
+
+from pyspark.sql import types as T
+
+from session import local_session
+from wattframe.sources.event_log import sample_registry
+from wattframe.tables import Tables, local_table, seed_carriers, seed_factors
+
+DAY = datetime(2024, 1, 10)
+STORED = T.StructType(
+    [
+        T.StructField("id", T.LongType()),
+        T.StructField("series_timestamp", T.TimestampType()),
+        T.StructField("series_value", T.DoubleType()),
+        T.StructField("meta_id", T.IntegerType()),
+        T.StructField("created_at", T.TimestampType()),
+        T.StructField("updated_at", T.TimestampType()),
+    ]
+)
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return local_session()
+
+
+@pytest.fixture
+def folder():
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
+def at(minutes: float) -> datetime:
+    """A moment some minutes into the test day."""
+    return DAY + timedelta(minutes=minutes)
+
+
+def samples(spark, rows):
+    """A sample table from (meta_id, minutes into the test day, value)."""
+    now = datetime(2024, 2, 1)
+    full = [(i, at(m), float(v), series, now, now) for i, (series, m, v) in enumerate(rows)]
+    return local_table(spark, full, STORED)
+
+
+@pytest.fixture
+def tables(spark):
+    """Tables over the sample registry, from sample rows and optional other tables."""
+
+    def make(rows, meta=None, factors=None, weighting="auto", chunk="1hour"):
+        return Tables(
+            samples(spark, rows),
+            sample_registry(spark) if meta is None else meta,
+            seed_carriers(spark),
+            seed_factors(spark) if factors is None else factors,
+            weighting,
+            chunk,
+        )
+
+    return make

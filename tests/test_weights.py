@@ -1,0 +1,106 @@
+"""The weight of a sample, in both ways of computing it."""
+
+from __future__ import annotations
+
+import random
+from datetime import timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import at, samples
+from wattframe.operators.series import in_range
+from wattframe.operators.weights import sample_hours, sample_neighbours
+from wattframe.sources.event_log import event_tables
+
+MODES = ["series", "chunked"]
+
+
+def weights(df, mode, chunk="1hour"):
+    rows = sample_hours(df, mode, chunk).orderBy("meta_id", "series_timestamp").collect()
+    return [round(r.hours, 9) for r in rows]
+
+
+def expected(*hours):
+    return [round(h, 9) for h in hours]
+
+
+@pytest.mark.parametrize("mode", MODES)
+@pytest.mark.parametrize(
+    "minutes, hours",
+    [
+        ([0], [0.25]),
+        ([0, 5], [1 / 12, 1 / 12]),
+        ([0, 15], [0.25, 0.25]),
+        ([0, 60], [0.25, 0.25]),
+        ([0, 5, 15, 120], [1 / 12, 1 / 12, 1 / 6, 0.25]),
+        # the first two lie on both sides of a chunk end
+        ([59, 61, 62], [1 / 30, 1 / 30, 1 / 60]),
+        ([59.5, 60, 1440], [1 / 120, 1 / 120, 0.25]),
+    ],
+)
+def test_one_series(spark, mode, minutes, hours):
+    df = samples(spark, [(1, m, 1.0) for m in minutes])
+    assert weights(df, mode) == expected(*hours)
+
+
+@pytest.mark.parametrize("mode", MODES)
+def test_the_first_sample_in_range_looks_ahead(spark, mode):
+    df = samples(spark, [(1, m, 1.0) for m in [0, 5, 15, 120]])
+    span = (at(5).replace(tzinfo=timezone.utc), at(500).replace(tzinfo=timezone.utc))
+    assert weights(in_range(df, *span), mode) == expected(1 / 6, 1 / 6, 0.25)
+
+
+@pytest.mark.parametrize("mode", MODES)
+def test_series_do_not_mix_and_null_series_drop(spark, mode):
+    df = samples(spark, [(1, 0, 1), (2, 1, 1), (1, 5, 1), (2, 11, 1), (None, 2, 1)])
+    assert weights(df, mode) == expected(1 / 12, 1 / 12, 1 / 6, 1 / 6)
+
+
+@pytest.mark.parametrize("chunk", ["1min", "15min", "6hour", "1day", "1month"])
+def test_chunks_change_nothing(spark, chunk):
+    """One long dense series among sparse ones, with gaps of every kind."""
+    rng = random.Random(7)
+    rows, minute = [], 0.0
+    for _ in range(1500):
+        minute += rng.choice([0.01, 1, 5, 14.99, 15, 15.01, 60, 700])
+        rows.append((1, round(minute, 4), 1.0))
+    rows += [(s, rng.randrange(0, 100000), 1.0) for s in range(2, 40)]
+    df = samples(spark, rows)
+    assert weights(df, "chunked", chunk) == weights(df, "series")
+    by_id = [
+        {r.id: (r.before, r.after) for r in sample_neighbours(df, mode, chunk).collect()}
+        for mode in MODES
+    ]
+    assert by_id[0] == by_id[1]
+
+
+def test_both_ways_agree_on_events(spark):
+    ts = event_tables(spark, "/root/testdata/sf0.1").ts.select("id", "meta_id", "series_timestamp")
+    one = sample_hours(ts, "series").withColumnRenamed("hours", "a")
+    two = sample_hours(ts, "chunked").select("id", F.col("hours").alias("b"))
+    joined = one.join(two, "id", "full").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("a").eqNullSafe(F.col("b")), 1)).alias("bad")
+    )
+    assert tuple(joined.first()) == (100000, 0)
+
+
+def test_auto_takes_chunks_for_large_tables(spark, monkeypatch):
+    from wattframe.operators import weights as module
+
+    df = samples(spark, [(1, m, 1.0) for m in [0, 5]])
+    assert "chunk" not in sample_hours(df)._jdf.queryExecution().toString()
+    monkeypatch.setattr(module, "SINGLE_TASK_LIMIT", 10)
+    assert "chunk" in sample_hours(df)._jdf.queryExecution().toString()
+
+
+def test_unknown_weighting(spark):
+    with pytest.raises(ValueError):
+        sample_hours(samples(spark, [(1, 0, 1)]), "other")
+
+
+def test_timestamps_without_zone_weigh_the_same(spark):
+    df = samples(spark, [(1, m, 1.0) for m in [0, 5, 15, 120]])
+    plain = df.withColumn("series_timestamp", F.col("series_timestamp").cast("timestamp_ntz"))
+    for mode in MODES:
+        assert weights(plain, mode) == weights(df, mode)
