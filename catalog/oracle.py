@@ -427,3 +427,6 @@ SELECT mid AS meta_id, tm AS series_timestamp, v AS series_value FROM sample"""
 ORACLE["stream_resample"] = f"""{with_tables()}
 SELECT mid AS meta_id, {bucket('1 hour')} AS bucket, round(avg(v), 9) AS mean_value
 FROM sample GROUP BY 1, 2"""
+ORACLE["stream_resample_windowed"] = f"""SELECT * FROM ({ORACLE['stream_resample']})
+WHERE bucket + INTERVAL 1 HOUR <= (
+ SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOUR FROM events)"""

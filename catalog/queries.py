@@ -539,7 +539,24 @@ def stream_prices_watermarked(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stream_resample(spark: SparkSession, folder: str) -> DataFrame:
     place = shared_folder(spark, "stream-means")
-    means = mean_stream.stream_means(sample_stream(spark, folder), "1hour", "2 hours")
-    mean_stream.write_means(means, f"{place}/log", f"{place}/state").awaitTermination()
-    latest = mean_stream.latest_means(spark, f"{place}/log")
-    return without_zone(rounded(latest, MEAN_DIGITS, "mean_value"), "bucket")
+    stream = sample_stream(spark, folder)
+    mean_stream.log_means(stream, "1hour", f"{place}/log", f"{place}/state").awaitTermination()
+    means = mean_stream.logged_means(spark, f"{place}/log")
+    return without_zone(rounded(means, MEAN_DIGITS, "mean_value"), "bucket")
+
+
+@query
+def stream_resample_windowed(spark: SparkSession, folder: str) -> DataFrame:
+    """Closed hours only: those that end before the watermark."""
+    place = shared_folder(spark, "stream-windows")
+    means = mean_stream.windowed_means(sample_stream(spark, folder), "1hour", "2 hours")
+    written = (
+        means.writeStream.format("parquet")
+        .option("path", f"{place}/means")
+        .option("checkpointLocation", f"{place}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    written.awaitTermination()
+    closed = spark.read.parquet(f"{place}/means")
+    return without_zone(rounded(closed, MEAN_DIGITS, "mean_value"), "bucket")

@@ -1,0 +1,30 @@
+"""Every registered query against its SQL, and the entry point."""
+
+from __future__ import annotations
+
+import pytest
+
+import __spark_entry__ as spark_entry
+from check_catalog import connect, differences
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def database():
+    return connect(FOLDER)
+
+
+def test_every_query_has_sql():
+    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+def test_query(spark, database, name):
+    assert differences(spark, database, FOLDER, name) == ""
+
+
+def test_entry(spark):
+    df = spark_entry.entry(spark)
+    assert df.columns == ["bucket", "carrier_name", "value", "unit", "local"]
+    assert df.count() > 0

@@ -12,7 +12,7 @@ BODY_SCHEMA = "timeseries array<struct<timestamp: string, value: double, identif
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """Landed request bodies, one JSON document per file."""
-    return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "body")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "body")
 
 
 def parse_points(bodies: DataFrame, body: str = "body") -> DataFrame:

@@ -5,45 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wattframe.functions.intervals import time_window
+from wattframe.functions.intervals import parse_interval, time_window, with_bucket
 
 
-def stream_means(samples: DataFrame, interval: str, delay: str) -> DataFrame:
-    """Mean per series and bucket of streamed samples, for fixed-width intervals.
+def log_means(samples: DataFrame, interval: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Log sum and number of the samples of each batch per series and bucket.
 
-    The state of a bucket is kept until the watermark passes its end by ``delay``.
-    """
-    window = time_window(F.col("series_timestamp"), interval)
-    return (
-        samples.withWatermark("series_timestamp", delay)
-        .groupBy("meta_id", window.alias("window"))
-        .agg(F.avg("series_value").alias("mean_value"))
-        .select("meta_id", F.col("window")["start"].alias("bucket"), "mean_value")
-    )
-
-
-def write_means(means: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Log the buckets each batch changed; ``latest_means`` reads the current values.
-
-    A batch replaces its own folder, so replaying it changes nothing.
+    Sums add up whatever the order of arrival, so no sample is ever too late, no state
+    is kept, and month and year buckets work as well. A batch replaces its own folder:
+    replaying it changes nothing. Samples that may repeat go through the sample table
+    first, see streaming.prices.
     """
+    step = parse_interval(interval)
 
     def log(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        sums = (
+            with_bucket(batch, step)
+            .groupBy("meta_id", "bucket")
+            .agg(F.sum("series_value").alias("total"), F.count("series_value").alias("samples"))
+        )
+        sums.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
-        means.writeStream.outputMode("update")
-        .foreachBatch(log)
+        samples.writeStream.foreachBatch(log)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def latest_means(spark: SparkSession, path: str) -> DataFrame:
-    """The newest value of every bucket, open buckets included."""
+def logged_means(spark: SparkSession, path: str) -> DataFrame:
+    """Mean per series and bucket over all batches so far."""
     return (
         spark.read.parquet(path)
         .groupBy("meta_id", "bucket")
-        .agg(F.max_by("mean_value", "batch").alias("mean_value"))
+        .agg((F.sum("total") / F.sum("samples")).alias("mean_value"))
+    )
+
+
+def windowed_means(samples: DataFrame, interval: str, delay: str) -> DataFrame:
+    """Mean per series and fixed-width bucket as a stream, for sinks that follow it.
+
+    Spark keeps each bucket until the watermark passes its end; samples older than the
+    newest by more than ``delay`` are then left out. ``log_means`` has no such limit.
+    """
+    window = time_window(F.col("series_timestamp"), interval)
+    return (
+        samples.withWatermark("series_timestamp", delay)
+        .groupBy("meta_id", window.alias("window"))
+        .agg(F.avg("series_value").alias("mean_value"))
+        .select("meta_id", F.col("window")["start"].alias("bucket"), "mean_value")
     )
