@@ -203,6 +203,18 @@ def test_append_and_skip(spark, folder):
         samples.append_samples(batch(spark), path, "replace")
 
 
+def test_only_touched_months_and_series_are_compared(spark, folder):
+    path = f"{folder}/ts"
+    days = [(1, 0, 1), (2, 0, 2), (1, -60 * 24 * 40, 3), (1, -60 * 24 * 400, 4)]
+    samples.append_samples(batch(spark, *days), path)
+    new = batch(spark, (1, 5, 1), (1, -60 * 24 * 401, 1))
+    kept = samples.touched_rows(samples.read_samples(spark, path), new)
+    assert sorted(r.series_value for r in kept.collect()) == [1.0, 4.0]
+    samples.append_samples(new, path)
+    assert samples.read_samples(spark, path).count() == 6
+    assert samples.touched_rows(samples.read_samples(spark, path), new.limit(0)).count() == 0
+
+
 def test_duplicate_report(spark):
     new, old = batch(spark, (1, 0, 1), (1, 0, 2), (2, 0, 1), (3, 0, 1)), batch(spark, (2, 0, 5))
     rows = samples.duplicate_samples(new, old).orderBy("meta_id").collect()

@@ -94,6 +94,19 @@ def test_auto_takes_chunks_for_large_tables(spark, monkeypatch):
     assert "chunk" in sample_hours(df)._jdf.queryExecution().toString()
 
 
+def test_chunks_narrow_for_dense_series(spark, monkeypatch):
+    """A third of all samples in one minute of one series."""
+    from wattframe.operators import weights as module
+
+    rows = [(1, i / 1000, 1.0) for i in range(300)] + [(s, s * 40, 1.0) for s in range(2, 600)]
+    df = samples(spark, rows)
+    for limit, chunk in [(1000, "1day"), (200, "1min"), (299, "1min"), (300, "1day")]:
+        monkeypatch.setattr(module, "ROWS_PER_CHUNK", limit)
+        assert module.fitting_chunk(df) == chunk
+        assert weights(df, "chunked", "auto") == weights(df, "series")
+    assert module.fitting_chunk(df.limit(0)) == "1day"
+
+
 def test_unknown_weighting(spark):
     with pytest.raises(ValueError):
         sample_hours(samples(spark, [(1, 0, 1)]), "other")

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BROADCAST_LIMIT = 64 * 1024 * 1024
+BROADCAST_LIMIT = 32 * 1024 * 1024
 SINGLE_TASK_LIMIT = 128 * 1024 * 1024
 MAX_PARTITIONS = 1_000_000  # beyond it the estimate is a placeholder, not a size
 

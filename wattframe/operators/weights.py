@@ -17,6 +17,9 @@ from wattframe.functions.sizes import SINGLE_TASK_LIMIT, is_small
 MAX_HOURS = 0.25
 MICROS_PER_HOUR = 3.6e9
 
+CHUNKS = ["1day", "1hour", "15min", "1min"]
+ROWS_PER_CHUNK = 5_000_000
+
 
 def _hours_between(start: Column, end: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, T.TimestampNTZType):
@@ -71,6 +74,19 @@ def _neighbours_by_chunk(samples: DataFrame, chunk: str) -> DataFrame:
     )
 
 
+def fitting_chunk(samples: DataFrame) -> str:
+    """The widest chunk in which no series has more samples than a task should sort.
+
+    Counts are combined before they are shuffled. The narrowest chunk needs no count:
+    distinct microseconds bound the samples a series can have in it.
+    """
+    for chunk in CHUNKS[:-1]:
+        sizes = with_bucket(samples, chunk, name="chunk").groupBy("meta_id", "chunk").count()
+        if (sizes.agg(F.max("count")).first()[0] or 0) <= ROWS_PER_CHUNK:
+            return chunk
+    return CHUNKS[-1]
+
+
 def sample_neighbours(
     samples: DataFrame, weighting: str = "auto", chunk: str = "1hour", source: DataFrame | None = None
 ) -> DataFrame:
@@ -78,7 +94,8 @@ def sample_neighbours(
 
     ``weighting`` is ``series`` (one window per series), ``chunked`` (any series length)
     or ``auto``, which takes the first only if the whole ``source`` table (by default
-    the samples themselves) is estimated to fit one task.
+    the samples themselves) is estimated to fit one task. ``chunk`` is an interval; wide
+    ones suit sparse series, narrow ones dense series, and ``auto`` counts beforehand.
     """
     if weighting == "auto":
         fits = is_small(samples if source is None else source, SINGLE_TASK_LIMIT)
@@ -87,6 +104,7 @@ def sample_neighbours(
     if weighting == "series":
         return _neighbours_by_series(samples)
     if weighting == "chunked":
+        chunk = fitting_chunk(samples) if chunk == "auto" else chunk
         return _neighbours_by_chunk(samples, chunk)
     raise ValueError(f"unknown weighting: {weighting!r}")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from wattframe.functions.instants import EPOCH, require_utc
 from wattframe.functions.sizes import broadcast_if_small, partition_count
@@ -13,6 +13,9 @@ from wattframe.operators.series import in_range
 from wattframe.tables import SAMPLE_SCHEMA
 
 KEYS = ["meta_id", "series_timestamp"]
+
+# At most this many months or series are written into a plan as literals.
+LITERALS = 1000
 STORED_SCHEMA = T.StructType([*SAMPLE_SCHEMA.fields, T.StructField("month", T.DateType())])
 
 
@@ -36,13 +39,30 @@ def has_samples(ts: DataFrame) -> bool:
     return not ts.limit(1).isEmpty()
 
 
-def within_span(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of ``existing`` in the time span of ``batch``, so other months are not read."""
-    ends = [f("series_timestamp").cast("timestamp") for f in (F.min, F.max)]
-    first, last = batch.agg(*map(F.unix_micros, ends)).first()
-    if first is None:
+def month_of(ts: str) -> Column:
+    return F.trunc(F.col(ts).cast("date"), "month")
+
+
+def touched_rows(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored rows a batch may clash with, so that other months and series are not read.
+
+    A late sample among recent ones touches two months, not the years between them.
+    """
+    micros = F.unix_micros(F.col("series_timestamp").cast("timestamp"))
+    spans = batch.groupBy(month_of("series_timestamp").alias("month")).agg(
+        F.min(micros).alias("first"), F.max(micros).alias("last")
+    )
+    months = spans.limit(LITERALS + 1).collect()
+    ids = batch.select("meta_id").distinct().limit(LITERALS + 1).collect()
+    if not months:
         return existing.limit(0)
-    return in_range(existing, *(EPOCH + timedelta(microseconds=m) for m in (first, last)))
+    if len(months) <= LITERALS:
+        first, last = min(m["first"] for m in months), max(m["last"] for m in months)
+        span = [EPOCH + timedelta(microseconds=end) for end in (first, last)]
+        existing = in_range(existing, *span).filter(F.col("month").isin([m.month for m in months]))
+    if len(ids) <= LITERALS:
+        existing = existing.filter(F.col("meta_id").isin([row.meta_id for row in ids]))
+    return existing
 
 
 def duplicate_samples(batch: DataFrame, existing: DataFrame) -> DataFrame:
@@ -85,9 +105,7 @@ def stored_form(batch: DataFrame) -> DataFrame:
     id is a hash of the key, the same on every run; with the timestamp it is unique.
     """
     order = ["month", *KEYS]
-    rows = batch.select(*KEYS, "series_value").withColumn(
-        "month", F.trunc(F.col("series_timestamp").cast("date"), "month")
-    )
+    rows = batch.select(*KEYS, "series_value").withColumn("month", month_of("series_timestamp"))
     copy = F.row_number().over(Window.partitionBy(*order).orderBy("series_value"))
     message = F.format_string("repeated sample: series %s at %s", *KEYS)
     repeated = (F.col("copy") > 1) & F.col("meta_id").isNotNull()
@@ -118,7 +136,7 @@ def append_samples(batch: DataFrame, path: str, on_duplicate: str = "error") ->
     existing = read_samples(batch.sparkSession, path)
     stored = has_samples(existing)
     if stored:
-        existing = within_span(existing, batch)
+        existing = touched_rows(existing, batch)
     if on_duplicate == "skip":
         batch = new_samples(batch, existing)
     elif stored:

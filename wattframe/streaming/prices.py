@@ -32,8 +32,17 @@ def append_stream(samples: DataFrame, path: str, checkpoint: str) -> StreamingQu
     posted before are skipped however late they come again, and a batch that is
     replayed after a failure adds nothing twice.
     """
+
+    def append(batch: DataFrame, _: int) -> None:
+        # read once, and then of a known size for the join with the stored keys
+        batch.persist()
+        try:
+            append_samples(batch, path, "skip")
+        finally:
+            batch.unpersist()
+
     return (
-        samples.writeStream.foreachBatch(lambda batch, _: append_samples(batch, path, "skip"))
+        samples.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
