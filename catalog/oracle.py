@@ -128,7 +128,7 @@ for _suffix, _span in {"": FOREVER, "_ranged": SPAN}.items():
     _rows = f"""SELECT id, mid, tm FROM sample
    WHERE tm BETWEEN TIMESTAMP '{_span[0]}' AND TIMESTAMP '{_span[1]}'"""
     _sql = f"""{with_tables()} SELECT id, mid AS meta_id, tm AS series_timestamp,
- round(h, 6) AS hours FROM ({weighed(_rows)})"""
+ h AS hours FROM ({weighed(_rows)})"""
     ORACLE[f"sample_hours{_suffix}"] = _sql
     ORACLE[f"sample_hours_chunked{_suffix}"] = _sql
 
@@ -314,7 +314,10 @@ ALL_FACTOR = """all_factor AS (
   UNION ALL SELECT * FROM request WHERE carrier IN (SELECT cname FROM carrier))"""
 FACTORS = with_tables(REQUEST, ALL_FACTOR)
 
-ORACLE["add_emission_factors"] = f"{FACTORS} SELECT * FROM all_factor"
+ORACLE["emission_factors"] = f"{FACTORS} SELECT * FROM all_factor"
+ORACLE["add_emission_factors"] = f"""{FACTORS}
+SELECT CAST(cid AS INTEGER) AS carrier, factor, unit, source, source_url
+FROM request JOIN carrier ON cname = request.carrier"""
 ORACLE["appended_ids"] = f"""{FACTORS}
 SELECT count(*) AS rows, count(*) AS ids, 1 AS first, CAST(count(*) AS INTEGER) AS last
 FROM all_factor"""

@@ -103,7 +103,7 @@ def weighed(weighting: str, span: tuple[str, str]) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         t = event_tables(spark, folder)
         rows = in_range(t.ts, *time_span(*span)).select("id", "meta_id", "series_timestamp")
-        return sample_hours(rows, weighting).withColumn("hours", F.round("hours", 6))
+        return sample_hours(rows, weighting)
 
     return run
 
@@ -269,7 +269,10 @@ def factor_tables(spark: SparkSession, folder: str) -> Tables:
 
 @query
 def add_emission_factors(spark: SparkSession, folder: str) -> DataFrame:
-    return list_factors(factor_tables(spark, folder)).drop("id")
+    """The rows a batch of requests appends."""
+    return new_factors(
+        factor_requests(spark, folder), seed_factors(spark), seed_carriers(spark)
+    ).drop("id")
 
 
 @query
@@ -283,6 +286,11 @@ def appended_ids(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def emission_factors(spark: SparkSession, folder: str) -> DataFrame:
+    return list_factors(factor_tables(spark, folder)).drop("id")
+
+
 @query
 def rejected_emission_factors(spark: SparkSession, folder: str) -> DataFrame:
     return rejected_factors(factor_requests(spark, folder), seed_carriers(spark))

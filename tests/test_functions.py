@@ -93,6 +93,16 @@ def test_whole_buckets_tile_time(moment, count, unit):
     assert whole_buckets(f"{count}{unit}", past, past)[0] == past
 
 
+def test_calendar_buckets_need_utc(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        rows = spark.range(1).select(F.timestamp_seconds("id").alias("t"))
+        with pytest.raises(ValueError):
+            with_bucket(rows, "1month", "t")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_week_starts_on_monday(spark):
     schema = T.StructType([T.StructField("t", T.TimestampType())])
     row = with_bucket(local_table(spark, [(datetime(2024, 1, 14, 23),)], schema), "1week", "t").first()

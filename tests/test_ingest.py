@@ -131,6 +131,13 @@ def test_files_without_the_columns(spark, folder):
         wide_csv.import_wide(spark, wide_csv.ImportSpec("Zeit", ENTRIES, [file]), *args)
 
 
+def test_quoted_headers(spark, folder):
+    file = write(f"{folder}/a.csv", 'Time,"a ""b"", c"\n2019-01-01 00:00:00+00:00,"2"\n')
+    spec_ = spec([file], entry('a "b", c'))
+    planned = wide_csv.import_wide(spark, spec_, sample_registry(spark), seed_carriers(spark))
+    assert [(r.meta_id, r.series_value) for r in planned.samples.collect()] == [(22, 2.0)]
+
+
 def test_folders_must_share_a_header(spark, folder):
     write(f"{folder}/in/a.csv", "Time,Production\n2019-01-01 00:00:00+00:00,1\n")
     write(f"{folder}/in/b.csv", "Production,Time\n1,2019-01-02 00:00:00+00:00\n")
@@ -199,6 +206,9 @@ def test_append_and_skip(spark, folder):
     samples.append_samples(batch(spark, (1, 0, 7), (1, 5, 4), (1, 5, 3)), path, "skip")
     found = {(r.meta_id, r.series_timestamp): r.series_value for r in samples.read_samples(spark, path).collect()}
     assert found == {(1, at(0)): 1.0, (2, at(0)): 2.0, (1, at(5)): 3.0}
+    samples.append_samples(batch(spark, (None, 0, 1), (None, 0, 1)), path, "skip")
+    samples.append_samples(batch(spark, (None, 0, 1), (3, 0, 1)), path)
+    assert samples.read_samples(spark, path).filter("meta_id is null").count() == 3
     with pytest.raises(ValueError):
         samples.append_samples(batch(spark), path, "replace")
 

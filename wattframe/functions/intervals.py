@@ -8,6 +8,8 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from wattframe.functions.instants import require_utc
+
 # The interval grammar and the instants buckets are counted from.
 SECONDS_PER_UNIT = {"min": 60, "hour": 3600, "day": 86400, "week": 7 * 86400}
 MONTHS_PER_UNIT = {"month": 1, "year": 12}
@@ -70,7 +72,10 @@ def with_bucket(
     df: DataFrame, interval: str | Interval, ts: str = "series_timestamp", name: str = "bucket"
 ) -> DataFrame:
     """Add the bucket start of ``ts`` as column ``name``, in the type of ``ts``."""
-    return df.withColumn(name, time_bucket(F.col(ts), interval, df.schema[ts].dataType))
+    step, data_type = parse_interval(interval), df.schema[ts].dataType
+    if step.months and isinstance(data_type, T.TimestampType):
+        require_utc(df.sparkSession)
+    return df.withColumn(name, time_bucket(F.col(ts), step, data_type))
 
 
 def whole_buckets(

@@ -87,13 +87,19 @@ def duplicate_samples(batch: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def new_samples(batch: DataFrame, existing: DataFrame) -> DataFrame:
-    """One row per key of ``batch`` that ``existing`` lacks; of copies the lowest value."""
+    """One row per key of ``batch`` that ``existing`` lacks; of copies the lowest value.
+
+    Rows without a series are all kept, since they never clash.
+    """
     single = (
         batch.filter(F.col("meta_id").isNotNull())
         .groupBy(*KEYS)
         .agg(F.min("series_value").alias("series_value"))
     )
-    return single.join(existing.select(*KEYS), KEYS, "left_anti")
+    fresh = single.join(existing.select(*KEYS), KEYS, "left_anti")
+    return fresh.unionByName(
+        batch.filter(F.col("meta_id").isNull()).select(*KEYS, "series_value")
+    )
 
 
 def stored_form(batch: DataFrame) -> DataFrame:

@@ -51,9 +51,14 @@ def read_spec(path: str) -> ImportSpec:
 
 
 def read_wide(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text. Files below one path must share their header."""
+    """All columns as text, with quotes doubled inside quoted fields.
+
+    Files below one path must share their header: many equal files are best named by
+    their folder, files with other headers by paths of their own.
+    """
     return (
         spark.read.option("header", True)
+        .option("escape", '"')
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .csv(path)
