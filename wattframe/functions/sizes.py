@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_LIMIT = 32 * 1024 * 1024
-SINGLE_TASK_LIMIT = 128 * 1024 * 1024
+SINGLE_TASK_LIMIT = 64 * 1024 * 1024
+PARTITION_SIZE = 128 * 1024 * 1024
 MAX_PARTITIONS = 1_000_000  # beyond it the estimate is a placeholder, not a size
 
 
@@ -30,7 +31,7 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     return F.broadcast(df) if is_small(df, limit) else df
 
 
-def partition_count(df: DataFrame, size: int = SINGLE_TASK_LIMIT) -> list[int]:
+def partition_count(df: DataFrame, size: int = PARTITION_SIZE) -> list[int]:
     """How many partitions of ``size`` the rows need, as arguments for a repartition.
 
     Empty while the session's own number is enough; Spark may then merge small ones.
