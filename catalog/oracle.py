@@ -342,6 +342,36 @@ SELECT p_partkey, p_brand || '/' || p_size AS source,
  CASE WHEN EXISTS (SELECT 1 FROM all_factor a WHERE a.source = p_brand || '/' || p_size)
   THEN p_brand || '/' || p_size ELSE 'IPCC' END AS used_source FROM part"""
 
+PART_FACTOR = """part_factor AS (SELECT request.carrier AS cname, request.factor AS f
+  FROM request JOIN carrier ON carrier.cname = request.carrier)"""
+
+
+def many_factors() -> None:
+    """Every part as a factor: all rows count in scope two and savings, distinct in one."""
+    grid, made = power("grid", GRID, FOREVER), power("made", LOCAL_PRODUCER, FOREVER)
+    pairs = f"""made_by AS (SELECT {bucket('1 hour')} AS b, cname, sum(greatest(e, 0)) AS p
+  FROM made GROUP BY ALL),
+ saving AS (SELECT made_by.b, sum(p * share * f) AS would, avg(p * f) AS did
+  FROM made_by JOIN mix ON mix.b = made_by.b JOIN part_factor ON part_factor.cname = mix.cname
+  GROUP BY made_by.b)"""
+    ORACLE["co2_savings_many_factors"] = with_tables(
+        REQUEST, PART_FACTOR, made, mix("1 hour", FOREVER), pairs
+    ) + one_row("sum(would - did)", "co2_savings", "kgco2eq", FOREVER, "saving")
+    ORACLE["scope_one_emissions_many_factors"] = f"""{with_tables(REQUEST, PART_FACTOR, made)}
+SELECT b AS bucket, round(e * f, 4) AS value, cname AS carrier_name, 'kgco2eq' AS unit
+FROM (SELECT {bucket('1 month')} AS b, identifier, cname, sum(greatest(e, 0)) AS e
+ FROM made GROUP BY ALL) JOIN (SELECT DISTINCT * FROM part_factor) USING (cname)"""
+    drawn_by = f"""drawn AS (SELECT {bucket('1 month')} AS b, sum(greatest(e, 0)) AS e
+  FROM grid GROUP BY 1)"""
+    ctes = with_tables(REQUEST, PART_FACTOR, grid, mix("1 month", FOREVER), drawn_by)
+    ORACLE["scope_two_emissions_many_factors"] = f"""{ctes}
+SELECT drawn.b AS bucket, round(drawn.e * mix.share, 4) AS value, mix.cname AS carrier_name,
+ 'kgco2eq' AS unit
+FROM mix LEFT JOIN drawn ON drawn.b = mix.b JOIN part_factor ON part_factor.cname = mix.cname"""
+
+
+many_factors()
+
 # --- registering and ingest ------------------------------------------------------------
 
 INPUT = f"""input AS (SELECT

@@ -306,6 +306,34 @@ def emission_factors_by_carrier(spark: SparkSession, folder: str) -> DataFrame:
     return list_factors(factor_tables(spark, folder), carrier="gas").drop("id")
 
 
+def many_factors(spark: SparkSession, folder: str) -> Tables:
+    """Every part as a factor of one source."""
+    t = event_tables(spark, folder)
+    requests = factor_requests(spark, folder).withColumn("source", F.lit("parts"))
+    added = new_factors(requests, t.factors, t.carriers)
+    return Tables(t.ts, t.meta, t.carriers, t.factors.unionByName(added))
+
+
+@query
+def co2_savings_many_factors(spark: SparkSession, folder: str) -> DataFrame:
+    saved = kpi.co2_savings(many_factors(spark, folder), "1hour", *ALL, source="parts")
+    return rounded(saved, TOTAL_DIGITS, "value")
+
+
+@query
+def scope_one_emissions_many_factors(spark: SparkSession, folder: str) -> DataFrame:
+    t = many_factors(spark, folder)
+    emitted = kpi.scope_one_emissions(t, "1month", *ALL, source="parts")
+    return rounded(emitted, TOTAL_DIGITS, "value")
+
+
+@query
+def scope_two_emissions_many_factors(spark: SparkSession, folder: str) -> DataFrame:
+    t = many_factors(spark, folder)
+    emitted = kpi.scope_two_emissions(t, "1month", *ALL, source="parts")
+    return rounded(emitted, TOTAL_DIGITS, "value")
+
+
 @query
 def emission_factor_seed(spark: SparkSession, folder: str) -> DataFrame:
     """Averages over the default factors and those of the parts."""

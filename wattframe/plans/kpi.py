@@ -315,7 +315,8 @@ def co2_savings(
 
     Per bucket all pairs of a production carrier p and a grid carrier g with factor count:
     the sum of P(p)*share(g)*factor(g) less the mean of P(p)*factor(g). Both split into a
-    production part and a grid part, so each side is summed alone and no pair is formed.
+    production part and a grid part, so each side is summed alone and no pair is formed,
+    nor a row per factor where carriers have several.
     ``actual="production"`` takes the producers' own factors in place of the mean.
     """
     if actual not in ("grid", "production"):
@@ -339,14 +340,17 @@ def co2_savings(
         F.count(F.lit(1)).alias("producers"),
         F.sum(own).alias("own"),
     )
+    per_carrier = factors.groupBy("carrier").agg(
+        F.sum("factor").alias("factors"), F.count(F.lit(1)).alias("rows")
+    )
     grid = (
         mix_shares(t, interval, *span)
-        .join(factors, "carrier")
+        .join(per_carrier, "carrier")
         .groupBy("bucket")
         .agg(
-            F.sum(F.col("share") * F.col("factor")).alias("mixed_factor"),
-            F.sum("factor").alias("factors"),
-            F.count(F.lit(1)).alias("rows"),
+            F.sum(F.col("share") * F.col("factors")).alias("mixed_factor"),
+            F.sum("factors").alias("factors"),
+            F.sum("rows").alias("rows"),
         )
     )
     mean = F.col("kwh") * F.col("factors") / (F.col("producers") * F.col("rows"))
