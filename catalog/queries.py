@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wattframe.functions.instants import rfc_3339
+from wattframe.functions.instants import rfc_3339, time_span
 from wattframe.functions.intervals import with_bucket
 from wattframe.functions.sizes import shared_folder
 from wattframe.functions.text import number_or_zero
@@ -21,7 +21,6 @@ from wattframe.operators.factors import (
 from wattframe.operators.series import MARKET_PRICE, in_range, named
 from wattframe.operators.weights import sample_hours, sample_neighbours
 from wattframe.plans import kpi, series
-from wattframe.functions.instants import time_span
 from wattframe.sources import points, prices, registry, samples, technology, wide_csv
 from wattframe.sources.event_log import (
     SAMPLE_SERIES,

@@ -9,7 +9,6 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
-from conftest import at
 from wattframe.functions.instants import EPOCH, instant, parse_instant, time_span
 from wattframe.functions.intervals import (
     Interval,

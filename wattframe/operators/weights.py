@@ -88,7 +88,10 @@ def fitting_chunk(samples: DataFrame) -> str:
 
 
 def sample_neighbours(
-    samples: DataFrame, weighting: str = "auto", chunk: str = "1hour", source: DataFrame | None = None
+    samples: DataFrame,
+    weighting: str = "auto",
+    chunk: str = "1hour",
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``before`` and ``after``, the neighbouring timestamps within the series.
 
@@ -110,7 +113,10 @@ def sample_neighbours(
 
 
 def sample_hours(
-    samples: DataFrame, weighting: str = "auto", chunk: str = "1hour", source: DataFrame | None = None
+    samples: DataFrame,
+    weighting: str = "auto",
+    chunk: str = "1hour",
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``hours``, the weight of each sample."""
     ts = F.col("series_timestamp")
