@@ -7,7 +7,7 @@ coordinates propose links, full shingle sets confirm them, components group the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -121,9 +121,9 @@ def _similar(percent: int):
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets (doc_id, shingles) have a Jaccard of ``percent`` or more."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
+    """The pairs (a, b) whose full sets (node, shingles) have a Jaccard of ``percent`` or more."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
     return joined.mapInArrow(_similar(percent), "a long, b long")
 
@@ -163,8 +163,8 @@ def _between_groups(rows: DataFrame, labels: DataFrame, sets: DataFrame, percent
     """
     rows = stage(
         rows.where("n > 2")
-        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")),
+        .join(labels, "node", "left")
+        .select("bucket", "node", "n", F.coalesce("component", "node").alias("component")),
         "labelled",
     )
     parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("docs"))
@@ -178,9 +178,9 @@ def _between_groups(rows: DataFrame, labels: DataFrame, sets: DataFrame, percent
         .drop("groups"),
         "mixed",
     )
-    rows = rows.join(mixed, "bucket").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    rows = rows.join(mixed, "bucket").join(sets, "node")
     blocks = F.ceil(F.col("n") / BLOCK_DOCS).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
     members = rows.select("bucket", own.alias("block"), every.alias("side"), "component", "shingles")
     others = rows.where("component != largest").select(
@@ -196,6 +196,45 @@ def _between_groups(rows: DataFrame, labels: DataFrame, sets: DataFrame, percent
     )
 
 
+def grouped(nodes: DataFrame, sets_of_nodes: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(node, component) of all nodes that have a link to another.
+
+    ``nodes`` has (node, bands) with one row per different set; ``sets_of_nodes`` takes a table
+    of nodes and gives their (node, shingles).
+    """
+    cells = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = stage(cells.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    met = stage(cells.join(shared, "bucket"), "met")
+    weight = stage(met.groupBy("node").agg(F.sum("n").alias("weight")), "weight")
+    leaders = stage(
+        met.join(weight, "node")
+        .groupBy("bucket")
+        .agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("leader")),
+        "leaders",
+    )
+    pairs = stage(
+        met.join(leaders, "bucket")
+        .where("node != leader")
+        .select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        .distinct(),
+        "pairs",
+    )
+    sets = stage(sets_of_nodes(weight.select("node")), "sets")
+    labels = components(links(pairs, sets, percent))
+    more = stage(_between_groups(met, labels, sets, percent), "more")
+    if more.isEmpty():
+        return labels
+    over = components(more).select(F.col("node").alias("component"), F.col("component").alias("lower"))
+    named = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+    single = named.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return stage(
+        labels.unionByName(single)
+        .join(over, "component", "left")
+        .select("node", F.coalesce("lower", "component").alias("component")),
+        "labels",
+    )
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -226,42 +265,14 @@ def near_duplicates(
         known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")),
         "classes",
     )
-    cells = classes.select("rep", F.explode("bands").alias("bucket"))
-    shared = stage(cells.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    met = stage(cells.join(shared, "bucket"), "met")
-    weight = stage(met.groupBy("rep").agg(F.sum("n").alias("weight")), "weight")
-    leaders = stage(
-        met.join(weight, "rep")
-        .groupBy("bucket")
-        .agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("leader")),
-        "leaders",
-    )
-    pairs = stage(
-        met.join(leaders, "bucket")
-        .where("rep != leader")
-        .select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-        .distinct(),
-        "pairs",
-    )
-    sets = stage(
-        texts.join(weight.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(
-            _shingle_rows(shingle), "doc_id long, shingles binary"
-        ).distinct(),
-        "sets",
+    labels = grouped(
+        classes.select(F.col("rep").alias("node"), "bands"),
+        lambda nodes: texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+        .mapInArrow(_shingle_rows(shingle), "doc_id long, shingles binary")
+        .distinct()
+        .withColumnRenamed("doc_id", "node"),
+        percent,
     )
-    labels = components(links(pairs, sets, percent))
-    more = stage(_between_groups(met, labels, sets, percent), "more")
-    if not more.isEmpty():
-        over = components(more).select(F.col("node").alias("component"), F.col("component").alias("lower"))
-        named = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
-        labels = stage(
-            labels.unionByName(
-                named.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
-            )
-            .join(over, "component", "left")
-            .select("node", F.coalesce("lower", "component").alias("component")),
-            "labels",
-        )
     linked = (
         known.select("doc_id", "n_shingles", "hi", "lo")
         .join(classes.select("hi", "lo", "rep"), ["hi", "lo"])
