@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from wattframe.llm.contamination import op10_decontamination
+from wattframe.llm.language import op7_language_id
 from wattframe.llm.minhash import op2_minhash_near_dedup
+from wattframe.llm.mixing import op8_source_mixing
+from wattframe.llm.passages import op5_substring_dedup
 
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_source_mixing": op8_source_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE: dict[str, str] = {}
