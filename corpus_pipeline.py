@@ -20,10 +20,9 @@ LEAST_LANGUAGE_SCORE = 0.35
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents without a letter and those in no learned language."""
-    found = with_language(docs, fit(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(
-        *docs.columns
-    )
+    found = with_language(docs, fit(docs), ("_language", "_marginal"))
+    kept = (F.col("_language") != UNKNOWN) & (F.col("_marginal") >= LEAST_LANGUAGE_SCORE)
+    return found.where(kept).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,83 @@
+import random
+
+import numpy as np
+import pytest
+
+from brute import documents, sentence, words
+from wattframe.llm import mixing as M
+
+
+def filled(sizes, weights, share=1.5, limit=2.0):
+    """Targets by giving and resharing until none is above its limit."""
+    target = dict.fromkeys(sizes, 0.0)
+    total, open_ = share * sum(sizes.values()), set(sizes)
+    while open_ and total > 1e-9:
+        unit = total / sum(weights[s] for s in open_)
+        total = 0.0
+        for s in sorted(open_):
+            target[s] += unit * weights[s]
+            if target[s] > limit * sizes[s]:
+                total += target[s] - limit * sizes[s]
+                target[s] = limit * sizes[s]
+                open_.discard(s)
+    return target
+
+
+def corpus(seed=1):
+    rng = random.Random(seed)
+    names = ["a", "B", "c", "é", None, "empty"]
+    rows = [(sentence(rng, int(rng.lognormvariate(3, 1))), rng.choice(names[:5] + ["a"] * 4)) for _ in range(600)]
+    rows += [("same words here", "c")] * 300 + [(None, "a"), ("", "B"), (" \t", "empty"), (sentence(rng, 4000), "a")]
+    return [t for t, _ in rows], [s for _, s in rows]
+
+
+@pytest.fixture(scope="module")
+def mix(spark):
+    texts, sources = corpus()
+    docs = documents(spark, texts, sources=sources)
+    return texts, sources, docs, {r.doc_id: r for r in M.mixed(docs, M.cyclic_weights(docs)).collect()}
+
+
+def test_sizes_targets_and_limits(mix):
+    texts, sources, _, rows = mix
+    assert len(rows) == len(texts)
+    sizes = {s: sum(len(words(t)) for t, o in zip(texts, sources, strict=True) if o == s) for s in set(sources)}
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    targets = filled({i: sizes[s] for i, s in enumerate(order)}, {i: (5, 2, 1)[i % 3] for i in range(len(order))})
+    for i, s in enumerate(order):
+        own = [r for r in rows.values() if r.source == s]
+        assert {r.source_size for r in own} == {sizes[s]}
+        assert own[0].target == pytest.approx(targets[i], rel=1e-9)
+        assert abs(sum(r.taken for r in own) - targets[i]) <= max(2, 0.01 * targets[i])
+    for r in rows.values():
+        assert r.size == len(words(texts[r.doc_id])) and r.taken == r.copies * r.size and 0 <= r.taken <= 2 * r.size
+
+
+def test_rates_solve_the_dual(mix):
+    """exp(tilt * size), cut at 2, with the multiplier found by bisection."""
+    _, _, _, rows = mix
+    for source in ("a", "B", "é"):
+        own = [r for r in rows.values() if r.source == source and r.size]
+        x, target = np.array([r.size for r in own], float), own[0].target
+        low, high = -10.0, 10.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (low, mid) if (x * np.minimum(2, np.exp(np.minimum(mid * x, 50)))).sum() > target else (mid, high)
+        expected = np.minimum(2, np.exp(np.minimum(low * x, 50)))
+        assert np.allclose([r.rate for r in own], expected, atol=1e-5)
+
+
+def test_reruns_agree(mix):
+    _, _, docs, rows = mix
+    again = M.mixed(docs.repartition(5), M.cyclic_weights(docs)).collect()
+    assert {r.doc_id: r.copies for r in again} == {i: r.copies for i, r in rows.items()}
+
+
+def test_edge_cases(spark):
+    empty = documents(spark, [])
+    assert M.mixed(empty, M.cyclic_weights(empty)).collect() == []
+    docs = documents(spark, [None, ""], sources=["x", None])
+    assert [(r.size, r.target, r.taken) for r in M.mixed(docs, M.cyclic_weights(docs)).collect()] == [(0, 0.0, 0)] * 2
+    docs = documents(spark, ["a b"] * 4, sources=["x"] * 4, ids=[1, 1, None, None])
+    rows = M.mixed(docs, M.cyclic_weights(docs)).collect()
+    assert len(rows) == 4 and sum(r.taken for r in rows) == 12

@@ -1,0 +1,37 @@
+import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings, strategies as st
+
+from wattframe.llm import words as W
+from brute import shingles, words
+
+TEXT = st.text(alphabet="ab AB\t\n\x0b\x0c\ré z", max_size=40)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), TEXT), max_size=8))
+def test_words_and_grams_match_plain_python(texts):
+    found = W.words_of(pa.array(texts, pa.string()))
+    known = {}
+    for i, t in enumerate(texts):
+        own = found.hashes[found.bounds[i] : found.bounds[i + 1]]
+        assert len(own) == len(words(t))
+        for h, w in zip(own.tolist(), words(t), strict=True):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+    sets, bounds = W.sets_of(*W.grams(found, 4, whole=True))
+    assert np.diff(bounds).tolist() == [len(shingles(t, 4)) for t in texts]
+
+
+def test_blocks_do_not_change_hashes(monkeypatch):
+    text = " ".join(f"w{i}" for i in range(3000)) + " " + "y" * 5000
+    whole = W.words_of(pa.array([text, "w1 w2"])).hashes
+    monkeypatch.setattr(W, "BLOCK", 64)
+    assert (W.words_of(pa.array([text, "w1 w2"])).hashes == whole).all()
+
+
+def test_slices_hold_every_row_once():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a" * 10, None, "", "b" * 500, "c", "d", "e"])], ["i", "text"])
+    parts = list(W.slices(iter([batch]), "text", 12))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(7))
+    assert len(parts) > 2

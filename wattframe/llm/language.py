@@ -277,31 +277,30 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES)
     return train([r["text"] for r in chosen], [r["lang"] for r in chosen], [r["lang"] for r in counts])
 
 
-def _predictions(shared):
+def _predictions(shared, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         for part in slices(batches, "text", SLICE):
             langs, scores = predict(model, part.column(part.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                [*part.schema.names, "lang_pred", "score"],
+                [*part.schema.names, *names],
             )
 
     return run
 
 
-def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score, from the text alone.
+def with_language(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with two more columns, the language and its mean marginal, from the text alone.
 
     NULL, empty and letterless texts get ``und`` and 0. Whole texts are labelled; equal texts
     get equal results, rows and other columns stay (columns of these two names are replaced),
     an empty table stays empty. The model, of a fixed size per language, is sent to the tasks.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights.astype(np.float32), model.transitions))
-    rest = docs.drop("lang_pred", "score")
-    asked = rest.withColumn("text", F.col("text").cast("string"))
-    schema = ", ".join([f"`{c}` {t}" for c, t in asked.dtypes] + ["lang_pred string", "score double"])
-    return asked.mapInArrow(_predictions(shared), schema)
+    asked = docs.drop(*names).withColumn("text", F.col("text").cast("string"))
+    schema = ", ".join([f"`{c}` {t}" for c, t in asked.dtypes] + [f"`{names[0]}` string", f"`{names[1]}` double"])
+    return asked.mapInArrow(_predictions(shared, names), schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
