@@ -160,6 +160,7 @@ LISTED = """SELECT CAST(m.mid AS INTEGER) AS id, m.identifier, m.unit, m.cname A
 FROM meta m LEFT JOIN sample s ON s.mid = m.mid"""
 ORACLE["list_series"] = f"{with_tables()} {LISTED} GROUP BY ALL"
 ORACLE["list_series_page"] = f"{with_tables()} {LISTED} GROUP BY ALL ORDER BY id LIMIT 8 OFFSET 8"
+ORACLE["list_series_after"] = ORACLE["list_series_page"]
 ORACLE["get_series"] = f"{with_tables()} {LISTED} WHERE m.mid = 21 GROUP BY ALL"
 ORACLE["series_with_samples"] = f"""{with_tables()}
 SELECT CAST(m.mid AS INTEGER) AS id, m.identifier, m.unit, m.cname AS carrier,
@@ -378,30 +379,42 @@ INPUT = f"""input AS (SELECT
   CASE WHEN p_size > 25 THEN upper(p_name || ' ' || p_brand) ELSE p_name || ' ' || p_brand END
    AS identifier, p_type AS unit, {PART_CARRIER} AS cname, p_retailprice > 1000 AS consumption,
   p_name AS description,
-  CASE p_size % 3 WHEN 1 THEN true WHEN 2 THEN false END AS local FROM part)"""
+  CASE p_size % 3 WHEN 1 THEN true WHEN 2 THEN false END AS local, p_partkey AS place FROM part)"""
 IMPORTED = """imported AS (
   SELECT lower(identifier) AS identifier, lower(unit) AS unit, CAST(cid AS INTEGER) AS carrier,
-   consumption, description, coalesce(local, false) AS local
+   consumption, description, coalesce(local, false) AS local, place
   FROM input JOIN carrier ON carrier.cname = input.cname
-  QUALIFY row_number() OVER (PARTITION BY lower(identifier), lower(unit)
-   ORDER BY cid, consumption, description, coalesce(local, false)) = 1)"""
-BASIC = """basic AS (SELECT identifier, unit, CAST(cid AS INTEGER) AS carrier, consumption,
+  QUALIFY row_number() OVER (PARTITION BY lower(identifier), lower(unit) ORDER BY place) = 1),
+ numbered AS (SELECT *, CAST(21 + row_number() OVER (ORDER BY unit <> 'economy', place) AS INTEGER) AS id
+  FROM imported)"""
+BASIC = """basic AS (SELECT CAST(mid AS INTEGER) AS id, identifier, unit, CAST(cid AS INTEGER) AS carrier, consumption,
   identifier AS description, local FROM meta LEFT JOIN carrier ON carrier.cname = meta.cname)"""
 INPUTS = with_tables(INPUT, IMPORTED, BASIC)
 
 ORACLE["register_series"] = f"""{INPUTS}
-SELECT identifier, unit, CAST(carrier AS VARCHAR) AS carrier,
+SELECT id, identifier, unit, CAST(carrier AS VARCHAR) AS carrier,
  CAST(consumption AS VARCHAR) AS consumption, description, CAST(local AS VARCHAR) AS local,
- 0 AS microgrid_id FROM (SELECT * FROM basic UNION ALL SELECT * FROM imported)"""
+ 0 AS microgrid_id FROM (SELECT * FROM basic UNION ALL BY NAME SELECT * EXCLUDE (place) FROM numbered)"""
 ORACLE["resolve_series"] = f"""{INPUTS}
 SELECT lower(i.identifier) AS identifier, lower(i.unit) AS unit, k.identifier AS registered
 FROM input i LEFT JOIN imported k ON k.unit = 'economy' AND k.unit = lower(i.unit)
  AND k.identifier = lower(i.identifier)"""
 ORACLE["add_series"] = f"""{INPUTS}
-SELECT identifier, unit, CAST(cid AS VARCHAR) AS carrier,
+SELECT CAST(21 + row_number() OVER (ORDER BY place) AS INTEGER) AS id, identifier, unit, CAST(cid AS VARCHAR) AS carrier,
  CAST(consumption AS VARCHAR) AS consumption, description, CAST(local AS VARCHAR) AS local,
  0 AS microgrid_id, input.cname AS carrier_name
 FROM input LEFT JOIN carrier ON carrier.cname = input.cname"""
+ORACLE["append_series"] = f"""{INPUTS}
+SELECT id, identifier, unit, CAST(carrier AS VARCHAR) AS carrier,
+ CAST(consumption AS VARCHAR) AS consumption, description, CAST(local AS VARCHAR) AS local,
+ 0 AS microgrid_id, 'true' AS stamped FROM (
+ SELECT * FROM basic UNION ALL BY NAME
+ SELECT CAST(21 + row_number() OVER (ORDER BY place) AS INTEGER) AS id,
+  identifier || ' ' || place AS identifier, unit, CAST(cid AS INTEGER) AS carrier, consumption,
+  description, local FROM input LEFT JOIN carrier ON carrier.cname = input.cname)"""
+ORACLE["append_factors"] = f"""{FACTORS}
+SELECT carrier, factor, unit, source, source_url, 'true' AS stamped
+FROM request WHERE carrier IN (SELECT cname FROM carrier)"""
 ORACLE["refused_series"] = f"""{INPUTS},
  sent AS (SELECT lower(identifier) AS identifier, lower(unit) AS unit, count(*) AS sent
   FROM input GROUP BY 1, 2),
@@ -421,11 +434,24 @@ ORACLE["lenient_numbers"] = """SELECT event_id,
  CASE WHEN event_type = 'error' THEN 0.0 ELSE value END AS value FROM events"""
 ORACLE["parse_times"] = """SELECT o_orderkey, o_orderdate - INTERVAL 2 HOUR AS series_timestamp
 FROM orders"""
-ORACLE["ingest_points"] = f"""{with_tables()}
+ORACLE["point_files"] = ORACLE["ingest_points"] = f"""{with_tables()}
 SELECT s.mid AS meta_id, e.ts AS series_timestamp, e.value AS series_value
 FROM events e JOIN sample s ON s.id = e.event_id
 WHERE e.event_type NOT IN ('error', 'signup')"""
 
+ORACLE["wide_files"] = " UNION ALL ".join(
+    f"SELECT l_shipdate - INTERVAL 2 HOUR AS series_timestamp, '{shown}' AS \"column\", {c} AS value FROM lineitem"
+    for c, shown in {"l_quantity": "l_quantity", "l_tax": "l tax"}.items()
+)
+ORACLE["technology_files"] = " UNION ALL ".join(
+    f"""SELECT p_name AS technology, p_brand AS parameter, p_retailprice AS value, p_type AS unit,
+ {year} AS year FROM part WHERE p_size % 2 = {year % 2}"""
+    for year in (2020, 2025)
+)
+ORACLE["result_lines"] = f"""{with_tables()}
+SELECT CAST(id AS VARCHAR) AS id, strftime(tm, '%Y-%m-%dT%H:%M:%S.%f') AS at, 'Z' AS zone
+FROM sample WHERE mid = 5"""
+
 SHIPPED = """shipped AS (SELECT l_linenumber AS mid, l_shipdate AS tm, l_quantity AS v FROM lineitem),
  stored AS (SELECT DISTINCT CAST(o_orderpriority[1] AS INTEGER) AS mid, o_orderdate AS tm FROM orders)"""
 ORACLE["ingest_duplicates"] = f"""WITH {SHIPPED}
@@ -460,6 +486,11 @@ SELECT mid AS meta_id, tm AS series_timestamp, v AS series_value FROM sample"""
 ORACLE["stream_resample"] = f"""{with_tables()}
 SELECT mid AS meta_id, {bucket('1 hour')} AS bucket, round(avg(v), 9) AS mean_value
 FROM sample GROUP BY 1, 2"""
-ORACLE["stream_resample_windowed"] = f"""SELECT * FROM ({ORACLE['stream_resample']})
-WHERE bucket + INTERVAL 1 HOUR <= (
- SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOUR FROM events)"""
+ORACLE["stream_resample_windowed"] = ORACLE["stream_resample"]
+
+for _name in [
+    "total_consumption", "total_production", "self_consumption", "autarky", "cost_savings",
+    "consumption_by_carrier", "local_consumption", "scope_one_emissions", "scope_two_emissions",
+    "total_co2_emissions", "co2_savings", "total_grid_electricity_cost", "grid_consumption", "local_production",
+]:
+    ORACLE[f"{_name}_by_series"] = ORACLE[_name]

@@ -12,16 +12,18 @@ from wattframe.functions.sizes import shared_folder
 from wattframe.functions.text import number_or_zero
 from wattframe.operators.energy import mix_shares
 from wattframe.operators.factors import (
+    append_factors as append_stored_factors,
     average_factors,
     list_factors,
     new_factors,
+    read_factors,
     rejected_factors,
     resolve_sources,
 )
 from wattframe.operators.series import MARKET_PRICE, in_range, named
 from wattframe.operators.weights import sample_hours, sample_neighbours
 from wattframe.plans import kpi, series
-from wattframe.sources import points, prices, registry, samples, technology, wide_csv
+from wattframe.sources import json_lines, points, prices, registry, samples, technology, wide_csv
 from wattframe.sources.event_log import (
     SAMPLE_SERIES,
     event_samples,
@@ -161,6 +163,12 @@ def list_series_page(spark: SparkSession, folder: str) -> DataFrame:
     return as_text(page, *FLAGS)
 
 
+@query
+def list_series_after(spark: SparkSession, folder: str) -> DataFrame:
+    page = series.list_series_after(event_tables(spark, folder), after=8, per_page=8)
+    return as_text(page, *FLAGS)
+
+
 @query
 def get_series(spark: SparkSession, folder: str) -> DataFrame:
     found = series.get_series(event_tables(spark, folder), "SMARD_Market_Price")
@@ -209,6 +217,29 @@ for _name in ["grid_consumption", "local_production"]:
     add(f"{_name}_ranged", indicator(getattr(kpi, _name), "1day", *CUT, values=_values))
 
 
+BY_SERIES = {
+    "total_consumption": (), "total_production": (), "self_consumption": (), "autarky": (), "cost_savings": (),
+    "consumption_by_carrier": ("1hour",), "local_consumption": ("1hour",), "scope_one_emissions": ("1hour",),
+    "scope_two_emissions": ("1hour",), "total_co2_emissions": ("1hour",), "co2_savings": ("1hour",),
+    "total_grid_electricity_cost": ("1hour",), "grid_consumption": ("1hour",), "local_production": ("1hour",),
+}
+
+
+def by_series(name: str, *args: str) -> Query:
+    """The indicator with one window per series; all other queries weigh by chunks of time."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        result = getattr(kpi, name)(event_tables(spark, folder, "series"), *args, *ALL)
+        values = [c for c in ("value", "bucket_consumption", "carrier_proportion") if c in result.columns]
+        return rounded(result, TOTAL_DIGITS if "name" in result.columns else ROW_DIGITS, *values)
+
+    return run
+
+
+for _name, _args in BY_SERIES.items():
+    add(f"{_name}_by_series", by_series(_name, *_args))
+
+
 @query
 def total_consumption_chunked(spark: SparkSession, folder: str) -> DataFrame:
     t = event_tables(spark, folder, "chunked")
@@ -364,6 +395,7 @@ def part_series(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("p_retailprice") > 1000).alias("consumption"),
         F.col("p_name").alias("description"),
         local.alias("local"),
+        F.col("p_partkey").cast("long").alias("position"),
     )
 
 
@@ -377,7 +409,7 @@ def economy_registry(spark: SparkSession, folder: str) -> DataFrame:
 def register_series(spark: SparkSession, folder: str) -> DataFrame:
     known = economy_registry(spark, folder)
     after = registry.registered_series(part_series(spark, folder), known, seed_carriers(spark))
-    return as_text(after.drop("id"), *FLAGS, "carrier")
+    return as_text(after, *FLAGS, "carrier")
 
 
 @query
@@ -394,7 +426,30 @@ def add_series(spark: SparkSession, folder: str) -> DataFrame:
     rows = registry.added_series(
         part_series(spark, folder), sample_registry(spark), seed_carriers(spark)
     )
-    return as_text(rows.drop("id"), *FLAGS, "carrier")
+    return as_text(rows, *FLAGS, "carrier")
+
+
+@query
+def append_series(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct parts are appended to a stored registry and read back."""
+    place, carriers = shared_folder(spark, "registry"), seed_carriers(spark)
+    registry.append_rows(sample_registry(spark), place)
+    single = part_series(spark, folder).withColumn("identifier", F.concat_ws(" ", "identifier", "position"))
+    registry.append_series(single, place, carriers)
+    stored = registry.read_registry(spark, place)
+    stamped = F.col("created_at").isNotNull() & F.col("updated_at").isNotNull()
+    return as_text(stored.withColumn("stamped", stamped).drop(*registry.AUDIT), *FLAGS, "carrier", "stamped")
+
+
+@query
+def append_factors(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests of known carriers are appended to stored factors and listed with both stamps."""
+    place, t = shared_folder(spark, "factors"), event_tables(spark, folder)
+    known = factor_requests(spark, folder).filter(F.col("carrier") != "fusion")
+    append_stored_factors(known, place, t.carriers)
+    listed = list_factors(Tables(t.ts, t.meta, t.carriers, read_factors(spark, place)))
+    stamped = F.col("created_at").isNotNull() & F.col("updated_at").isNotNull()
+    return as_text(listed.withColumn("stamped", stamped).drop("id", "created_at", "updated_at"), "stamped")
 
 
 @query
@@ -431,7 +486,56 @@ def parse_times(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def ingest_points(spark: SparkSession, folder: str) -> DataFrame:
+def wide_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines written as a wide export, with line breaks in a quoted field, and read again."""
+    place = shared_folder(spark, "wide")
+    time = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), F.lit("+02:00"))
+    note = F.concat(F.lit('first "line",\nsecond '), F.col("l_returnflag"))
+    lines = table(spark, folder, "lineitem").select(
+        time.alias("Time"), note.alias("note"), "l_quantity", F.col("l_tax").alias("l tax")
+    )
+    lines.write.option("header", True).option("escape", '"').csv(place)
+    wide = wide_csv.read_wide(spark, place, line_breaks=True)
+    cells = wide_csv.unpivot_wide(wide, "Time", ["l_quantity", "l tax", "absent"])
+    rows = cells.select(
+        wide_csv.time_of(F.col("time")).alias("series_timestamp"),
+        "column",
+        number_or_zero(F.col("raw")).alias("value"),
+    )
+    return without_zone(rows, "series_timestamp")
+
+
+@query
+def technology_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts written as the cost files of two years and read again."""
+    place = shared_folder(spark, "costs")
+    parts = table(spark, folder, "part")
+    for year in (2020, 2025):
+        own = parts.filter(F.col("p_size") % 2 == year % 2)
+        own.select(
+            F.col("p_name").alias("technology"),
+            F.col("p_brand").alias("parameter"),
+            F.col("p_retailprice").alias("value"),
+            F.col("p_type").alias("unit"),
+        ).write.option("header", True).csv(f"{place}/{year}")
+    return technology.read_all_costs(spark, f"{place}/%d", [2020, 2025])
+
+
+@query
+def result_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """A scan written as JSON lines, as text."""
+    place, t = shared_folder(spark, "lines"), event_tables(spark, folder)
+    scan = series.series_scan(t, "total_load", *ALL).datapoints
+    json_lines.write_json(scan.select("id", "timestamp", "value"), place)
+    text = spark.read.text(place)
+    return text.select(
+        F.get_json_object("value", "$.id").alias("id"),
+        F.substring(F.get_json_object("value", "$.timestamp"), 1, 26).alias("at"),
+        F.right(F.get_json_object("value", "$.timestamp"), F.lit(1)).alias("zone"),
+    )
+
+
+def event_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """One JSON body per event; some identifiers are unknown or of another case."""
     names = F.array(*(F.lit(row[0]) for row in SAMPLE_SERIES))
     name = F.element_at(names, series_of_event())
@@ -445,11 +549,24 @@ def ingest_points(spark: SparkSession, folder: str) -> DataFrame:
         F.col("value"),
         identifier.alias("identifier"),
     )
-    bodies = table(spark, folder, "events").select(
+    return table(spark, folder, "events").select(
         F.to_json(F.struct(F.array(point).alias("timeseries"))).alias("body")
     )
-    resolved = points.resolve_points(points.parse_points(bodies), sample_registry(spark))
-    return without_zone(resolved, "series_timestamp")
+
+
+@query
+def ingest_points(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = points.parse_points(event_bodies(spark, folder))
+    return without_zone(points.resolve_points(parsed, sample_registry(spark)), "series_timestamp")
+
+
+@query
+def point_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The same bodies landed as lines and read again."""
+    place = shared_folder(spark, "bodies")
+    event_bodies(spark, folder).write.text(place)
+    parsed = points.parse_points(points.read_bodies(spark, place, lines=True))
+    return without_zone(points.resolve_points(parsed, sample_registry(spark)), "series_timestamp")
 
 
 def shipped(spark: SparkSession, folder: str) -> DataFrame:
@@ -534,10 +651,12 @@ def technology_filter(spark: SparkSession, folder: str) -> DataFrame:
 # --- streams ---------------------------------------------------------------------------
 
 
-def sample_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = table(spark, folder, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    rows = event_samples(events.parquet(folder)).withColumn(
+def sample_stream(spark: SparkSession, folder: str, place: str) -> DataFrame:
+    """Samples landed as several files in no order of time, one file a batch."""
+    events = table(spark, folder, "events")
+    events.repartition(4, F.xxhash64("event_id")).write.mode("overwrite").parquet(f"{place}/landing")
+    landed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    rows = event_samples(landed.parquet(f"{place}/landing")).withColumn(
         "series_timestamp", F.col("series_timestamp").cast("timestamp")
     )
     return rows.select("meta_id", "series_timestamp", "series_value")
@@ -547,8 +666,9 @@ def sample_stream(spark: SparkSession, folder: str) -> DataFrame:
 def stream_prices(spark: SparkSession, folder: str) -> DataFrame:
     """Every sample arrives twice and is stored once."""
     place = shared_folder(spark, "stream-prices")
-    stream = sample_stream(spark, folder).unionByName(sample_stream(spark, folder))
-    price_stream.append_stream(stream, f"{place}/samples", f"{place}/state").awaitTermination()
+    stream = sample_stream(spark, folder, place)
+    twice = stream.unionByName(stream)
+    price_stream.append_stream(twice, f"{place}/samples", f"{place}/state").awaitTermination()
     stored = samples.read_samples(spark, f"{place}/samples")
     return without_zone(
         stored.select("meta_id", "series_timestamp", "series_value"), "series_timestamp"
@@ -557,10 +677,11 @@ def stream_prices(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def stream_prices_watermarked(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by streaming state, without a table to compare with."""
     place = shared_folder(spark, "stream-unique")
-    stream = sample_stream(spark, folder).unionByName(sample_stream(spark, folder))
+    stream = sample_stream(spark, folder, place)
     written = (
-        price_stream.without_repeats(stream)
+        price_stream.without_repeats(stream.unionByName(stream))
         .writeStream.format("parquet")
         .option("path", f"{place}/samples")
         .option("checkpointLocation", f"{place}/state")
@@ -574,7 +695,7 @@ def stream_prices_watermarked(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stream_resample(spark: SparkSession, folder: str) -> DataFrame:
     place = shared_folder(spark, "stream-means")
-    stream = sample_stream(spark, folder)
+    stream = sample_stream(spark, folder, place)
     mean_stream.log_means(stream, "1hour", f"{place}/log", f"{place}/state").awaitTermination()
     means = mean_stream.logged_means(spark, f"{place}/log")
     return without_zone(rounded(means, MEAN_DIGITS, "mean_value"), "bucket")
@@ -582,16 +703,9 @@ def stream_resample(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def stream_resample_windowed(spark: SparkSession, folder: str) -> DataFrame:
-    """Closed hours only: those that end before the watermark."""
+    """The same by streaming state, open hours included."""
     place = shared_folder(spark, "stream-windows")
-    means = mean_stream.windowed_means(sample_stream(spark, folder), "1hour", "2 hours")
-    written = (
-        means.writeStream.format("parquet")
-        .option("path", f"{place}/means")
-        .option("checkpointLocation", f"{place}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    written.awaitTermination()
-    closed = spark.read.parquet(f"{place}/means")
-    return without_zone(rounded(closed, MEAN_DIGITS, "mean_value"), "bucket")
+    stream = sample_stream(spark, folder, place)
+    mean_stream.follow_means(stream, "1hour", f"{place}/log", f"{place}/state").awaitTermination()
+    means = mean_stream.followed_means(spark, f"{place}/log")
+    return without_zone(rounded(means, MEAN_DIGITS, "mean_value"), "bucket")

@@ -57,7 +57,7 @@ def samples(spark, rows):
 def tables(spark):
     """Tables over the sample registry, from sample rows and optional other tables."""
 
-    def make(rows, meta=None, factors=None, weighting="auto", chunk="1hour"):
+    def make(rows, meta=None, factors=None, weighting="chunked", chunk="1hour"):
         return Tables(
             samples(spark, rows),
             sample_registry(spark) if meta is None else meta,

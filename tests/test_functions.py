@@ -18,6 +18,7 @@ from wattframe.functions.intervals import (
     with_bucket,
 )
 from wattframe.functions.text import key, number_or_zero
+from wattframe.functions.sizes import broadcast_if_few
 from wattframe.operators import numbering
 from wattframe.tables import local_table
 
@@ -171,20 +172,42 @@ def test_keys_ignore_case_but_not_accents(spark):
     assert df.filter(~key("raw").isin("STRASSE", "x")).count() == 2
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_next_ids_are_gapless(spark, monkeypatch, small):
-    monkeypatch.setattr(numbering, "SMALL", 2**40 if small else 0)
-    monkeypatch.setattr(numbering, "BLOCK", 7)
+@pytest.mark.parametrize("partitions", [1, 3, 8])
+def test_ids_follow_the_order_for_any_partitioning(spark, partitions):
+    """One hot row among many; the same ids however the rows are spread."""
     rows = spark.range(500).select((F.col("id") % 90).alias("a"), F.lit(None).cast("string").alias("b"))
     rows = rows.unionByName(spark.range(300).select(F.lit(-1).cast("long").alias("a"), F.lit("hot").alias("b")))
     existing = local_table(spark, [(3,), (41,)], ID_SCHEMA)
-    numbered = numbering.with_next_ids(rows, existing)
+    numbered = numbering.with_next_ids(rows.repartition(partitions), existing)
     assert numbered.schema["id"].dataType == T.IntegerType()
-    found = numbered.collect()
-    assert sorted(r.id for r in found) == list(range(42, 842))
-    assert sum(r.b == "hot" for r in found) == 300
-    again = numbering.with_next_ids(rows.repartition(5), existing)
-    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, found), key=str)
+    found = sorted(map(tuple, numbered.collect()))
+    assert [r[0] for r in found] == list(range(42, 842))
+    assert [r[1] for r in found] == sorted(r[1] for r in found)
+    assert sum(r[2] == "hot" for r in found) == 300
+
+
+def test_ids_do_not_depend_on_estimates(spark):
+    """The same rows as a plain range, and exploded from one row that Spark takes for tiny."""
+    plain = spark.range(2000).select((F.col("id") * 7919 % 2000).alias("a"))
+    exploded = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1999).cast("long"))).alias("a"))
+    none = local_table(spark, [], ID_SCHEMA)
+    ids = [{r.a: r.id for r in numbering.with_next_ids(df, none).collect()} for df in (plain, exploded)]
+    assert ids[0] == ids[1] == {a: a + 1 for a in range(2000)}
+
+
+def test_order_columns_give_the_ids(spark):
+    rows = spark.range(50).select((49 - F.col("id")).alias("position"), F.col("id").alias("a"))
+    found = numbering.with_next_ids(rows, local_table(spark, [], ID_SCHEMA), "position").collect()
+    assert {r.a: r.id for r in found} == {a: 50 - a for a in range(50)}
+
+
+def test_exploded_rows_are_counted_before_a_broadcast(spark):
+    many = spark.range(1).select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5000).cast("long"))).alias("id"))
+    few = spark.range(3)
+    for df, joins in ((many, "SortMergeJoin"), (few, "BroadcastHashJoin")):
+        joined = spark.range(10_000).join(broadcast_if_few(df, 1000), "id")
+        text = joined._jdf.queryExecution().executedPlan().toString()
+        assert joins in text and ("Broadcast" in text) == (df is few)
 
 
 def test_first_id_is_one(spark):

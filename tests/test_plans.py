@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import samples
-from wattframe.operators import series as choosing
+from wattframe.functions.instants import time_span
+from wattframe.operators import energy, series as choosing
 from wattframe.operators.weights import sample_hours
 from wattframe.plans import kpi, series
 from wattframe.sources.event_log import sample_registry
@@ -16,6 +18,7 @@ from wattframe.sources.samples import append_samples, read_samples, stored_form
 from wattframe.tables import Tables, seed_carriers, seed_factors
 
 SPAN = ("2024-02-03T00:00:00Z", "2024-02-25T12:30:00Z")
+SPANS = time_span(*SPAN)
 
 
 @pytest.fixture(scope="module")
@@ -57,9 +60,12 @@ def test_series_months_and_times_reach_the_scan(stored, query, ids):
 
 
 def test_only_needed_columns_are_read(stored):
-    text = plan(kpi.co2_savings(stored, "1hour", *SPAN))
+    text = plan(kpi.local_consumption(stored, "1hour", *SPAN))
     schemas = set(re.findall(r"ReadSchema: (.*)\n", text))
-    assert schemas == {"struct<series_timestamp:timestamp,series_value:double,meta_id:int>"}
+    assert schemas == {
+        "struct<series_timestamp:timestamp,series_value:double,meta_id:int>",
+        "struct<series_timestamp:timestamp,meta_id:int>",  # the ends of the chunks of time
+    }
     assert set(re.findall(r"ReadSchema: (.*)\n", plan(series.list_series(stored)))) == {
         "struct<series_timestamp:timestamp,meta_id:int>"
     }
@@ -82,7 +88,7 @@ def test_no_python_and_no_cross_joins(stored):
 
 def test_weighing_by_series_needs_one_shuffle(stored):
     """Windows and sums per series and bucket share it."""
-    text = plan(kpi.total_consumption(stored, *SPAN))
+    text = plan(kpi.total_consumption(replace(stored, weighting="series"), *SPAN))
     assert text.count(") Exchange\n") == 2  # by series, and for the total
     assert "hashpartitioning(meta_id" in text
 
@@ -111,3 +117,29 @@ def test_long_registries_become_semi_joins(spark, stored, monkeypatch):
     text = plan(kpi.total_production(stored, *SPAN))
     assert "LeftSemi" in text
     assert "meta_id, [4,7]" not in text
+
+
+@pytest.mark.parametrize("name", ["grid_consumption", "consumption_by_carrier", "scope_two_emissions", "total_co2_emissions", "co2_savings"])
+def test_indicators_of_several_roles_weigh_once(stored, monkeypatch, name):
+    """All roles come from one table of sums, and nothing else reads samples."""
+    calls = []
+    monkeypatch.setattr(energy, "sample_hours", lambda *a: calls.append(a) or sample_hours(*a))
+    text = plan(getattr(kpi, name)(stored, "1hour", *SPAN))
+    assert len(calls) == 1
+    assert "series_timestamp" not in "".join(re.findall(r"ReadSchema: (.*)\n", text))
+
+
+def test_cost_savings_weigh_once(stored, monkeypatch):
+    calls = []
+    monkeypatch.setattr(energy, "sample_hours", lambda *a: calls.append(a) or sample_hours(*a))
+    assert "series_timestamp" not in "".join(re.findall(r"ReadSchema: (.*)\n", plan(kpi.cost_savings(stored, *SPAN))))
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("ids", [7, 8, 9])
+def test_literal_ids_just_at_their_limit(stored, monkeypatch, ids):
+    """Two more than, as many as, and fewer ids than may be written as literals."""
+    monkeypatch.setattr(choosing, "LITERAL_IDS", 11)
+    chosen = choosing.choose(stored, F.col("id") <= ids + 3)
+    assert chosen.bounded == (ids + 3 <= 11)
+    assert choosing.samples_of(stored, chosen, *SPANS).select("meta_id").distinct().count() == ids + 3

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from datetime import datetime
 from pathlib import Path
 
@@ -18,7 +17,7 @@ from wattframe.streaming.prices import (
     stream_price_samples,
     without_repeats,
 )
-from wattframe.streaming.resample import log_means, logged_means, windowed_means
+from wattframe.streaming.resample import ForeignLog, follow_means, followed_means, log_means, logged_means
 
 START = int(datetime(2019, 6, 3).timestamp() * 1000)
 
@@ -31,6 +30,11 @@ def land(folder, name, first_hour, hours, price=1.0):
     path.write_text(json.dumps({"series": series}))
 
 
+def chunk(name):
+    """A file name of the price series; the start differs by name and lies within the bounds."""
+    return f"4169_DE_hour_{START + sum(map(ord, name))}.json"
+
+
 def expected(*hours):
     return {datetime.fromtimestamp(START / 1000 + h * 3600): float(h) for h in hours if h % 10 != 9}
 
@@ -47,13 +51,13 @@ def run(spark, folder, per_batch=1):
 
 
 def test_repeated_polls_store_each_price_once(spark, folder):
-    land(folder, "a.json", 0, 100)
-    land(folder, "b.json", 50, 100)
+    land(folder, chunk("a"), 0, 100)
+    land(folder, chunk("b"), 50, 100)
     run(spark, folder)
     assert stored(spark, folder) == expected(*range(150))
     # a grown chunk and a file far older than everything before
-    land(folder, "c.json", 140, 40)
-    land(folder, "d.json", -5000, 20)
+    land(folder, chunk("c"), 140, 40)
+    land(folder, chunk("d"), -5000, 20)
     run(spark, folder)
     assert stored(spark, folder) == expected(*range(180), *range(-5000, -4980))
     run(spark, folder)
@@ -61,16 +65,16 @@ def test_repeated_polls_store_each_price_once(spark, folder):
 
 
 def test_a_replayed_batch_adds_nothing(spark, folder):
-    land(folder, "a.json", 0, 30)
+    land(folder, chunk("a"), 0, 30)
     run(spark, folder)
     stream = stream_price_samples(stream_chunks(spark, f"{folder}/landing"), 21)
     append_stream(stream, f"{folder}/ts", f"{folder}/other-state").awaitTermination()
     assert stored(spark, folder) == expected(*range(30))
 
 
-def test_repeats_within_the_watermark(spark, folder):
+def test_repeats_by_state(spark, folder):
     for name in "ab":
-        land(folder, f"{name}.json", 0, 30)
+        land(folder, chunk(name), 0, 30)
     stream = stream_price_samples(stream_chunks(spark, f"{folder}/landing", 1), 21)
     written = (
         without_repeats(stream).writeStream.option("checkpointLocation", f"{folder}/state")
@@ -89,10 +93,10 @@ def test_means_agree_with_the_batch(spark, folder, interval):
             stream_price_samples(chunks, 21), interval, f"{folder}/log", f"{folder}/means-state"
         ).awaitTermination()
 
-    land(folder, "new.json", 2000, 50)
+    land(folder, chunk("new"), 2000, 50)
     log()
     for i in range(3):
-        land(folder, f"{i}.json", i * 50, 50)
+        land(folder, chunk(str(i)), i * 50, 50)
     log()
     run(spark, folder)
     batch = with_bucket(read_samples(spark, f"{folder}/ts"), interval).groupBy("bucket").agg(F.avg("series_value"))
@@ -100,25 +104,51 @@ def test_means_agree_with_the_batch(spark, folder, interval):
     assert found == pytest.approx({r[0]: r[1] for r in batch.collect()})
 
 
-def test_windowed_means_close_behind_the_watermark(spark, folder):
-    for i in range(4):
-        land(folder, f"{i}.json", i * 50, 50)
-        os.utime(f"{folder}/landing/{i}.json", (1000 + i, 1000 + i))
-    chunks = stream_chunks(spark, f"{folder}/landing", 1)
-    means = windowed_means(stream_price_samples(chunks, 21), "1day", "1 day")
-    written = (
-        means.writeStream.option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True).format("parquet").start(f"{folder}/out")
-    )
-    written.awaitTermination()
-    found = {r.bucket: r.mean_value for r in spark.read.parquet(f"{folder}/out").collect()}
-    # hour 198 is the newest: the watermark is hour 174, in the eighth day
-    assert sorted(found) == [datetime(2019, 6, 3 + d) for d in range(7)]
-    assert found[datetime(2019, 6, 4)] == pytest.approx(sum(h for h in range(24, 48) if h % 10 != 9) / 22)
+def test_followed_means_agree_with_the_batch(spark, folder):
+    """Open days and late files included."""
+    for i in (3, 0, 2, 1):
+        land(folder, chunk(str(i)), i * 50, 50)
+    stream = stream_price_samples(stream_chunks(spark, f"{folder}/landing", 1), 21)
+    follow_means(stream, "1day", f"{folder}/log", f"{folder}/follow-state").awaitTermination()
+    run(spark, folder)
+    batch = with_bucket(read_samples(spark, f"{folder}/ts"), "1day").groupBy("bucket").agg(F.avg("series_value"))
+    found = {r.bucket: r.mean_value for r in followed_means(spark, f"{folder}/log").collect()}
+    assert found == pytest.approx({r[0]: r[1] for r in batch.collect()})
+    assert len(list(Path(folder, "log").glob("batch=*"))) >= 4
+
+
+def test_a_log_takes_one_query(spark, folder):
+    """A second checkpoint would number its batches from zero again."""
+    def log(state):
+        stream = stream_price_samples(stream_chunks(spark, f"{folder}/landing"), 21)
+        log_means(stream, "1day", f"{folder}/log", f"{folder}/{state}").awaitTermination()
+
+    land(folder, chunk("a"), 0, 30)
+    log("one")
+    before = logged_means(spark, f"{folder}/log").collect()
+    with pytest.raises(Exception, match="belongs to query"):
+        log("two")
+    assert sorted(logged_means(spark, f"{folder}/log").collect()) == sorted(before)
+    assert issubclass(ForeignLog, ValueError)
+
+
+def test_other_series_bounds_and_index_count(spark, folder):
+    land(folder, chunk("a"), 0, 10)
+    land(folder, "1_DE_hour_1559520000000.json", 500, 10, 99.0)
+    land(folder, "4169_DE_hour_1684792800000.json", 700, 10)  # a start in 2023
+    land(folder, "notes.json", 900, 10)
+    land(folder, chunk("zz"), 50, 10)
+    run(spark, folder)
+    assert stored(spark, folder) == expected(*range(10), *range(50, 60))
+    index = spark.createDataFrame([(START + ord("a"),)], "chunk long")
+    chunks = stream_chunks(spark, f"{folder}/landing")
+    stream = stream_price_samples(chunks, 21, index=index)
+    append_stream(stream, f"{folder}/indexed", f"{folder}/indexed-state").awaitTermination()
+    assert read_samples(spark, f"{folder}/indexed").count() == len(expected(*range(10)))
 
 
 def test_calendar_windows_do_not_stream(spark, folder):
-    land(folder, "a.json", 0, 3)
+    land(folder, chunk("a"), 0, 3)
     samples = stream_price_samples(stream_chunks(spark, f"{folder}/landing"), 21)
     with pytest.raises(ValueError):
-        windowed_means(samples, "1month", "1 day")
+        follow_means(samples, "1month", f"{folder}/log", f"{folder}/state")

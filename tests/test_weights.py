@@ -85,13 +85,10 @@ def test_both_ways_agree_on_events(spark):
     assert tuple(joined.first()) == (100000, 0)
 
 
-def test_auto_takes_chunks_for_large_tables(spark, monkeypatch):
-    from wattframe.operators import weights as module
-
+def test_chunks_unless_series_are_asked_for(spark):
     df = samples(spark, [(1, m, 1.0) for m in [0, 5]])
-    assert "chunk" not in sample_hours(df)._jdf.queryExecution().toString()
-    monkeypatch.setattr(module, "SINGLE_TASK_LIMIT", 10)
     assert "chunk" in sample_hours(df)._jdf.queryExecution().toString()
+    assert "chunk" not in sample_hours(df, "series")._jdf.queryExecution().toString()
 
 
 def test_chunks_narrow_for_dense_series(spark, monkeypatch):

@@ -37,9 +37,9 @@ def time_span(
 
 def instant(moment: datetime, data_type: T.DataType) -> Column:
     """``moment`` as a literal of ``data_type`` (TIMESTAMP or TIMESTAMP_NTZ, in UTC)."""
-    if isinstance(data_type, T.TimestampNTZType):
-        return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(data_type)
-    return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S.%f+00:00")).cast(data_type)
+    text = moment.replace(tzinfo=None).isoformat(" ", "microseconds")
+    zone = "" if isinstance(data_type, T.TimestampNTZType) else "+00:00"
+    return F.lit(text + zone).cast(data_type)
 
 
 def rfc_3339(ts: Column) -> Column:

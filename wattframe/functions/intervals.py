@@ -16,6 +16,8 @@ MONTHS_PER_UNIT = {"month": 1, "year": 12}
 INTERVAL_PATTERN = re.compile(r"([0-9]+)(min|hour|day|week|month|year)")
 MAX_COUNT = 2**31 - 1
 FIXED_ORIGIN = datetime(2000, 1, 3, tzinfo=timezone.utc)  # a Monday
+EARLIEST = datetime.min.replace(tzinfo=timezone.utc)
+LATEST = datetime.max.replace(tzinfo=timezone.utc)
 CALENDAR_ORIGIN = "2000-01-01"
 
 
@@ -81,21 +83,33 @@ def with_bucket(
 def whole_buckets(
     interval: str | Interval, start: datetime, end: datetime
 ) -> tuple[datetime, datetime]:
-    """Smallest span of whole buckets covering [start, end]; its upper end is exclusive."""
+    """Smallest span of whole buckets covering [start, end]; its upper end is exclusive.
+
+    Ends beyond what a datetime holds are its first or last moment.
+    """
     step = parse_interval(interval)
     if step.months:
 
         def month_start(index: int) -> datetime:
-            return datetime(2000 + index // 12, index % 12 + 1, 1, tzinfo=timezone.utc)
+            year = 2000 + index // 12
+            if year < 1:
+                return EARLIEST
+            return LATEST if year > 9999 else datetime(year, index % 12 + 1, 1, tzinfo=timezone.utc)
 
         def month_index(moment: datetime) -> int:
             index = (moment.year - 2000) * 12 + moment.month - 1
             return index - index % step.months
 
         return month_start(month_index(start)), month_start(month_index(end) + step.months)
-    width = timedelta(seconds=step.seconds)
-
-    def floor(moment: datetime) -> datetime:
-        return moment - (moment - FIXED_ORIGIN) % width
 
-    return floor(start), floor(end) + width
+    def place(moment: datetime, whole: int) -> datetime:
+        """Start of the moment's bucket, ``whole`` buckets on, within what a datetime holds."""
+        index = (moment - FIXED_ORIGIN) // timedelta(seconds=1) // step.seconds + whole
+        seconds = index * step.seconds
+        if seconds <= (EARLIEST - FIXED_ORIGIN).total_seconds():
+            return EARLIEST
+        if seconds >= (LATEST - FIXED_ORIGIN).total_seconds():
+            return LATEST
+        return FIXED_ORIGIN + timedelta(seconds=seconds)
+
+    return place(start, 0), place(end, 1)

@@ -1,4 +1,4 @@
-"""Size checks that decide between plans, and the folder for durable intermediate data."""
+"""Counts that decide between plans, and the folder for durable intermediate data."""
 
 from __future__ import annotations
 
@@ -7,47 +7,39 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BROADCAST_LIMIT = 32 * 1024 * 1024
-SINGLE_TASK_LIMIT = 64 * 1024 * 1024
-PARTITION_SIZE = 128 * 1024 * 1024
-MAX_PARTITIONS = 1_000_000  # beyond it the estimate is a placeholder, not a size
+BROADCAST_ROWS = 100_000
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Spark's own size estimate of a plan, or None where the session does not offer it."""
-    plan = getattr(df, "_jdf", None)
-    if plan is None:
-        return None
-    return int(plan.queryExecution().optimizedPlan().stats().sizeInBytes())
+def broadcast_if_few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` if it is counted to have at most ``rows`` rows, else sort and merge.
 
-
-def is_small(df: DataFrame, limit: int) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size <= limit
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Hint a broadcast only below ``limit``; above it Spark picks a shuffled join."""
-    return F.broadcast(df) if is_small(df, limit) else df
-
-
-def partition_count(df: DataFrame, size: int = PARTITION_SIZE) -> list[int]:
-    """How many partitions of ``size`` the rows need, as arguments for a repartition.
-
-    Empty while the session's own number is enough; Spark may then merge small ones.
+    Only ``rows + 1`` rows are counted. Spark's own estimate isn't asked, for it doesn't see
+    how many rows an explode makes.
     """
-    expected = estimated_bytes(df)
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    needed = 0 if expected is None else -(-expected // size)
-    return [needed] if configured < needed <= MAX_PARTITIONS else []
+    few = df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if few else df.hint("merge")
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the cluster's checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         base = tempfile.mkdtemp(prefix="run-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet and read back: computed once, and its size is known."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a staged table once nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

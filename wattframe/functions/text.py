@@ -29,8 +29,3 @@ def number_or_zero(raw: Column) -> Column:
         .when(raw.rlike(NAN_PATTERN), F.lit(float("nan")))
         .otherwise(F.lit(0.0))
     )
-
-
-def fail_if(condition: Column, message: Column, value: Column) -> Column:
-    """``value``, or a job failure with ``message`` where ``condition`` holds."""
-    return F.when(condition, F.raise_error(message)).otherwise(value)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattframe.functions.intervals import with_bucket
-from wattframe.operators.series import SeriesSet, choose_with_carrier, grid_mix, samples_of
+from wattframe.functions.sizes import shared_folder, staged
+from wattframe.operators.series import SeriesSet, choose, grid_mix, samples_of
 from wattframe.operators.weights import sample_hours
 from wattframe.tables import Tables
 
@@ -15,7 +17,7 @@ from wattframe.tables import Tables
 def sample_energy(t: Tables, series: SeriesSet, start: datetime, end: datetime) -> DataFrame:
     """Samples of the chosen series with their weight ``hours`` and energy ``kwh``."""
     samples = samples_of(t, series, start, end)
-    weighed = sample_hours(samples, t.weighting, t.chunk, source=t.ts)
+    weighed = sample_hours(samples, t.weighting, t.chunk)
     return weighed.withColumn("kwh", F.col("series_value") * F.col("hours"))
 
 
@@ -43,16 +45,58 @@ def bucket_energy(
     )
 
 
-def mix_shares(t: Tables, interval: str, start: datetime, end: datetime) -> DataFrame:
-    """Share of each carrier in the grid mix per bucket: bucket, carrier, carrier_name, share."""
-    series = choose_with_carrier(t, grid_mix())
-    rows = with_bucket(samples_of(t, series, start, end), interval)
-    if not series.bounded:
-        rows = rows.groupBy("meta_id", "bucket").agg(F.sum("series_value").alias("series_value"))
+def role_buckets(
+    t: Tables, roles: dict[str, Column], interval: str, start: datetime, end: datetime, *columns: str
+) -> DataFrame:
+    """Sums per series and bucket of all roles, from one scan and one weighing.
+
+    Adds a flag per role, the carrier and the given registry columns. ``amount`` and
+    ``samples`` are sum and number of the plain values. One row per series and bucket is
+    written to the shared folder, for an indicator to read as often as it needs.
+    """
+    flags = [F.coalesce(role, F.lit(False)).alias(name) for name, role in roles.items()]
+    series = choose(t, reduce(lambda a, b: a | b, roles.values()), "carrier", *columns, *flags)
+    rows = (
+        with_bucket(sample_energy(t, series, start, end), interval)
+        .groupBy("meta_id", "bucket")
+        .agg(
+            F.sum("kwh").alias("kwh"),
+            F.sum(F.greatest(F.col("kwh"), F.lit(0.0))).alias("kwh_used"),
+            F.sum("series_value").alias("amount"),
+            F.count("series_value").alias("samples"),
+        )
+    )
+    return staged(series.describe(rows), shared_folder(t.ts.sparkSession, "buckets"))
+
+
+def with_carrier_name(t: Tables, rows: DataFrame) -> DataFrame:
+    """Rows that have a carrier, with its name."""
+    names = t.carriers.select(F.col("id").alias("carrier"), F.col("name").alias("carrier_name"))
+    return rows.join(names, "carrier")
+
+
+def shares(t: Tables, rows: DataFrame, on_zero: str = "error") -> DataFrame:
+    """Share of each carrier in the ``amount`` per bucket: bucket, carrier, carrier_name, share.
+
+    A bucket whose total is zero fails the job, or has NULL shares with ``on_zero="null"``.
+    """
+    if on_zero not in ("error", "null"):
+        raise ValueError(f"unknown handling of zero totals: {on_zero!r}")
     mix = (
-        series.describe(rows)
+        with_carrier_name(t, rows)
         .groupBy("bucket", "carrier", "carrier_name")
-        .agg(F.sum("series_value").alias("amount"))
+        .agg(F.sum("amount").alias("amount"))
     )
     total = F.sum("amount").over(Window.partitionBy("bucket"))
-    return mix.select("bucket", "carrier", "carrier_name", (F.col("amount") / total).alias("share"))
+    share = F.col("amount") / total if on_zero == "error" else F.try_divide("amount", total)
+    return mix.select("bucket", "carrier", "carrier_name", share.alias("share"))
+
+
+def mix_shares(
+    t: Tables, interval: str, start: datetime, end: datetime, on_zero: str = "error"
+) -> DataFrame:
+    """Shares of the grid mix on their own, without weighing any sample."""
+    series = choose(t, grid_mix(), "carrier")
+    rows = with_bucket(samples_of(t, series, start, end), interval)
+    sums = rows.groupBy("meta_id", "bucket").agg(F.sum("series_value").alias("amount"))
+    return shares(t, series.describe(sums), on_zero)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from wattframe.functions.sizes import broadcast_if_small
+from wattframe.functions.sizes import shared_folder, staged
 from wattframe.operators.numbering import with_next_ids
-from wattframe.tables import DEFAULT_SOURCE, FACTOR_UNIT, Tables
+from wattframe.tables import DEFAULT_SOURCE, FACTOR_SCHEMA, FACTOR_UNIT, Tables
+
+AUDIT = ["created_at", "updated_at"]
+STORED_SCHEMA = T.StructType([*FACTOR_SCHEMA.fields, *(T.StructField(c, T.TimestampType()) for c in AUDIT)])
 
 # Carriers without a factor of their own and the carriers they average.
 CONVENTIONAL = ["gas", "lignite", "coal", "nuclear"]
@@ -19,9 +23,7 @@ AVERAGES = {
 
 
 def _carrier_names(carriers: DataFrame) -> DataFrame:
-    return broadcast_if_small(
-        carriers.select(F.col("id").alias("carrier"), F.col("name").alias("carrier_name"))
-    )
+    return carriers.select(F.col("id").alias("carrier"), F.col("name").alias("carrier_name"))
 
 
 def average_factors(factors: DataFrame, carriers: DataFrame) -> DataFrame:
@@ -57,10 +59,36 @@ def new_factors(requests: DataFrame, factors: DataFrame, carriers: DataFrame) ->
     return with_next_ids(rows, factors)
 
 
+def read_factors(spark: SparkSession, path: str) -> DataFrame:
+    """The stored factors with their audit columns; empty if nothing was written yet."""
+    try:
+        return spark.read.schema(STORED_SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], STORED_SCHEMA)
+
+
+def append_factors(requests: DataFrame, path: str, carriers: DataFrame) -> DataFrame:
+    """Append the factors of ``requests`` and return the rows written.
+
+    Nothing is written if a carrier is unknown. One writer at a time.
+    """
+    spark = requests.sparkSession
+    bad = rejected_factors(requests, carriers).first()
+    if bad is not None:
+        raise ValueError(f"unknown carrier: {bad.carrier}")
+    now = F.current_timestamp()
+    rows = new_factors(requests, read_factors(spark, path), carriers).withColumns(dict.fromkeys(AUDIT, now))
+    rows = staged(rows.select(*STORED_SCHEMA.names), shared_folder(spark, "factors"))
+    rows.write.mode("append").parquet(path)
+    return rows
+
+
 def rejected_factors(requests: DataFrame, carriers: DataFrame) -> DataFrame:
     """Requests whose carrier is not registered."""
     names = carriers.select(F.col("name").alias("carrier"))
-    return requests.join(broadcast_if_small(names), "carrier", "left_anti")
+    return requests.join(names, "carrier", "left_anti")
 
 
 def list_factors(t: Tables, source: str | None = None, carrier: str | None = None) -> DataFrame:
@@ -84,7 +112,7 @@ def source_or_default(t: Tables, source: str) -> str:
 def resolve_sources(requests: DataFrame, factors: DataFrame, source: str = "source") -> DataFrame:
     """Add ``used_source`` to many requests at once, by the rule of ``source_or_default``."""
     known = factors.select(F.col("source").alias("used_source")).distinct()
-    return requests.join(broadcast_if_small(known), F.col(source) == F.col("used_source"), "left").withColumn(
+    return requests.join(known, F.col(source) == F.col("used_source"), "left").withColumn(
         "used_source", F.coalesce("used_source", F.lit(DEFAULT_SOURCE))
     )
 

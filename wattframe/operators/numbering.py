@@ -4,52 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wattframe.functions.sizes import is_small
+from wattframe.functions.sizes import shared_folder, staged
 
-BUCKETS = 1024
-BLOCK = 100_000
-SMALL = 1024 * 1024
 
+def with_next_ids(rows: DataFrame, existing: DataFrame, *order: str) -> DataFrame:
+    """Put ids after the highest existing one in front of ``rows``, in ``order``.
 
-def with_next_ids(rows: DataFrame, existing: DataFrame) -> DataFrame:
-    """Put gapless ids after the highest existing one in front of ``rows``.
-
-    Equal rows are counted before the shuffle and unfolded again afterwards, block by
-    block; distinct rows are numbered within hash buckets and shifted by the sizes of
-    the buckets before. So no task sorts more than its buckets, a row repeated many
-    many times weighs nothing, and ids depend on the data only, not on its partitioning.
-    Rows that are estimated to be few are numbered in one task instead.
+    One rule for any size: a row's id follows from its place in the order of the columns
+    (all of them by default), whatever the number of rows or partitions. Rows are ranged by
+    the order and written once, numbered within their range, and shifted by the sizes of the
+    ranges before; equal rows may be split over ranges. One row per range passes one task.
     """
     columns = rows.columns
+    order = order or tuple(columns)
     id_type = existing.schema["id"].dataType
-    highest = F.lit(existing.agg(F.max("id")).first()[0] or 0)
-    if is_small(rows, SMALL):
-        number = F.row_number().over(Window.orderBy(*columns)) + highest
-        return rows.select(number.cast(id_type).alias("id"), *columns)
-    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    counted = counted.withColumn("_bucket", F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)))
-    sizes = counted.groupBy("_bucket").agg(F.sum("_copies").alias("_size"))
-    # one row per bucket, so never more than BUCKETS rows
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shift = highest + F.coalesce(F.sum("_size").over(earlier), F.lit(0))
-    shifts = sizes.select("_bucket", shift.alias("_shift"))
-    within = (
-        Window.partitionBy("_bucket")
-        .orderBy(*columns)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    last = F.sum("_copies").over(within)
-    numbered = (
-        counted.withColumn("_last", last)
-        .join(F.broadcast(shifts), "_bucket")
-        .withColumn("_last", F.col("_shift") + F.col("_last"))
-        .withColumn("_first", F.col("_last") - F.col("_copies") + 1)
-        .withColumn("_block", F.explode(F.sequence("_first", "_last", F.lit(BLOCK))))
-        .withColumn(
-            "_id",
-            F.explode(
-                F.sequence("_block", F.least(F.col("_block") + BLOCK - 1, F.col("_last")))
-            ),
-        )
-    )
-    return numbered.select(F.col("_id").cast(id_type).alias("id"), *columns)
+    highest = existing.agg(F.max("id")).first()[0] or 0
+    split = rows.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = split.repartitionByRange(*order, "_tie").withColumn("_range", F.spark_partition_id())
+    ranged = staged(ranged, shared_folder(rows.sparkSession, "numbered"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    shifts = shifts.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order, "_tie"))
+    # as many shifts as ranges, which the session bounds
+    numbered = ranged.withColumn("_place", place).join(F.broadcast(shifts), "_range")
+    number = F.col("_place") + F.col("_shift") + F.lit(highest)
+    return numbered.select(number.cast(id_type).alias("id"), *columns)

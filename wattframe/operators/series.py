@@ -8,7 +8,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wattframe.functions.instants import instant
-from wattframe.functions.sizes import broadcast_if_small
 from wattframe.functions.text import key
 from wattframe.tables import Tables
 
@@ -63,7 +62,7 @@ class SeriesSet:
     def describe(self, df: DataFrame) -> DataFrame:
         """Add the registry columns to rows keyed by ``meta_id``."""
         frame = self.frame.withColumnRenamed("id", "meta_id")
-        frame = F.broadcast(frame) if self.bounded else broadcast_if_small(frame)
+        frame = F.broadcast(frame) if self.bounded else frame
         return df.join(frame, "meta_id")
 
 
@@ -79,14 +78,14 @@ def choose_with_carrier(t: Tables, role: Column, *columns: Column | str) -> Seri
     """As ``choose``, without series that have no carrier; adds carrier id and name."""
     carriers = t.carriers.select(F.col("id").alias("carrier"), F.col("name").alias("carrier_name"))
     chosen = choose(t, role & F.col("carrier").isNotNull(), "carrier", *columns)
-    return SeriesSet(chosen.frame.join(broadcast_if_small(carriers), "carrier"), chosen.ids)
+    return SeriesSet(chosen.frame.join(carriers, "carrier"), chosen.ids)
 
 
 def in_range(ts: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Samples in the closed range; names the month partition too where there is one."""
     data_type = ts.schema["series_timestamp"].dataType
     if "month" in ts.columns:
-        months = [F.lit(m.strftime("%Y-%m-01")).cast("date") for m in (start, end)]
+        months = [F.lit(f"{m.year:04}-{m.month:02}-01").cast("date") for m in (start, end)]
         ts = ts.filter(F.col("month").between(*months))
     return ts.filter(
         F.col("series_timestamp").between(instant(start, data_type), instant(end, data_type))
@@ -102,4 +101,4 @@ def samples_of(t: Tables, series: SeriesSet, start: datetime, end: datetime) ->
     if series.bounded:
         return ts.filter(F.col("meta_id").isin(series.ids))
     ids = series.frame.select(F.col("id").alias("meta_id"))
-    return ts.join(broadcast_if_small(ids), "meta_id", "left_semi")
+    return ts.join(ids, "meta_id", "left_semi")

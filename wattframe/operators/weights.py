@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from wattframe.functions.intervals import with_bucket
-from wattframe.functions.sizes import SINGLE_TASK_LIMIT, is_small
 
 # Fixed value: the longest time a sample may stand for, in hours.
 MAX_HOURS = 0.25
@@ -88,21 +87,14 @@ def fitting_chunk(samples: DataFrame) -> str:
 
 
 def sample_neighbours(
-    samples: DataFrame,
-    weighting: str = "auto",
-    chunk: str = "1hour",
-    source: DataFrame | None = None,
+    samples: DataFrame, weighting: str = "chunked", chunk: str = "1hour"
 ) -> DataFrame:
     """Add ``before`` and ``after``, the neighbouring timestamps within the series.
 
-    ``weighting`` is ``series`` (one window per series), ``chunked`` (any series length)
-    or ``auto``, which takes the first only if the whole ``source`` table (by default
-    the samples themselves) is estimated to fit one task. ``chunk`` is an interval; wide
-    ones suit sparse series, narrow ones dense series, and ``auto`` counts beforehand.
+    ``weighting`` is ``chunked`` (any series length) or, where every series is known to fit
+    one task, ``series``; no size is guessed. ``chunk`` is an interval; wide ones suit sparse
+    series, narrow ones dense series, and ``auto`` counts beforehand.
     """
-    if weighting == "auto":
-        fits = is_small(samples if source is None else source, SINGLE_TASK_LIMIT)
-        weighting = "series" if fits else "chunked"
     samples = samples.filter(F.col("meta_id").isNotNull())
     if weighting == "series":
         return _neighbours_by_series(samples)
@@ -113,10 +105,7 @@ def sample_neighbours(
 
 
 def sample_hours(
-    samples: DataFrame,
-    weighting: str = "auto",
-    chunk: str = "1hour",
-    source: DataFrame | None = None,
+    samples: DataFrame, weighting: str = "chunked", chunk: str = "1hour"
 ) -> DataFrame:
     """Add ``hours``, the weight of each sample."""
     ts = F.col("series_timestamp")
@@ -124,5 +113,5 @@ def sample_hours(
     since = _hours_between(F.col("before"), ts, data_type)
     until = _hours_between(ts, F.col("after"), data_type)
     hours = F.least(F.coalesce(since, until), F.lit(MAX_HOURS))
-    near = sample_neighbours(samples, weighting, chunk, source)
+    near = sample_neighbours(samples, weighting, chunk)
     return near.select(*samples.columns, hours.alias("hours"))

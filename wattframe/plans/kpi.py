@@ -16,9 +16,11 @@ from wattframe.functions.intervals import parse_interval, whole_buckets, with_bu
 from wattframe.functions.text import key
 from wattframe.operators.energy import (
     bucket_energy,
-    mix_shares,
+    role_buckets,
     sample_energy,
     series_energy,
+    shares,
+    with_carrier_name,
 )
 from wattframe.operators.factors import factors_of
 from wattframe.operators.series import (
@@ -28,6 +30,7 @@ from wattframe.operators.series import (
     any_producer,
     choose,
     choose_with_carrier,
+    grid_mix,
     local_consumer,
     local_producer,
     named,
@@ -107,22 +110,22 @@ def _ordered(df: DataFrame, *columns: str) -> DataFrame:
     return df.orderBy(*(F.col(c).asc_nulls_last() for c in columns))
 
 
-def _grid_energy(t: Tables, interval: str, span: tuple, *by: str) -> DataFrame:
+def _drawn(rows: DataFrame, *by: str) -> DataFrame:
     """Energy drawn from the grid per bucket and the named registry columns."""
-    series = choose(t, named(GRID_REFERENCE), "unit", "carrier")
-    energy = series.describe(bucket_energy(t, series, interval, *span))
-    return energy.groupBy("bucket", *by).agg(
-        F.sum("kwh").alias("kwh"), F.sum("kwh_used").alias("kwh_used")
+    return (
+        rows.filter("grid")
+        .groupBy(F.col("bucket").alias("drawn_bucket"), *by)
+        .agg(F.sum("kwh").alias("kwh"), F.sum("kwh_used").alias("kwh_used"))
     )
 
 
-def _grid_parts(t: Tables, interval: str, span: tuple) -> DataFrame:
-    drawn = _grid_energy(t, interval, span, "unit").select(
-        F.col("bucket").alias("drawn_bucket"),
+def _grid_parts(t: Tables, rows: DataFrame, on_zero: str) -> DataFrame:
+    drawn = _drawn(rows, "unit").select(
+        "drawn_bucket",
         F.col("kwh").alias("bucket_consumption"),
         F.col("unit").alias("consumption_unit"),
     )
-    joined = mix_shares(t, interval, *span).join(
+    joined = shares(t, rows.filter("mix"), on_zero).join(
         drawn, F.col("bucket") == F.col("drawn_bucket"), "left"
     )
     return joined.select(
@@ -135,20 +138,26 @@ def _grid_parts(t: Tables, interval: str, span: tuple) -> DataFrame:
 
 
 def grid_consumption(
-    t: Tables, interval: str, from_: Instant = None, to: Instant = None
+    t: Tables,
+    interval: str,
+    from_: Instant = None,
+    to: Instant = None,
+    on_zero: str = "error",
 ) -> DataFrame:
     """Carrier shares of the grid mix beside the energy drawn from the grid per bucket.
 
     Buckets with a mix but no grid reference keep their shares and have NULL elsewhere.
+    ``on_zero="null"`` leaves shares of a zero total NULL instead of failing.
     """
     parse_interval(interval)
-    return _ordered(_grid_parts(t, interval, time_span(from_, to)), "bucket", "carrier_name")
+    roles = {"mix": grid_mix(), "grid": named(GRID_REFERENCE)}
+    rows = role_buckets(t, roles, interval, *time_span(from_, to), "unit")
+    return _ordered(_grid_parts(t, rows, on_zero), "bucket", "carrier_name")
 
 
-def _local_parts(t: Tables, interval: str, span: tuple) -> DataFrame:
-    series = choose_with_carrier(t, local_producer(), "unit")
+def _local_parts(t: Tables, rows: DataFrame) -> DataFrame:
     return (
-        series.describe(bucket_energy(t, series, interval, *span))
+        with_carrier_name(t, rows)
         .groupBy("bucket", "carrier_name", "unit")
         .agg(F.sum("kwh_used").alias("bucket_consumption"))
         .select(
@@ -166,7 +175,9 @@ def local_production(
 ) -> DataFrame:
     """Energy of local producers per bucket, carrier and unit; negative power counts as 0."""
     parse_interval(interval)
-    return _ordered(_local_parts(t, interval, time_span(from_, to)), "bucket", "carrier_name")
+    series = choose(t, local_producer(), "carrier", "unit")
+    rows = series.describe(bucket_energy(t, series, interval, *time_span(from_, to)))
+    return _ordered(_local_parts(t, rows), "bucket", "carrier_name")
 
 
 def consumption_by_carrier(
@@ -186,8 +197,10 @@ def consumption_by_carrier(
             F.lit(local).alias("local"),
         )
 
-    grid = energy(_grid_parts(t, interval, span), False)
-    return grid.unionByName(energy(_local_parts(t, interval, span), True))
+    roles = {"mix": grid_mix(), "grid": named(GRID_REFERENCE), "made": local_producer()}
+    rows = role_buckets(t, roles, interval, *span, "unit")
+    grid = energy(_grid_parts(t, rows, "error"), False)
+    return grid.unionByName(energy(_local_parts(t, rows.filter("made")), True))
 
 
 def local_consumption(
@@ -216,10 +229,9 @@ def local_consumption(
     return _ordered(rows, "bucket", "consumer_name")
 
 
-def _scope_one(t: Tables, interval: str, span: tuple, factors: DataFrame) -> DataFrame:
-    series = choose_with_carrier(t, local_producer(), "identifier")
+def _scope_one(t: Tables, rows: DataFrame, factors: DataFrame) -> DataFrame:
     return (
-        series.describe(bucket_energy(t, series, interval, *span))
+        with_carrier_name(t, rows)
         .groupBy("bucket", "carrier", "carrier_name", "identifier")
         .agg(F.sum("kwh_used").alias("kwh_used"))
         .join(factors.distinct(), "carrier")
@@ -241,27 +253,16 @@ def scope_one_emissions(
 ) -> DataFrame:
     """Emissions of local producers, one row per bucket, producer and factor."""
     parse_interval(interval)
-    rows = _scope_one(t, interval, time_span(from_, to), factors_of(t, source))
+    series = choose(t, local_producer(), "carrier", "identifier")
+    made = series.describe(bucket_energy(t, series, interval, *time_span(from_, to)))
+    rows = _scope_one(t, made, factors_of(t, source))
     return _ordered(rows, "bucket", "carrier_name", "value")
 
 
-def _scope_two(
-    t: Tables, interval: str, span: tuple, factors: DataFrame, weight: Column
-) -> DataFrame:
-    drawn = _grid_energy(t, interval, span, "carrier").select(
-        F.col("bucket").alias("drawn_bucket"), "kwh_used"
-    )
-    return (
-        mix_shares(t, interval, *span)
-        .join(drawn, F.col("bucket") == F.col("drawn_bucket"), "left")
-        .join(factors, "carrier")
-        .select(
-            F.col("drawn_bucket").alias("bucket"),
-            (F.col("kwh_used") * F.col("share") * weight).alias("value"),
-            "carrier_name",
-            F.lit(EMISSION_UNIT).alias("unit"),
-        )
-    )
+def _grid_shares(t: Tables, rows: DataFrame) -> DataFrame:
+    """Shares of the mix beside the energy drawn from the grid."""
+    drawn = _drawn(rows, "carrier").select("drawn_bucket", "kwh_used")
+    return shares(t, rows.filter("mix")).join(drawn, F.col("bucket") == F.col("drawn_bucket"), "left")
 
 
 def scope_two_emissions(
@@ -280,7 +281,18 @@ def scope_two_emissions(
     """
     parse_interval(interval)
     weight = F.col("factor") if apply_factor else F.lit(1.0)
-    rows = _scope_two(t, interval, time_span(from_, to), factors_of(t, source), weight)
+    roles = {"mix": grid_mix(), "grid": named(GRID_REFERENCE)}
+    sums = role_buckets(t, roles, interval, *time_span(from_, to))
+    rows = (
+        _grid_shares(t, sums)
+        .join(factors_of(t, source), "carrier")
+        .select(
+            F.col("drawn_bucket").alias("bucket"),
+            (F.col("kwh_used") * F.col("share") * weight).alias("value"),
+            "carrier_name",
+            F.lit(EMISSION_UNIT).alias("unit"),
+        )
+    )
     return _ordered(rows, "bucket", "carrier_name")
 
 
@@ -291,12 +303,23 @@ def total_co2_emissions(
     to: Instant = None,
     source: str = DEFAULT_SOURCE,
 ) -> DataFrame:
-    """Sum of scope one and scope two emissions."""
+    """Sum of scope one and scope two emissions.
+
+    Only a total is wanted, so factors are summed or counted per carrier before they meet
+    the energy: the distinct ones in scope one, the rows in scope two.
+    """
     parse_interval(interval)
     span = time_span(from_, to)
     factors = factors_of(t, source)
-    parts = _scope_one(t, interval, span, factors).unionByName(
-        _scope_two(t, interval, span, factors, F.lit(1.0))
+    roles = {"mix": grid_mix(), "grid": named(GRID_REFERENCE), "made": local_producer()}
+    rows = role_buckets(t, roles, interval, *span)
+    per_carrier = factors.groupBy("carrier").agg(
+        F.sum_distinct("factor").alias("factors"), F.count(F.lit(1)).alias("rows")
+    )
+    made = with_carrier_name(t, rows.filter("made")).join(per_carrier, "carrier")
+    used = _grid_shares(t, rows).join(per_carrier, "carrier")
+    parts = made.select((F.col("kwh_used") * F.col("factors")).alias("value")).unionByName(
+        used.select((F.col("kwh_used") * F.col("share") * F.col("rows")).alias("value"))
     )
     value = F.coalesce("value", F.lit(0.0))
     total = parts.agg(F.sum(value).alias("value"))
@@ -324,9 +347,9 @@ def co2_savings(
     parse_interval(interval)
     span = time_span(from_, to)
     factors = factors_of(t, source)
-    series = choose(t, local_producer(), "carrier")
+    rows = role_buckets(t, {"mix": grid_mix(), "made": local_producer()}, interval, *span)
     by_carrier = (
-        series.describe(bucket_energy(t, series, interval, *span))
+        rows.filter("made")
         .groupBy("bucket", "carrier")
         .agg(F.sum("kwh_used").alias("kwh"))
     )
@@ -344,7 +367,7 @@ def co2_savings(
         F.sum("factor").alias("factors"), F.count(F.lit(1)).alias("rows")
     )
     grid = (
-        mix_shares(t, interval, *span)
+        shares(t, rows.filter("mix"))
         .join(per_carrier, "carrier")
         .groupBy("bucket")
         .agg(
@@ -365,16 +388,11 @@ def co2_savings(
 def cost_savings(t: Tables, from_: Instant = None, to: Instant = None) -> DataFrame:
     """Market value of all producers' energy, hour by hour."""
     span = time_span(from_, to)
-    produced = (
-        bucket_energy(t, choose(t, any_producer()), "1hour", *span)
-        .groupBy("bucket")
-        .agg(F.sum("kwh_used").alias("kwh"))
-    )
-    prices = (
-        with_bucket(samples_of(t, choose(t, named(MARKET_PRICE)), *span), "1hour")
-        .groupBy("bucket", "meta_id")
-        .agg(F.avg("series_value").alias("price"))
-    )
+    roles = {"made": any_producer(), "price": named(MARKET_PRICE)}
+    rows = role_buckets(t, roles, "1hour", *span)
+    produced = rows.filter("made").groupBy("bucket").agg(F.sum("kwh_used").alias("kwh"))
+    mean = F.try_divide("amount", "samples")
+    prices = rows.filter("price").select("bucket", mean.alias("price"))
     saved = produced.join(prices, "bucket").agg(
         F.sum(F.col("kwh") * (F.col("price") / PRICE_PER_KWH)).alias("saved")
     )
@@ -388,10 +406,15 @@ def total_grid_electricity_cost(
     """Energy drawn from the grid times the mean price of each whole bucket.
 
     Prices count over whole buckets even where the range cuts one, so their scan is
-    widened to the buckets the range touches.
+    widened to the buckets the range touches. It is a scan of its own: with the energy it
+    would be weighed over the wider range, where the first sample has another neighbour.
     """
     span = time_span(from_, to)
-    drawn = _grid_energy(t, interval, span).select("bucket", F.col("kwh_used").alias("kwh"))
+    drawn = (
+        bucket_energy(t, choose(t, named(GRID_REFERENCE)), interval, *span)
+        .groupBy("bucket")
+        .agg(F.sum("kwh_used").alias("kwh"))
+    )
     first, past = whole_buckets(interval, *span)
     series = choose(t, named(MARKET_PRICE))
     data_type = t.ts.schema["series_timestamp"].dataType

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wattframe.functions.instants import time_span
 from wattframe.functions.intervals import parse_interval, with_bucket
-from wattframe.functions.sizes import broadcast_if_small
 from wattframe.operators.series import in_range, named
 from wattframe.tables import Tables
 
@@ -33,7 +32,7 @@ class Series:
 def _with_carrier_names(t: Tables, meta: DataFrame) -> DataFrame:
     names = t.carriers.select(F.col("id").alias("carrier"), F.col("name").alias("carrier_name"))
     return (
-        meta.join(broadcast_if_small(names), "carrier", "left")
+        meta.join(names, "carrier", "left")
         .withColumn("carrier", F.col("carrier_name"))
         .select(*META_COLUMNS)
     )
@@ -102,10 +101,20 @@ def list_series(t: Tables, page: int = 0, per_page: int = PAGE_SIZE) -> DataFram
 
     The page is cut before the samples are touched, so only its id span is read.
     """
-    rows = t.meta.orderBy("id").offset(page * per_page).limit(per_page)
-    first, last = rows.agg(F.min("id"), F.max("id")).first()
-    on_page = F.lit(False) if first is None else F.col("meta_id").between(first, last)
-    return _with_extent(t, _with_carrier_names(t, rows), on_page)
+    return _page(t, t.meta.orderBy("id").offset(page * per_page).limit(per_page))
+
+
+def list_series_after(t: Tables, after: int | None = None, per_page: int = PAGE_SIZE) -> DataFrame:
+    """The page of the registry that follows an id; no earlier rows are sorted or skipped."""
+    rest = t.meta if after is None else t.meta.filter(F.col("id") > after)
+    return _page(t, rest.orderBy("id").limit(per_page))
+
+
+def _page(t: Tables, rows: DataFrame) -> DataFrame:
+    """Names and extents of a page, whose ids, as many as the page is long, are found once."""
+    ids = [r.id for r in rows.select("id").collect()]
+    rows = t.meta.filter(F.col("id").isin(ids))
+    return _with_extent(t, _with_carrier_names(t, rows), F.col("meta_id").isin(ids))
 
 
 def get_series(t: Tables, identifier: str) -> DataFrame:

@@ -64,7 +64,7 @@ def event_samples(events: DataFrame) -> DataFrame:
     )
 
 
-def event_tables(spark: SparkSession, folder: str, weighting: str = "auto") -> Tables:
+def event_tables(spark: SparkSession, folder: str, weighting: str = "chunked") -> Tables:
     """All four tables, with the samples taken from ``events.parquet`` in ``folder``."""
     events = spark.read.parquet(f"{folder}/events.parquet")
     return Tables(

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattframe.functions.instants import RFC_3339
-from wattframe.functions.sizes import broadcast_if_small
 
 BODY_SCHEMA = "timeseries array<struct<timestamp: string, value: double, identifier: string>>"
 
 
-def read_bodies(spark: SparkSession, path: str) -> DataFrame:
-    """Landed request bodies, one JSON document per file."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "body")
+def read_bodies(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Landed request bodies: one JSON document per file, or one per line.
+
+    Files of lines are split over tasks; a document of its own is one row in one task.
+    """
+    return spark.read.text(path, wholetext=not lines).withColumnRenamed("value", "body")
 
 
 def parse_points(bodies: DataFrame, body: str = "body") -> DataFrame:
@@ -49,6 +51,6 @@ def resolve_points(points: DataFrame, meta: DataFrame) -> DataFrame:
     Identifiers must match in case. Of several units the lowest series id counts.
     """
     ids = meta.groupBy("identifier").agg(F.min("id").alias("meta_id"))
-    return points.join(broadcast_if_small(ids), "identifier").select(
+    return points.join(ids, "identifier").select(
         "meta_id", "series_timestamp", "series_value"
     )

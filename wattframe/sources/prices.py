@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattframe.functions.instants import EPOCH, instant, parse_instant
-from wattframe.functions.sizes import broadcast_if_small
+from wattframe.functions.sizes import broadcast_if_few
 
 # File names, and the open interval chunk starts must lie in.
 CHUNK_NAME = r"(?:^|/)(\w+)_(\w+)_(\w+)_(\d+)\.json$"
@@ -44,10 +44,15 @@ def read_chunks(
     """(chunk, series) of the landed chunk files of one price series."""
     files = spark.read.schema(CHUNK_SCHEMA).option("multiLine", True).option("mode", "FAILFAST")
     return with_chunk(
-        files.option("pathGlobFilter", f"{filter_value}_{region}_{resolution}_*.json").json(path)
+        files.option("pathGlobFilter", chunk_files(filter_value, region, resolution)).json(path)
     )
 
 
+def chunk_files(filter_value: str, region: str, resolution: str) -> str:
+    """Pattern of the names of one price series' files."""
+    return f"{filter_value}_{region}_{resolution}_*.json"
+
+
 def with_chunk(files: DataFrame) -> DataFrame:
     """Add the chunk start that a file carries in its name."""
     name = F.col("_metadata.file_name")
@@ -63,7 +68,7 @@ def wanted_chunks(
     """Chunks the index names whose start lies strictly between the bounds."""
     named = index.filter(chunk_wanted(F.col("chunk"), after, before)).select("chunk").distinct()
     wanted = chunks.filter(chunk_wanted(F.col("chunk"), after, before))
-    return wanted.join(broadcast_if_small(named), "chunk", "left_semi")
+    return wanted.join(broadcast_if_few(named), "chunk", "left_semi")
 
 
 def price_points(chunks: DataFrame) -> DataFrame:

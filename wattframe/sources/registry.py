@@ -1,13 +1,18 @@
-"""Registering series: rows (identifier, unit, carrier name, consumption, description, local)."""
+"""Registering series.
+
+Inputs are rows (identifier, unit, carrier name, consumption, description, local, position);
+the position is the place in the list they were sent in, and gives new ids their order.
+"""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from wattframe.functions.sizes import broadcast_if_small
+from wattframe.functions.sizes import shared_folder, staged
 from wattframe.functions.text import key
 from wattframe.operators.numbering import with_next_ids
-from wattframe.tables import local_table
+from wattframe.tables import META_SCHEMA, local_table
 
 INPUT_SCHEMA = T.StructType(
     [
@@ -17,14 +22,22 @@ INPUT_SCHEMA = T.StructType(
         T.StructField("consumption", T.BooleanType()),
         T.StructField("description", T.StringType()),
         T.StructField("local", T.BooleanType()),
+        T.StructField("position", T.LongType()),
     ]
 )
 REQUIRED_ON_IMPORT = ["carrier", "consumption", "description"]
+AUDIT = ["created_at", "updated_at"]
+STORED_SCHEMA = T.StructType([*META_SCHEMA.fields, *(T.StructField(c, T.TimestampType()) for c in AUDIT)])
+
+
+class RefusedSeries(ValueError):
+    """Series that are registered already, or sent twice."""
 
 
 def series_inputs(spark: SparkSession, entries: list[dict]) -> DataFrame:
     """Series definitions of an import spec or request as a table."""
-    unknown = {name for entry in entries for name in entry} - set(INPUT_SCHEMA.names)
+    attributes = INPUT_SCHEMA.names[:-1]
+    unknown = {name for entry in entries for name in entry} - set(attributes)
     if unknown:
         raise ValueError(f"unknown series attributes: {sorted(unknown)}")
     for entry in entries:
@@ -32,14 +45,12 @@ def series_inputs(spark: SparkSession, entries: list[dict]) -> DataFrame:
             raise ValueError(f"identifier and unit are required: {entry}")
         if not isinstance(entry.get("carrier"), (str, type(None))):
             raise ValueError(f"carrier must be a name: {entry}")
-    rows = [tuple(entry.get(name) for name in INPUT_SCHEMA.names) for entry in entries]
+    rows = [(*(entry.get(name) for name in attributes), i) for i, entry in enumerate(entries)]
     return local_table(spark, rows, INPUT_SCHEMA)
 
 
 def _by_name(carriers: DataFrame) -> DataFrame:
-    return broadcast_if_small(
-        carriers.select(F.col("id").alias("carrier_id"), F.col("name").alias("carrier"))
-    )
+    return carriers.select(F.col("id").alias("carrier_id"), F.col("name").alias("carrier"))
 
 
 def normalised(inputs: DataFrame) -> DataFrame:
@@ -64,14 +75,17 @@ def new_series(inputs: DataFrame, meta: DataFrame, carriers: DataFrame) -> DataF
     """Registry rows that importing normalised ``inputs`` adds.
 
     Known (identifier, unit) pairs and unknown carriers add nothing. Of several inputs
-    for one pair one is kept, the same one on every run.
+    for one pair the first listed is kept; ids follow the list.
     """
     known = meta.select(key("identifier").alias("_i"), key("unit").alias("_u"))
     attributes = ["identifier", "unit", "carrier_id", "consumption", "description", "local"]
     first = (
         inputs.join(_by_name(carriers), "carrier")
         .groupBy(key("identifier").alias("_i"), key("unit").alias("_u"))
-        .agg(F.min(F.struct(*attributes)).alias("row"))
+        .agg(
+            F.min_by(F.struct(*attributes), F.struct("position", *attributes)).alias("row"),
+            F.min("position").alias("position"),
+        )
     )
     rows = first.join(known, ["_i", "_u"], "left_anti").select(
         "row.identifier",
@@ -81,8 +95,9 @@ def new_series(inputs: DataFrame, meta: DataFrame, carriers: DataFrame) -> DataF
         "row.description",
         "row.local",
         F.lit(0).alias("microgrid_id"),
+        "position",
     )
-    return with_next_ids(rows, meta)
+    return with_next_ids(rows, meta, "position", "identifier", "unit").drop("position")
 
 
 def resolved(inputs: DataFrame, meta: DataFrame) -> DataFrame:
@@ -91,12 +106,13 @@ def resolved(inputs: DataFrame, meta: DataFrame) -> DataFrame:
         F.col("id").alias("meta_id"), key("identifier").alias("_i"), key("unit").alias("_u")
     )
     keyed = inputs.withColumns({"_i": key("identifier"), "_u": key("unit")})
-    return keyed.join(broadcast_if_small(ids), ["_i", "_u"], "left").drop("_i", "_u")
+    return keyed.join(ids, ["_i", "_u"], "left").drop("_i", "_u")
 
 
 def registered_series(inputs: DataFrame, meta: DataFrame, carriers: DataFrame) -> DataFrame:
     """The registry after importing ``inputs``: every known row and the new ones."""
-    return meta.unionByName(new_series(normalised(inputs), meta, carriers))
+    columns = [c for c in meta.columns if c not in AUDIT]
+    return meta.select(*columns).unionByName(new_series(normalised(inputs), meta, carriers))
 
 
 def added_series(inputs: DataFrame, meta: DataFrame, carriers: DataFrame) -> DataFrame:
@@ -104,7 +120,7 @@ def added_series(inputs: DataFrame, meta: DataFrame, carriers: DataFrame) -> Dat
 
     Keys keep their case; an unknown carrier is stored as NULL while ``carrier_name``
     echoes the request. Pairs that are registered, or sent twice, are refused when the
-    rows are written: check with ``refused_series`` first.
+    rows are written, see ``append_series``.
     """
     rows = inputs.join(_by_name(carriers), "carrier", "left").select(
         "identifier",
@@ -115,8 +131,9 @@ def added_series(inputs: DataFrame, meta: DataFrame, carriers: DataFrame) -> Dat
         "local",
         F.lit(0).alias("microgrid_id"),
         F.col("carrier").alias("carrier_name"),
+        "position",
     )
-    return with_next_ids(rows, meta)
+    return with_next_ids(rows, meta, "position", "identifier", "unit").drop("position")
 
 
 def refused_series(inputs: DataFrame, meta: DataFrame) -> DataFrame:
@@ -135,3 +152,35 @@ def refused_series(inputs: DataFrame, meta: DataFrame) -> DataFrame:
         .filter((F.col("sent") > 1) | ((F.col("sent") > 0) & (F.col("held") > 0)))
         .select("identifier", "unit", "sent", "held")
     )
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The stored registry with its audit columns; empty if nothing was written yet."""
+    try:
+        return spark.read.schema(STORED_SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], STORED_SCHEMA)
+
+
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Append registry rows as they are, stamped with the current time."""
+    now = F.current_timestamp()
+    stamped = rows.select(*META_SCHEMA.names, *(now.alias(c) for c in AUDIT))
+    stamped.write.mode("append").parquet(path)
+
+
+def append_series(inputs: DataFrame, path: str, carriers: DataFrame) -> DataFrame:
+    """Append ``inputs`` sent to the registry directly and return the rows written.
+
+    Nothing is written if a pair is registered already or sent twice. One writer at a time.
+    """
+    spark = inputs.sparkSession
+    meta = read_registry(spark, path)
+    refused = refused_series(inputs, meta).first()
+    if refused is not None:
+        raise RefusedSeries(f"already registered or sent twice: {refused.identifier} in {refused.unit}")
+    rows = staged(added_series(inputs, meta, carriers), shared_folder(spark, "series"))
+    append_rows(rows, path)
+    return rows

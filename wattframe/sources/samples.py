@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from wattframe.functions.instants import EPOCH, require_utc
-from wattframe.functions.sizes import broadcast_if_small, partition_count
+from wattframe.functions.sizes import drop_folder, shared_folder, staged
 from wattframe.operators.series import in_range
 from wattframe.tables import SAMPLE_SCHEMA
 
@@ -75,7 +75,7 @@ def duplicate_samples(batch: DataFrame, existing: DataFrame) -> DataFrame:
     copies = keys.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("copies"))
     clashes = (
         existing.select(*KEYS)
-        .join(broadcast_if_small(copies.select(*KEYS)), KEYS, "left_semi")
+        .join(copies.select(*KEYS), KEYS, "left_semi")
         .distinct()
         .withColumn("stored", F.lit(True))
     )
@@ -87,19 +87,9 @@ def duplicate_samples(batch: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def new_samples(batch: DataFrame, existing: DataFrame) -> DataFrame:
-    """One row per key of ``batch`` that ``existing`` lacks; of copies the lowest value.
-
-    Rows without a series are all kept, since they never clash.
-    """
-    single = (
-        batch.filter(F.col("meta_id").isNotNull())
-        .groupBy(*KEYS)
-        .agg(F.min("series_value").alias("series_value"))
-    )
-    fresh = single.join(existing.select(*KEYS), KEYS, "left_anti")
-    return fresh.unionByName(
-        batch.filter(F.col("meta_id").isNull()).select(*KEYS, "series_value")
-    )
+    """One row per key of ``batch`` that ``existing`` lacks; of copies the lowest value."""
+    single = batch.groupBy(*KEYS).agg(F.min("series_value").alias("series_value"))
+    return single.join(existing.select(*KEYS), KEYS, "left_anti")
 
 
 def stored_form(batch: DataFrame) -> DataFrame:
@@ -107,16 +97,21 @@ def stored_form(batch: DataFrame) -> DataFrame:
 
     Ranges split a long series or a full month over many tasks and files, and make the
     files skippable by series and time. Equal keys meet in one range, so repeated keys
-    are found on the way: the second copy fails the job and nothing is committed. The
-    id is a hash of the key, the same on every run; with the timestamp it is unique.
+    are found on the way: the second copy fails the job and nothing is committed, and so
+    does a row without series or time, which no query could read. The id is a hash of the
+    key, the same on every run; with the timestamp it is unique.
     """
     order = ["month", *KEYS]
     rows = batch.select(*KEYS, "series_value").withColumn("month", month_of("series_timestamp"))
     copy = F.row_number().over(Window.partitionBy(*order).orderBy("series_value"))
     message = F.format_string("repeated sample: series %s at %s", *KEYS)
-    repeated = (F.col("copy") > 1) & F.col("meta_id").isNotNull()
-    value = F.when(repeated, F.raise_error(message)).otherwise(F.col("series_value"))
-    ranges = rows.repartitionByRange(*partition_count(batch), *order)
+    lacking = F.col("meta_id").isNull() | F.col("series_timestamp").isNull()
+    value = (
+        F.when(lacking, F.raise_error(F.lit("sample without a series or a time")))
+        .when(F.col("copy") > 1, F.raise_error(message))
+        .otherwise(F.col("series_value"))
+    )
+    ranges = rows.repartitionByRange(*order)
     return (
         ranges.withColumn("copy", copy)
         .select(
@@ -135,24 +130,31 @@ def append_samples(batch: DataFrame, path: str, on_duplicate: str = "error") ->
     """Append (meta_id, series_timestamp, series_value) rows to the table at ``path``.
 
     ``error`` refuses the whole batch if a key is repeated or already stored, ``skip``
-    appends the rows that are new.
+    appends the rows that are new. The batch is written to the shared folder first, so that
+    it is computed once and its size is known, and removed in the end. Keys are checked before
+    they are written, so a table may have one writer at a time only.
     """
     if on_duplicate not in ("error", "skip"):
         raise ValueError(f"unknown duplicate handling: {on_duplicate!r}")
-    existing = read_samples(batch.sparkSession, path)
-    stored = has_samples(existing)
-    if stored:
-        existing = touched_rows(existing, batch)
-    if on_duplicate == "skip":
-        batch = new_samples(batch, existing)
-    elif stored:
-        keys = batch.select(*KEYS)
-        clash = existing.select(*KEYS).join(broadcast_if_small(keys), KEYS, "left_semi").first()
-        if clash is not None:
-            raise DuplicateSamples(
-                f"already stored: series {clash.meta_id} at {clash.series_timestamp}"
-            )
-    stored_form(batch).write.mode("append").partitionBy("month").parquet(path)
+    spark = batch.sparkSession
+    place = shared_folder(spark, "batch")
+    try:
+        batch = staged(batch.select(*KEYS, "series_value"), place)
+        existing = read_samples(spark, path)
+        stored = has_samples(existing)
+        if stored:
+            existing = touched_rows(existing, batch)
+        if on_duplicate == "skip":
+            batch = new_samples(batch, existing)
+        elif stored:
+            clash = existing.select(*KEYS).join(batch.select(*KEYS), KEYS, "left_semi").first()
+            if clash is not None:
+                raise DuplicateSamples(
+                    f"already stored: series {clash.meta_id} at {clash.series_timestamp}"
+                )
+        stored_form(batch).write.mode("append").partitionBy("month").parquet(path)
+    finally:
+        drop_folder(spark, place)
 
 
 def unnest_samples(

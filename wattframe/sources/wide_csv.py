@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from wattframe.functions.sizes import shared_folder
 from wattframe.functions.text import number_or_zero
-from wattframe.sources.registry import normalised, registered_series, resolved, series_inputs
+from wattframe.sources.registry import (
+    append_rows,
+    normalised,
+    read_registry,
+    registered_series,
+    resolved,
+    series_inputs,
+)
 from wattframe.sources.samples import append_samples, has_samples, read_samples
 from wattframe.tables import local_table
 
@@ -25,22 +31,38 @@ ENTRY_SCHEMA = T.StructType(
 
 @dataclass(frozen=True)
 class ImportSpec:
-    """Which files to import, their time column and the series among their columns."""
+    """Which files to import, their time column and the series among their columns.
+
+    Files with ``line_breaks`` inside quoted fields are read whole by one task each; without,
+    such a field fails the import.
+    """
 
     time_column: str
     timeseries: list[dict]
     files: list[str] = field(default_factory=list)
+    line_breaks: bool = False
 
 
 def parse_spec(spec: dict | str) -> ImportSpec:
     """An import spec from a dict or JSON text."""
     content = json.loads(spec) if isinstance(spec, str) else spec
-    return ImportSpec(content["time_column"], content["timeseries"], content.get("files") or [])
+    return ImportSpec(
+        content["time_column"],
+        content["timeseries"],
+        content.get("files") or [],
+        bool(content.get("line_breaks")),
+    )
+
 
+def read_spec(path: str, spark: SparkSession | None = None) -> ImportSpec:
+    """An import spec from a JSON or, where a YAML reader is installed, YAML file.
 
-def read_spec(path: str) -> ImportSpec:
-    """An import spec from a JSON or, where a YAML reader is installed, YAML file."""
-    text = Path(path).read_text()
+    With a session the file may lie wherever Spark can read, else where Python can.
+    """
+    if spark is None:
+        text = Path(path).read_text()
+    else:
+        text = spark.read.text(path, wholetext=True).first().value
     if path.endswith(".json"):
         return parse_spec(text)
     try:
@@ -50,7 +72,7 @@ def read_spec(path: str) -> ImportSpec:
     return parse_spec(yaml.safe_load(text))
 
 
-def read_wide(spark: SparkSession, path: str) -> DataFrame:
+def read_wide(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """All columns as text, with quotes doubled inside quoted fields.
 
     Files below one path must share their header: many equal files are best named by
@@ -61,6 +83,7 @@ def read_wide(spark: SparkSession, path: str) -> DataFrame:
         .option("escape", '"')
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
+        .option("multiLine", line_breaks)
         .csv(path)
     )
 
@@ -103,7 +126,7 @@ def import_wide(
     spark: SparkSession, spec: ImportSpec, meta: DataFrame, carriers: DataFrame
 ) -> WideImport:
     """Plan the import of every file of the spec; nothing is written yet."""
-    files = {path: read_wide(spark, path) for path in spec.files}
+    files = {path: read_wide(spark, path, spec.line_breaks) for path in spec.files}
     for path, wide in files.items():
         if spec.time_column not in wide.columns:
             raise ValueError(f"{path} has no column {spec.time_column!r}")
@@ -150,16 +173,19 @@ def load_wide(
     carriers: DataFrame,
     path: str,
     only_if_empty: bool = False,
+    registry_path: str | None = None,
 ) -> WideImport | None:
     """Import and append to the sample table; None if ``only_if_empty`` and it is not.
 
-    The parsed cells are written to the shared folder first, so that the checks and the
-    sort read columns instead of parsing the text again.
+    With a ``registry_path`` the series the import adds to ``meta`` are appended there before
+    any sample is stored, so no sample is left without its series.
     """
     if only_if_empty and has_samples(read_samples(spark, path)):
         return None
     planned = import_wide(spark, spec, meta, carriers)
-    staged = shared_folder(spark, "wide-import")
-    planned.samples.write.parquet(staged)
-    append_samples(spark.read.parquet(staged), path)
+    if registry_path is not None:
+        known = meta.select("id")
+        append_rows(planned.meta.join(known, "id", "left_anti"), registry_path)
+        planned = replace(planned, meta=read_registry(spark, registry_path))
+    append_samples(planned.samples, path)
     return planned

@@ -2,27 +2,57 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wattframe.sources.prices import CHUNK_SCHEMA, price_points
+from wattframe.sources.prices import (
+    CHUNK_SCHEMA,
+    CHUNKS_AFTER,
+    CHUNKS_BEFORE,
+    chunk_files,
+    chunk_wanted,
+    price_points,
+    with_chunk,
+)
 from wattframe.sources.samples import append_samples
 
 
-def stream_chunks(spark: SparkSession, landing: str, files_per_batch: int = 1000) -> DataFrame:
-    """Price chunk files as they land, one row per file."""
-    return (
+def stream_chunks(
+    spark: SparkSession,
+    landing: str,
+    files_per_batch: int = 1000,
+    filter_value: str = "4169",
+    region: str = "DE",
+    resolution: str = "hour",
+) -> DataFrame:
+    """(chunk, series) of one price series' chunk files as they land; other files are left."""
+    files = (
         spark.readStream.schema(CHUNK_SCHEMA)
         .option("multiLine", True)
         .option("mode", "FAILFAST")
         .option("maxFilesPerTrigger", files_per_batch)
-        .json(landing)
+        .option("pathGlobFilter", chunk_files(filter_value, region, resolution))
     )
+    return with_chunk(files.json(landing))
 
 
-def stream_price_samples(chunks: DataFrame, meta_id: int) -> DataFrame:
-    """Samples of the price series from streamed chunks."""
-    return price_points(chunks).withColumn("meta_id", F.lit(meta_id))
+def stream_price_samples(
+    chunks: DataFrame,
+    meta_id: int,
+    after: str | datetime = CHUNKS_AFTER,
+    before: str | datetime = CHUNKS_BEFORE,
+    index: DataFrame | None = None,
+) -> DataFrame:
+    """Samples of the price series from streamed chunks within the bounds.
+
+    With an ``index`` (chunk) only chunks it names count, as in the batch reader.
+    """
+    wanted = chunks.filter(chunk_wanted(F.col("chunk"), after, before))
+    if index is not None:
+        wanted = wanted.join(index.select("chunk").distinct(), "chunk", "left_semi")
+    return price_points(wanted).withColumn("meta_id", F.lit(meta_id))
 
 
 def append_stream(samples: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -34,12 +64,7 @@ def append_stream(samples: DataFrame, path: str, checkpoint: str) -> StreamingQu
     """
 
     def append(batch: DataFrame, _: int) -> None:
-        # read once, and then of a known size for the join with the stored keys
-        batch.persist()
-        try:
-            append_samples(batch, path, "skip")
-        finally:
-            batch.unpersist()
+        append_samples(batch, path, "skip")
 
     return (
         samples.writeStream.foreachBatch(append)
@@ -49,12 +74,10 @@ def append_stream(samples: DataFrame, path: str, checkpoint: str) -> StreamingQu
     )
 
 
-def without_repeats(samples: DataFrame, delay: str = "14 days") -> DataFrame:
+def without_repeats(samples: DataFrame) -> DataFrame:
     """Drop repeated (series, timestamp) pairs by streaming state.
 
-    Unlike ``append_stream`` it needs no table to compare with, but a point older than
-    the newest one by more than ``delay`` counts as late and is left out.
+    Unlike ``append_stream`` it needs no table to compare with. Keys are kept for good, so no
+    point is ever too late; they are spread over the state stores of all tasks.
     """
-    return samples.withWatermark("series_timestamp", delay).dropDuplicatesWithinWatermark(
-        ["meta_id", "series_timestamp"]
-    )
+    return samples.dropDuplicates(["meta_id", "series_timestamp"])

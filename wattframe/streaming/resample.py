@@ -8,15 +8,20 @@ from pyspark.sql.streaming import StreamingQuery
 from wattframe.functions.intervals import parse_interval, time_window, with_bucket
 
 
+class ForeignLog(ValueError):
+    """A log that another query writes to."""
+
+
 def log_means(samples: DataFrame, interval: str, path: str, checkpoint: str) -> StreamingQuery:
     """Log sum and number of the samples of each batch per series and bucket.
 
     Sums add up whatever the order of arrival, so no sample is ever too late, no state
-    is kept, and month and year buckets work as well. A batch replaces its own folder:
-    replaying it changes nothing. Samples that may repeat go through the sample table
-    first, see streaming.prices.
+    is kept, and month and year buckets work as well. A batch replaces its own folder,
+    named by its query and number: replaying it changes nothing. A log takes one query,
+    the one of its checkpoint; another one, or a lost checkpoint, is refused. Samples that
+    may repeat go through the sample table first, see streaming.prices.
     """
-    step = parse_interval(interval)
+    step, spark = parse_interval(interval), samples.sparkSession
 
     def log(batch: DataFrame, number: int) -> None:
         sums = (
@@ -24,7 +29,11 @@ def log_means(samples: DataFrame, interval: str, path: str, checkpoint: str) ->
             .groupBy("meta_id", "bucket")
             .agg(F.sum("series_value").alias("total"), F.count("series_value").alias("samples"))
         )
-        sums.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        own = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        others = {q for q in _logged_queries(spark, path) if q != own}
+        if others:
+            raise ForeignLog(f"{path} belongs to query {others.pop()}")
+        sums.write.mode("overwrite").parquet(f"{path}/query={own}/batch={number}")
 
     return (
         samples.writeStream.foreachBatch(log)
@@ -34,6 +43,15 @@ def log_means(samples: DataFrame, interval: str, path: str, checkpoint: str) ->
     )
 
 
+def _logged_queries(spark: SparkSession, path: str) -> list[str]:
+    """Queries with a folder in the log."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    return [n.removeprefix("query=") for n in names if n.startswith("query=")]
+
+
 def logged_means(spark: SparkSession, path: str) -> DataFrame:
     """Mean per series and bucket over all batches so far."""
     return (
@@ -43,16 +61,32 @@ def logged_means(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def windowed_means(samples: DataFrame, interval: str, delay: str) -> DataFrame:
-    """Mean per series and fixed-width bucket as a stream, for sinks that follow it.
+def follow_means(samples: DataFrame, interval: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Log the mean of every bucket that a batch changes, open buckets included.
 
-    Spark keeps each bucket until the watermark passes its end; samples older than the
-    newest by more than ``delay`` are then left out. ``log_means`` has no such limit.
+    Spark keeps the sums of all buckets, so no sample is too late; they are spread over the
+    state stores of all tasks. ``log_means`` needs no state.
     """
     window = time_window(F.col("series_timestamp"), interval)
+    means = samples.groupBy("meta_id", window.alias("window")).agg(F.avg("series_value").alias("mean_value"))
+
+    def log(batch: DataFrame, number: int) -> None:
+        rows = batch.select("meta_id", F.col("window")["start"].alias("bucket"), "mean_value")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        means.writeStream.outputMode("update")
+        .foreachBatch(log)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def followed_means(spark: SparkSession, path: str) -> DataFrame:
+    """Latest mean per series and bucket."""
     return (
-        samples.withWatermark("series_timestamp", delay)
-        .groupBy("meta_id", window.alias("window"))
-        .agg(F.avg("series_value").alias("mean_value"))
-        .select("meta_id", F.col("window")["start"].alias("bucket"), "mean_value")
+        spark.read.parquet(path)
+        .groupBy("meta_id", "bucket")
+        .agg(F.max_by("mean_value", "batch").alias("mean_value"))
     )

@@ -97,7 +97,7 @@ class Tables:
     meta: DataFrame
     carriers: DataFrame
     factors: DataFrame
-    weighting: str = "auto"
+    weighting: str = "chunked"
     chunk: str = "1hour"
 
 
