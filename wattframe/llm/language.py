@@ -242,11 +242,10 @@ def train(texts: list[str], langs: list[str], labels: list[str], seed: int = 11)
 
 def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     """Label and mean marginal of each text; texts without a letter get ``und`` and 0."""
-    words = words_of(column)
-    counted = letters(words)
-    means = mean_marginals(model, words, counted)
-    if not means.shape[1]:
+    if not model.labels:
         return [UNKNOWN] * len(column), np.zeros(len(column))
+    words = words_of(column)
+    means = mean_marginals(model, words, letters(words))
     known = means.sum(axis=1) > 0.5
     best = means.argmax(axis=1)
     score = np.where(known, np.clip(means[np.arange(len(means)), best], 0, 1), 0.0)

@@ -118,7 +118,7 @@ def _rounded(classes: DataFrame, limit: int) -> DataFrame:
     """Copies of each class of equal documents: (k, size, n, copies).
 
     Running sums of the rates are rounded, so copies are off by less than one anywhere; what
-    is then missing or over in words is made up by the largest sizes that fit.
+    is then missing or over in words is made up by the sizes that fit, the largest first.
     """
     source = Window.partitionBy("k")
     running = F.sum(F.col("n") * F.col("rate")).over(
@@ -133,21 +133,22 @@ def _rounded(classes: DataFrame, limit: int) -> DataFrame:
         gap = F.col("target") - F.sum(F.col("copies") * F.col("size")).over(source)
         room = F.when(F.col("gap") > 0, most - F.col("copies")).otherwise(F.col("copies"))
         fits = (F.col("size") > 0) & (F.col("size") <= F.abs("gap")) & (F.col("room") > 0)
-        pick = F.max(F.when(F.col("fits"), F.col("size"))).over(source)
-        change = F.least(F.col("room"), F.floor(F.abs("gap") / F.col("size")))
+        larger = source.orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        used = F.coalesce(F.sum(F.when(F.col("fits"), F.col("room") * F.col("size"))).over(larger), F.lit(0))
+        change = F.least(F.col("room"), F.floor((F.abs("gap") - F.col("used")) / F.col("size")))
         return (
             df.withColumn("gap", gap)
             .withColumn("room", room)
             .withColumn("fits", fits)
-            .withColumn("pick", pick)
+            .withColumn("used", used)
             .withColumn(
                 "copies",
                 F.when(
-                    F.col("fits") & (F.col("size") == F.col("pick")),
+                    F.col("fits") & (F.col("used") < F.abs("gap")),
                     F.col("copies") + F.signum("gap").cast("long") * change,
                 ).otherwise(F.col("copies")),
             )
-            .drop("gap", "room", "fits", "pick")
+            .drop("gap", "room", "fits", "used")
         )
 
     return reduce(repaired, range(REPAIRS), out).select("k", "size", "n", "copies")
