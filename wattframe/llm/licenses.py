@@ -152,7 +152,34 @@ def scanned(docs: DataFrame, known: DataFrame, broadcast_licenses: int = BROADCA
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents against the known licences."""
-    return scanned(
-        spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.createDataFrame(KNOWN, KNOWN_SCHEMA)
-    )
+    """All documents against the known licences; the notices as one text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = scanned(docs, spark.createDataFrame(KNOWN, KNOWN_SCHEMA))
+    return found.withColumn("notices", F.array_join("notices", ","))
+
+
+def _sql_line(x: str) -> str:
+    """``canonical_line`` in DuckDB's words."""
+    for pattern, plain in SPELLINGS:
+        x = f"regexp_replace({x}, '{pattern}', '{plain}', 'g')"
+    return rf"trim(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+def oracle() -> str:
+    quoted = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
+    notice = r"regexp_matches(x, '^(copyright )+((19|20)\d\d|by|holder)\b|^copyright$|^portions copyright ')"
+    lines = f"""list_filter(list_transform(string_split(text, chr(10)), lambda x: {_sql_line("lower(x)")}),
+        lambda x: x <> '' and not {notice})"""
+    return f"""
+with known as (
+    select sha256(array_to_string({lines}, ' ')) as part, min(license) as name
+    from (values {quoted}) v(license, text) group by 1
+), d as (select doc_id, {lines} as lines from documents
+), e as (select doc_id, case when len(lines) > 0 then sha256(array_to_string(lines, ' ')) end as digest, lines from d
+), h as (
+    select doc_id, string_agg(distinct name, ',' order by name) as notices
+    from (select doc_id, sha256(unnest(lines)) as part from e) join known using (part) group by 1
+)
+select e.doc_id, digest, name as license, coalesce(notices, '') as notices
+from e left join known on part = digest left join h using (doc_id)
+"""

@@ -290,3 +290,31 @@ def near_duplicates(
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by 4-word shingles."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)
+
+
+OP2_SQL = r"""
+with recursive w as (
+    select doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x != '') as w
+    from documents
+), s as (
+    select distinct doc_id, unnest(case
+        when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as g
+    from w
+), n as (select doc_id, count(*) as n from s group by 1
+), pairs as (
+    select a.doc_id as a, b.doc_id as b, count(*) as c
+    from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+), links as (
+    select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b
+    where 100 * c >= 80 * (x.n + y.n - c)
+), both_ways as (select a, b from links union all select b, a from links
+), reach(doc_id, root) as (
+    select doc_id, doc_id from documents
+    union select both_ways.b, root from reach join both_ways on reach.doc_id = both_ways.a
+), least_root as (select doc_id, min(root) as root from reach group by 1)
+select d.doc_id, coalesce(n, 0) as n_shingles, root as component_id, d.doc_id = root as kept
+from documents d join least_root using (doc_id) left join n using (doc_id)
+"""

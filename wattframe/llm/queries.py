@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from wattframe.llm.contamination import op10_decontamination
 from wattframe.llm.language import op7_language_id
-from wattframe.llm.licenses import op6_license_scan
-from wattframe.llm.minhash import op2_minhash_near_dedup
+from wattframe.llm.licenses import op6_license_scan, oracle as op6_sql
+from wattframe.llm.minhash import OP2_SQL, op2_minhash_near_dedup
 from wattframe.llm.mixing import op8_source_mixing
 from wattframe.llm.passages import op5_substring_dedup
 from wattframe.llm.quality import op1_quality_rules
@@ -27,4 +27,9 @@ QUERIES = {
 }
 
 #: The others are trained, iterate, or hash in ways that SQL lacks; tests hold them to brute force.
-ORACLE = {"op4_url_filters": OP4_SQL, "op9_warc": OP9_SQL}
+ORACLE = {
+    "op2_minhash_near_dedup": OP2_SQL,
+    "op4_url_filters": OP4_SQL,
+    "op6_license_scan": op6_sql(),
+    "op9_warc": OP9_SQL,
+}
