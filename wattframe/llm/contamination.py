@@ -147,12 +147,13 @@ def contaminated(
     nothing is shuffled. The items, a stated query set, are sent to the tasks in blocks of
     about ``block_bytes``, with one pass over the documents per block.
 
-    NULL and empty texts or items never overlap, repeated rows repeat their overlaps, rows
-    without an id report NULL, other columns are ignored, an empty table gives no rows.
+    NULL and empty texts or items never overlap, repeated documents repeat their overlaps and
+    repeated items count once, rows without an id report NULL, other columns are ignored, an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    tests = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("length(text) > 0")
+    tests = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("length(text) > 0").distinct()
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     found = None

@@ -19,6 +19,7 @@ from wattframe.llm.words import _LOWER, Words, mix, slices, words_of
 
 DIMENSIONS = 1 << 18
 SAMPLE = 250
+SAMPLE_TOTAL = 4000
 SAMPLE_BYTES = 200_000
 MAX_LANGUAGES = 1000
 SEGMENT = 128
@@ -255,9 +256,10 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
 def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from labelled rows (text, lang).
 
-    The classifier learns from a bounded sample, about ``sample`` whole texts a language, by
-    the hash of the text, of at most ``sample_bytes`` bytes each. The languages are all that
-    occur; more than 1000 are refused. No labelled rows give a model without languages.
+    The classifier learns from a bounded sample, about ``sample`` different whole texts a
+    language and 4000 in all, by the hash of the text, of at most ``sample_bytes`` bytes each.
+    The languages are all that occur; more than 1000 are refused. No labelled rows give a model
+    without languages.
     """
     rows = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).where(
         f"text is not null and lang is not null and octet_length(text) between 1 and {int(sample_bytes)}"
@@ -267,11 +269,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES)
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return Model([], np.zeros((DIMENSIONS, 0)), np.zeros((0, 0)))
+    sample = min(sample, SAMPLE_TOTAL // len(counts))
     share = F.create_map(
         *[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]) * 2.0**31)]
     )
     place = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 31))
-    chosen = rows.where(place < share[F.col("lang")]).collect()
+    chosen = rows.where(place < share[F.col("lang")]).distinct().collect()  # copies hash alike
     chosen.sort(key=lambda r: (r["lang"], r["text"]))
     return train([r["text"] for r in chosen], [r["lang"] for r in chosen], [r["lang"] for r in counts])
 
