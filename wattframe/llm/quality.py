@@ -108,7 +108,9 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD
     against an even multinomial; other columns are ignored.
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    trusted = texts.join(trusted_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    # by shuffle at every size: the ids grow with the corpus
+    known = trusted_ids.select("doc_id").distinct().hint("merge")
+    trusted = texts.join(known, "doc_id", "left_semi")
     ratios = stage(log_ratios(gram_counts(trusted), gram_counts(texts)), "ratios")
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     grams = F.concat("ones", "twos")
