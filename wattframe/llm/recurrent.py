@@ -71,24 +71,30 @@ def step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.nda
     return own + gates[:, :size] * (h - own), gates, own, a[:, 2 * size :]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _chosen(x: np.ndarray, places: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log softmax at the targets, and exponentials with their sums; changes ``x`` in place.
+
+    Scores are held within +-60, where neither a sum of exponentials nor its log overflows.
+    """
+    np.clip(x, -60, 60, out=x)
+    own = x[places, target]
+    np.exp(x, out=x)
+    sums = x.sum(axis=1)
+    return own - np.log(sums), x, sums
 
 
 def log_probabilities(w: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of each number after each state."""
     each = w["word_bias"].shape[1]
     group, inside = y // each, y % each
-    out = _log_softmax(h @ w["class_weights"] + w["class_bias"])[np.arange(len(y)), group]
+    out = _chosen(h @ w["class_weights"] + w["class_bias"], np.arange(len(y)), group)[0]
     order = np.argsort(group, kind="stable")
     ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
     for c in range(CLASSES):
         at = order[ends[c] : ends[c + 1]]
         if len(at):
-            logs = _log_softmax(h[at] @ w["word_weights"][c].T + w["word_bias"][c])
-            out[at] += logs[np.arange(len(at)), inside[at]]
+            scores = h[at] @ w["word_weights"][c].T + w["word_bias"][c]
+            out[at] += _chosen(scores, np.arange(len(at)), inside[at])[0]
     return out
 
 
@@ -113,30 +119,32 @@ def gradients(
     total = max(float(weight.sum()), 1.0)
     each = w["word_bias"].shape[1]
     group, inside = target // each, target % each
-    logs = _log_softmax(states @ w["class_weights"] + w["class_bias"])
     every = np.arange(len(target))
-    loss = -float((logs[every, group] * weight).sum())
-    error = np.exp(logs)
-    error[every, group] -= 1
-    error *= (weight / _F(total))[:, None]
+    logs, error, sums = _chosen(states @ w["class_weights"] + w["class_bias"], every, group)
+    loss = -float((logs * weight).sum())
+    share = weight / _F(total)
+    error *= (share / sums)[:, None]
+    error[every, group] -= share
     out = {"class_weights": states.T @ error, "class_bias": error.sum(axis=0)}
     back = error @ w["class_weights"].T
     out["word_weights"], out["word_bias"] = np.zeros_like(w["word_weights"]), np.zeros_like(w["word_bias"])
+    moved = np.empty_like(states)
     order = np.argsort(group, kind="stable")
     ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
+    by_class, inside, share = states[order], inside[order], share[order]
     for c in range(CLASSES):
-        at = order[ends[c] : ends[c + 1]]
-        if not len(at):
+        at = slice(ends[c], ends[c + 1])
+        own = by_class[at]
+        if not len(own):
             continue
-        own = states[at]
-        logs = _log_softmax(own @ w["word_weights"][c].T + w["word_bias"][c])
-        places = np.arange(len(at))
-        loss -= float((logs[places, inside[at]] * weight[at]).sum())
-        error = np.exp(logs)
-        error[places, inside[at]] -= 1
-        error *= (weight[at] / _F(total))[:, None]
+        places = np.arange(len(own))
+        logs, error, sums = _chosen(own @ w["word_weights"][c].T + w["word_bias"][c], places, inside[at])
+        loss -= float((logs * share[at]).sum()) * total
+        error *= (share[at] / sums)[:, None]
+        error[places, inside[at]] -= share[at]
         out["word_weights"][c], out["word_bias"][c] = error.T @ own, error.sum(axis=0)
-        back[at] += error @ w["word_weights"][c]
+        moved[at] = error @ w["word_weights"][c]
+    back[order] += moved
     back = back.reshape(steps, lanes, size)
     from_state, from_input = np.empty((steps, lanes, 3 * size), _F), np.empty((steps, lanes, 3 * size), _F)
     later = np.zeros((lanes, size), _F)
