@@ -32,6 +32,11 @@ SPELLINGS = [
     (r"&", " and "),
     (r"©|\(c\)", " copyright "),
 ]
+# Each of the spellings holds one of these.
+MARKS = [
+    "licence", "organis", "recognis", "authoris", "favour", "acknowledgement", "fulfil", "license",
+    "commercial", "copyright owner", "per cent", "https://", "&", "©", "(c)",
+]
 
 # Names and texts of known licences and notices.
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
@@ -91,18 +96,23 @@ altered from any source distribution.""",
 KNOWN_SCHEMA = T.StructType([T.StructField("license", T.StringType()), T.StructField("text", T.StringType())])
 
 
-def canonical_line(line: Column) -> Column:
-    """Lower case, one spelling, no punctuation, single blanks; a copyright line is empty."""
-    spelled = reduce(lambda c, s: F.regexp_replace(c, *s), SPELLINGS, F.lower(line))
-    plain = F.trim(F.regexp_replace(spelled, r"[^\p{L}\p{N}]+", " "))
-    notice = plain.rlike(r"^(copyright )+((19|20)\d\d|by|holder)\b|^copyright$|^portions copyright ")
-    return F.when(notice, "").otherwise(plain)
+def _plain(line: Column) -> Column:
+    """One spelling, no punctuation, single blanks; most lines hold nothing to respell."""
+    spelled = reduce(lambda c, s: F.regexp_replace(c, *s), SPELLINGS, line)
+    some = reduce(lambda a, b: a | b, (F.contains(line, F.lit(m)) for m in MARKS))
+    return F.trim(F.regexp_replace(F.when(some, spelled).otherwise(line), r"[^\p{L}\p{N}]+", " "))
+
+
+def canonical_lines(text: Column) -> Column:
+    """Lines in lower case and plain form, without empty and copyright lines."""
+    notice = r"^(copyright )+((19|20)\d\d|by|holder)\b|^copyright$|^portions copyright "
+    lines = F.transform(F.split(F.lower(text), "\n"), _plain)
+    return F.filter(lines, lambda x: (x != "") & ~x.rlike(notice))
 
 
 def canonical(text: Column) -> Column:
     """All lines that are left, joined: the form of an entire text."""
-    lines = F.transform(F.split(text, "\n"), canonical_line)
-    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+    return F.array_join(canonical_lines(text), " ")
 
 
 def scanned(docs: DataFrame, known: DataFrame, broadcast_licenses: int = BROADCAST_LICENSES) -> DataFrame:
@@ -127,7 +137,7 @@ def scanned(docs: DataFrame, known: DataFrame, broadcast_licenses: int = BROADCA
         "known",
     )
     small = names.limit(broadcast_licenses + 1).count() <= broadcast_licenses
-    lines = F.filter(F.transform(F.split("text", "\n"), canonical_line), lambda x: x != "")
+    lines = canonical_lines(F.col("text"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", lines.alias("lines"))
     whole = F.when(F.size("lines") > 0, F.sha2(F.array_join("lines", " "), 256))
     parts = stage(
@@ -159,7 +169,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_line(x: str) -> str:
-    """``canonical_line`` in DuckDB's words."""
+    """A line's plain form in DuckDB's words."""
     for pattern, plain in SPELLINGS:
         x = f"regexp_replace({x}, '{pattern}', '{plain}', 'g')"
     return rf"trim(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
