@@ -267,7 +267,8 @@ def near_duplicates(
     )
     labels = grouped(
         classes.select(F.col("rep").alias("node"), "bands"),
-        lambda nodes: texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+        # by shuffle at every size: the nodes grow with the texts
+        lambda nodes: texts.join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
         .mapInArrow(_shingle_rows(shingle), "doc_id long, shingles binary")
         .distinct()
         .withColumnRenamed("doc_id", "node"),
