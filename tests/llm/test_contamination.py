@@ -69,3 +69,34 @@ def test_empty_tables_and_repeated_rows(spark):
     assert C.contaminated(documents(spark, ["a b"]), items(spark, [])).collect() == []
     rows = C.contaminated(documents(spark, ["x a b c d e f g y"] * 2, ids=[4, None]), items(spark, ["a b c d e f g"])).collect()
     assert sorted((str(r.doc_id), r.first_word, r.n_words) for r in rows) == [("4", 1, 7), ("None", 1, 7)]
+
+
+def by_definition(equal):
+    """Whether any stretch of 13 words or more has four equal words in five, by trying all."""
+    n = len(equal)
+    return any(5 * sum(equal[a:b]) >= 4 * (b - a) for a in range(n) for b in range(a + C.MIN_OVERLAP, n + 1))
+
+
+def test_each_stretch_at_the_tolerance_counts(spark):
+    rng = random.Random(11)
+    blocks = [[12, -5, 12], [8, -3, 8], [10, -4, 10], [13, *[-3, 10] * 8], [20, -60, 20], [10, -40, 10]]
+    tests = [sentence(rng, sum(map(abs, b)), 10**6) for b in blocks]
+    texts = []
+    for own, test in zip(blocks, tests, strict=True):
+        keep = [n > 0 for n in own for _ in range(abs(n))]
+        texts.append(" ".join(w if k else f"x{rng.randrange(10**6)}" for w, k in zip(test.split(" "), keep, strict=True)))
+    rows = C.contaminated(documents(spark, texts), items(spark, tests)).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(i, i) for i in range(5)}
+    assert all(r.n_words >= C.MIN_OVERLAP and 100 * r.n_equal >= C.PERCENT * r.n_words for r in rows)
+    assert sorted((r.first_word, r.n_words) for r in rows if r.doc_id == 4) == [(0, 20), (80, 20)]
+
+
+def test_overlaps_agree_with_the_definition():
+    rng = random.Random(12)
+    for _ in range(300):
+        share = rng.choice((0.5, 0.7, 0.8, 0.9))
+        equal = [rng.random() < share for _ in range(rng.randrange(0, 60))]
+        doc, item = np.arange(len(equal)), np.where(equal, np.arange(len(equal)), -1)
+        found = C.overlaps(doc, np.append(item, [-2] * 13), 0)
+        assert bool(found) == by_definition(equal)
+        assert all(sum(equal[a : a + n]) == same and 5 * same >= 4 * n and n >= C.MIN_OVERLAP for a, n, same in found)

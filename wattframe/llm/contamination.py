@@ -21,7 +21,6 @@ MIN_OVERLAP = 13
 PERCENT = 80
 BLOCK_BYTES = 16 << 20
 FILTER_BITS = 22
-MISMATCH = 3
 COLUMNS = "doc_id long, item_id long, first_word long, n_words long, n_equal long, start long, end long"
 
 
@@ -90,20 +89,47 @@ class Items:
         return np.unique(np.concatenate(rows), axis=0) if rows else np.zeros((0, 3), np.int64)
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """Best stretch along a diagonal: first word in the document, length, equal words.
+def longest(equal: np.ndarray, least: int, percent: int) -> tuple[int, int]:
+    """Longest stretch of which ``percent`` in a hundred are equal: start and end.
 
-    A stretch gains one per equal word and loses three per other word.
+    Other words at its ends are left out as far as ``least`` words remain.
     """
+    sums = np.concatenate(([0], np.cumsum(np.where(equal, 100 - percent, -percent))))
+    after = np.maximum.accumulate(sums[::-1])[::-1]
+    ends = np.searchsorted(-after, -sums, "right") - 1
+    start = int(np.argmax(ends - np.arange(len(ends))))
+    end = int(ends[start])
+    while end - start > least and not equal[start]:
+        start += 1
+    while end - start > least and not equal[end - 1]:
+        end -= 1
+    return start, end
+
+
+def overlaps(
+    doc: np.ndarray, item: np.ndarray, diagonal: int, min_overlap: int = MIN_OVERLAP, percent: int = PERCENT
+) -> list[tuple[int, int, int]]:
+    """All overlaps along a diagonal, the longest first: first word in the document, length, equal words."""
     low, high = max(0, diagonal), min(len(doc), diagonal + len(item))
     equal = doc[low:high] == item[low - diagonal : high - diagonal]
-    sums = np.concatenate(([0], np.cumsum(np.where(equal, 1, -MISMATCH))))
-    lows = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - lows))
-    start = int(np.argmax(sums[: end + 1] == lows[end]))
-    while start < end and not equal[start]:
-        start += 1
-    return low + start, end - start, int(np.count_nonzero(equal[start:end]))
+    least = min(min_overlap, len(item))
+    found, rest = [], [(0, len(equal))]
+    while rest:
+        a, b = rest.pop()
+        if b - a < max(least, 1):
+            continue
+        start, end = longest(equal[a:b], least, percent)
+        if end - start < max(least, 1):
+            continue
+        start, end = a + start, a + end
+        found.append((low + start, end - start, int(np.count_nonzero(equal[start:end]))))
+        rest += [(a, start), (end, b)]
+    return sorted(found, key=lambda x: (-x[1], x[0]))
+
+
+def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
+    """The longest overlap along a diagonal, of length 0 if there is none."""
+    return next(iter(overlaps(doc, item, diagonal)), (max(0, diagonal), 0, 0))
 
 
 def _overlaps(shared, min_overlap: int, percent: int):
@@ -116,14 +142,14 @@ def _overlaps(shared, min_overlap: int, percent: int):
             for text, item, diagonal in items.hits(words):
                 a, b = words.bounds[text], words.bounds[text + 1]
                 own = items.tokens[items.bounds[item] : items.bounds[item + 1]]
-                first, size, same = overlap(words.hashes[a:b], own, int(diagonal))
-                if size >= min(min_overlap, len(own)) and 100 * same >= percent * size:
+                base = words.offsets[text]
+                for first, size, same in overlaps(words.hashes[a:b], own, int(diagonal), min_overlap, percent):
                     begin, end = words.starts[a + first], words.ends[a + first + size - 1]
-                    base = words.offsets[text]
-                    rows[(text, item, first)] = (
+                    row = (
                         part.column(0)[int(text)].as_py(), items.ids[item],
                         first, size, same, int(begin - base), int(end - base),
                     )
+                    rows[(text, item, first)] = max(rows.get((text, item, first), row), row, key=lambda r: r[3:5])
             columns = zip(*rows.values(), strict=True) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], schema=schema)
 
