@@ -95,3 +95,20 @@ def test_features_of_single_bytes():
     assert np.diff(bounds).tolist() == [9 + n for n in (words.ends - words.starts)[first]]
     assert numbers.min() >= 0 and numbers.max() < L.DIMENSIONS
     assert sentence(random.Random(0), 2)
+
+
+def test_copies_short_and_long_texts_leave_no_language_untrained(spark):
+    rng = random.Random(5)
+    texts = [speak(rng, "aa", 60) for _ in range(30)]
+    langs = ["aa"] * 30
+    few = [speak(rng, "ee", 60) for _ in range(3)]
+    texts += [few[i % 3] for i in range(3000)] + [speak(rng, "oo", 7) for _ in range(40)]
+    langs += ["ee"] * 3000 + ["oo"] * 40
+    new = {"uu": "npq", "ii": "rst"}
+    say = lambda k, n: " ".join("".join(rng.choice(new[k]) + k[0] for _ in range(2)) for _ in range(n))
+    texts += [say("uu", 800), *[say("ii", 60) for _ in range(20)]]
+    langs += ["uu", *["ii"] * 20]
+    model = L.fit(documents(spark, texts, langs), sample=5, sample_bytes=2000)
+    assert model.labels == ["aa", "ee", "ii", "oo", "uu"]
+    asked = [*(speak(rng, k, 30) for k in ("aa", "ee", "oo")), say("ii", 30), say("uu", 30)]
+    assert L.predict(model, pa.array(asked))[0] == ["aa", "ee", "oo", "ii", "uu"]

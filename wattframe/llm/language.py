@@ -165,13 +165,18 @@ def letters(words: Words) -> np.ndarray:
 def splices(words: Words, owner_labels: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Training sequences of word places and their labels, four pieces each.
 
-    Half of them are successive words of one text, half join pieces of different texts.
+    Half of them are successive words of one text, half join pieces of different texts. Labels
+    whose texts are all shorter than a piece get pieces of their words, one after the other.
     """
     pieces = [
         np.arange(a + k, a + k + PIECE)
         for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)
         for k in range(0, b - a - PIECE + 1, PIECE)
     ]
+    owners = np.repeat(owner_labels, np.diff(words.bounds))
+    for label in np.setdiff1d(owners, [owners[p[0]] for p in pieces]):  # short texts only, joined
+        own = np.flatnonzero(owners == label)
+        pieces += list(np.resize(own, (-(-len(own) // PIECE), PIECE)))
     if not pieces:
         return np.zeros((0, 4 * PIECE), np.int64), np.zeros((0, 4 * PIECE), np.int64)
     places = np.stack(pieces)
@@ -257,26 +262,41 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES)
     """A model from labelled rows (text, lang).
 
     The classifier learns from a bounded sample, about ``sample`` different whole texts a
-    language and 4000 in all, by the hash of the text, of at most ``sample_bytes`` bytes each.
-    The languages are all that occur; more than 1000 are refused. No labelled rows give a model
+    language and 4000 in all, at least one each, by the hash of the text, of at most
+    ``sample_bytes`` bytes each. Copies count once. Where a language has longer texts only,
+    their first parts are taken. The languages are all that occur with a word; more than 1000 are refused. No labelled rows give a model
     without languages.
     """
-    rows = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).where(
-        f"text is not null and lang is not null and octet_length(text) between 1 and {int(sample_bytes)}"
+    long = F.octet_length("text") > sample_bytes
+    rows = (
+        docs.select(F.col("text").cast("string"), F.col("lang").cast("string"))
+        .where("text is not null and lang is not null")
+        .select(F.when(long, F.substring("text", 1, max(sample_bytes // 4, 1))).otherwise(F.col("text")).alias("text"), "lang", long.alias("long"))
+        .where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+        .withColumn("hash", F.xxhash64("text", "lang"))
     )
-    counts = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
+    place = F.pmod("hash", F.lit(1 << 31))
+    counts = (
+        rows.select("lang", "long", "hash")
+        .distinct()  # copies count once
+        .groupBy("lang", "long")
+        .agg(F.count("*").alias("texts"), F.min(place).alias("least"))
+        .orderBy("lang", "long")
+        .limit(2 * MAX_LANGUAGES + 2)
+        .collect()
+    )
+    used = {r["lang"]: r for r in reversed(counts)}  # long texts where a language has no others
+    if len(used) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
+    if not used:
         return Model([], np.zeros((DIMENSIONS, 0)), np.zeros((0, 0)))
-    sample = min(sample, SAMPLE_TOTAL // len(counts))
-    share = F.create_map(
-        *[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]) * 2.0**31)]
-    )
-    place = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 31))
-    chosen = rows.where(place < share[F.col("lang")]).distinct().collect()  # copies hash alike
+    sample = min(sample, SAMPLE_TOTAL // len(used))
+    bounds = {k: max(r["least"] + 1, int(min(1.0, sample / r["texts"]) * 2.0**31)) for k, r in used.items()}
+    share = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])
+    kind = F.create_map(*[F.lit(x) for k, r in used.items() for x in (k, r["long"])])
+    chosen = rows.where((place < share[F.col("lang")]) & (F.col("long") == kind[F.col("lang")])).select("text", "lang").distinct().collect()
     chosen.sort(key=lambda r: (r["lang"], r["text"]))
-    return train([r["text"] for r in chosen], [r["lang"] for r in chosen], [r["lang"] for r in counts])
+    return train([r["text"] for r in chosen], [r["lang"] for r in chosen], sorted(used))
 
 
 def _predictions(shared, names: tuple[str, str]):
