@@ -14,6 +14,7 @@ COLUMNS = {
     "op4_url_filters": "page_id host path rule verdict",
     "op7_language_id": "doc_id held_out lang_pred score",
     "op8_source_mixing": "doc_id size source_size target taken",
+    "op12_suffix_array_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op9_warc": "page_id payload_bytes payload_digest record_type refers_to",
 }
 
@@ -24,7 +25,7 @@ def database():
 
 
 def test_names_and_stages():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(ORACLE) < set(QUERIES) and len(corpus_pipeline.STAGES) == 5
 
 

@@ -10,6 +10,7 @@ from wattframe.llm.mixing import op8_source_mixing
 from wattframe.llm.passages import op5_substring_dedup
 from wattframe.llm.quality import op1_quality_rules
 from wattframe.llm.scoring import op3_lm_scoring
+from wattframe.llm.suffixes import op12_suffix_array_dedup
 from wattframe.llm.urls import OP4_SQL, op4_url_filters
 from wattframe.llm.warc import OP9_SQL, op9_warc
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "op12_suffix_array_dedup": op12_suffix_array_dedup,
 }
 
 #: The others are trained, iterate, or hash in ways that SQL lacks; tests hold them to brute force.
