@@ -96,12 +96,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             first = last
 
 
-def words_of(column: pa.Array, lower: bool = True, data: np.ndarray | None = None) -> Words:
-    """All words of all texts of a column, A-Z lower-cased in the hashes unless told not to."""
+def words_of(
+    column: pa.Array, lower: bool = True, data: np.ndarray | None = None, outside: np.ndarray = _SPACES
+) -> Words:
+    """All words of all texts of a column, A-Z lower-cased in the hashes unless told not to.
+
+    ``outside`` tells for each byte whether it lies between words.
+    """
     raw, offsets = text_bytes(column)
     if data is not None:
         raw = data
-    inner = ~_SPACES[raw]
+    inner = ~outside[raw]
     heads = np.zeros(len(raw) + 1, bool)
     heads[offsets] = True
     before = np.empty_like(inner)
