@@ -55,6 +55,8 @@ def test_order_is_that_of_all_suffixes():
         order = sorted(range(len(data)), key=lambda i: data[i:])
         assert S.suffix_order(array, 400).tolist() == order
         assert S.smaller_than_next(array).tolist() == [data[i:] < data[i + 1 :] for i in range(len(data))]
+        wanted = np.array([rng.random() < 0.3 for _ in data], bool)
+        assert S.suffix_order(array, 400, wanted).tolist() == [i for i in order if wanted[i]]
         common = S.common_prefixes(array, np.array(order, np.int64), 50)
         for k in range(1, len(order)):
             a, b = data[order[k - 1] :], data[order[k] :]

@@ -29,7 +29,7 @@ SORT_BYTES = 1 << 19
 SEEN = 100_000
 _TIES = np.random.Generator(np.random.PCG64(11)).integers(0, 256, 1 << 16, np.uint64)
 _NO_TIE = U(0xFFFFFFFFFFFFFF00)
-LISTS = ("anchor", "kind", "first", "last", "again")
+LISTS = ("anchor", "kind", "span")
 
 
 def smaller_than_next(data: np.ndarray) -> np.ndarray:
@@ -42,18 +42,32 @@ def smaller_than_next(data: np.ndarray) -> np.ndarray:
     return rises[np.searchsorted(changes, np.arange(n))]
 
 
-def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
-    """All suffixes of the bytes, in order of at least their first ``depth`` bytes."""
+def needed(small: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The wanted suffixes and those behind them that their places are induced from."""
+    n = len(small)
+    ends = np.append(np.flatnonzero(small), n - 1)
+    starts = np.flatnonzero(wanted)
+    until = np.maximum(ends[np.searchsorted(ends, starts)], starts)
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, until + 1, -1)
+    return np.cumsum(steps[:n]) > 0
+
+
+def suffix_order(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The wanted suffixes of the bytes, all if not told, in order of at least ``depth`` bytes."""
     n = len(data)
     small = smaller_than_next(data)
+    kept = np.ones(n, bool) if wanted is None else needed(small, wanted)
+    big = kept & ~small
     raw = data.tobytes().decode("latin-1")
     # First stage: compare the suffixes that are smaller than their successors.
-    direct = sorted((raw[i : i + depth], i) for i in np.flatnonzero(small).tolist())
+    direct = sorted((raw[i : i + depth], i) for i in np.flatnonzero(small & kept).tolist())
     direct = np.fromiter((i for _, i in direct), np.int64, len(direct))
     firsts = data[direct]
     # Second stage: all others follow from the suffixes a byte later, which stand before them.
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    if n:
+    if n and kept[-1]:
         waiting[data[-1]].append(np.array([n - 1]))
     order = []
     for byte in range(256):
@@ -63,7 +77,7 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
             now = np.concatenate(generation)
             here.append(now)
             before = now[now > 0] - 1
-            before = before[(data[before] == byte) & ~small[before]]
+            before = before[(data[before] == byte) & big[before]]
             generation = [before] if before.size else []
         low, high = np.searchsorted(firsts, [byte, byte + 1]) if firsts.size else (0, 0)
         here.append(direct[low:high])
@@ -72,14 +86,15 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
             continue
         order.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[(data[before] > byte) & ~small[before]]
+        before = before[(data[before] > byte) & big[before]]
         heads = data[before]
         by_head = np.argsort(heads, kind="stable")
         before, heads = before[by_head], heads[by_head]
         cuts = np.flatnonzero(heads[1:] != heads[:-1]) + 1
         for part in np.split(before, cuts) if before.size else []:
             waiting[data[part[0]]].append(part)
-    return np.concatenate(order) if order else np.zeros(0, np.int64)
+    whole = np.concatenate(order) if order else np.zeros(0, np.int64)
+    return whole if wanted is None else whole[wanted[whole]]
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
@@ -125,7 +140,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> d
     equal grams one is picked by place, so repetitive texts don't get a stretch for each byte.
     """
     reach = width - gram + 1
-    found: dict[str, list] = {k: [] for k in ("text", *LISTS)}
+    found: dict[str, list] = {k: [] for k in ("text", "first", "last", "anchor", "kind", "again")}
     for base in range(0, max(len(data) - width + 1, 0), BLOCK - width + 1):
         block = data[base : base + BLOCK]
         size = len(block)
@@ -179,6 +194,16 @@ def stretches(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> d
     return out
 
 
+def packed(first: np.ndarray, last: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """First start, number of starts after it, and the flag, in one number."""
+    return (first << 32) | ((last - first) << 1) | again
+
+
+def _unpacked() -> dict[str, Column]:
+    first = F.shiftright("span", 32)
+    return {"first": first, "last": first + F.shiftright(F.col("span").bitwiseAND(0xFFFFFFFF), 1)}
+
+
 def text_key(text: bytes) -> tuple[int, int]:
     digest = hashlib.sha256(text).hexdigest()
     return int(digest[:15], 16), int(digest[15:30], 16)
@@ -211,6 +236,7 @@ def _all_stretches(width: int, gram: int):
                     seen.clear()
                 seen.add(key)
             found = stretches(data, offsets, width, gram)
+            found["span"] = packed(found["first"], found["last"], found["again"])
             keep = new[found["text"]]
             bounds = np.searchsorted(found["text"][keep], np.arange(len(keys) + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(bounds, pa.array(found[k][keep])) for k in LISTS]
@@ -265,8 +291,7 @@ def repeated_starts(bodies: list[bytes], width: int) -> list[np.ndarray]:
     data = np.frombuffer(b"".join(bodies), np.uint8)
     owner = np.repeat(np.arange(len(bodies)), lengths)
     inside = np.arange(len(data)) + width <= bases[owner + 1]
-    order = suffix_order(data, width)
-    order = order[inside[order]]
+    order = suffix_order(data, width, inside)
     same = common_prefixes(data, order, width) >= width
     twice = same.copy()
     twice[:-1] |= same[1:]
@@ -358,16 +383,16 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, crowded: int = STRETCHES
     each = near.select("k1", "k2", F.inline(F.arrays_zip(*LISTS)))
     kinds = stage(
         each.groupBy("anchor", "kind").agg(
-            F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "first", "last", "again"))
+            F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "span"))
         ),
         "kinds",
     )
     several = (
         kinds.groupBy("anchor")
-        .agg(F.count("*").alias("kinds"), F.max("again").alias("within"))
+        .agg(F.count("*").alias("kinds"), F.max(F.col("span").bitwiseAND(1)).alias("within"))
         .where("kinds > 1 or within = 1")
     )
-    rivals = kinds.join(several, "anchor").withColumn("crowded", F.col("kinds") > crowded)
+    rivals = kinds.join(several, "anchor").withColumns(_unpacked() | {"crowded": F.col("kinds") > crowded})
     wanted = rivals.groupBy("k1", "k2").agg(
         F.collect_list(F.struct("anchor", "kind", "n", "first", "last", "crowded")).alias("wanted")
     )
@@ -389,7 +414,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, crowded: int = STRETCHES
     by_digest = strings.where("n = 1").join(
         strings.groupBy("anchor", "kind").agg(F.count("*").alias("c")).where("c > 1"), ["anchor", "kind"]
     )
-    by_kind = each.join(kinds.where("n > 1").select("anchor", "kind"), ["anchor", "kind"])
+    by_kind = each.join(kinds.where("n > 1").select("anchor", "kind"), ["anchor", "kind"]).withColumns(_unpacked())
     copies = (
         near.groupBy("k1", "k2", "n_bytes").agg(F.count("*").alias("c")).where(f"c > 1 and n_bytes >= {width}")
         .select("k1", "k2", F.lit(0).cast("long").alias("first"), (F.col("n_bytes") - width).alias("last"))
