@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import samples
 from wattframe.functions.instants import time_span
-from wattframe.operators import energy, series as choosing
+from wattframe.operators import series as choosing
 from wattframe.operators.weights import sample_hours
 from wattframe.plans import kpi, series
 from wattframe.sources.event_log import sample_registry
@@ -61,10 +61,8 @@ def test_series_months_and_times_reach_the_scan(stored, query, ids):
 
 def test_only_needed_columns_are_read(stored):
     text = plan(kpi.local_consumption(stored, "1hour", *SPAN))
-    schemas = set(re.findall(r"ReadSchema: (.*)\n", text))
-    assert schemas == {
-        "struct<series_timestamp:timestamp,series_value:double,meta_id:int>",
-        "struct<series_timestamp:timestamp,meta_id:int>",  # the ends of the chunks of time
+    assert set(re.findall(r"ReadSchema: (.*)\n", text)) == {
+        "struct<series_timestamp:timestamp,series_value:double,meta_id:int>"
     }
     assert set(re.findall(r"ReadSchema: (.*)\n", plan(series.list_series(stored)))) == {
         "struct<series_timestamp:timestamp,meta_id:int>"
@@ -74,6 +72,7 @@ def test_only_needed_columns_are_read(stored):
 def test_no_python_and_no_cross_joins(stored):
     queries = [
         kpi.consumption_by_carrier(stored, "1hour"),
+        kpi.scope_two_emissions(stored, "1hour"),
         kpi.total_co2_emissions(stored, "1month"),
         kpi.co2_savings(stored, "1hour"),
         kpi.autarky(stored),
@@ -93,18 +92,53 @@ def test_weighing_by_series_needs_one_shuffle(stored):
     assert "hashpartitioning(meta_id" in text
 
 
-def test_chunked_weights_move_each_sample_once(spark, stored):
-    """Only edge rows, which are aggregated first, are moved again."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        text = plan(sample_hours(stored.ts.select("meta_id", "series_timestamp", "series_value"), "chunked"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def scans(df) -> int:
+    """Scans of samples that a finished plan has, those behind reused shuffles left out."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    text = text.split("== Initial Plan ==")[0]
+    return len(re.findall(r"FileScan parquet .*series_timestamp", text))
+
+
+def test_rows_and_their_ends_come_from_one_shuffle(stored):
+    rows = sample_hours(stored.ts.select("meta_id", "series_timestamp", "series_value"), "chunked")
+    text = plan(rows)
     exchanges = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]\n", text)
-    assert sum("series_value" in columns for columns in exchanges) == 1
-    assert "SortMergeJoin" in text
-    # edges: partial sums by chunk, by series, and to meet the samples
-    assert len(exchanges) == 4
+    assert "Join" not in text
+    assert scans(rows) == 1 and len(exchanges) <= 3
+
+
+INDICATORS = {
+    "total_consumption": (),
+    "total_production": (),
+    "self_consumption": (),
+    "autarky": (),
+    "cost_savings": (),
+    "grid_consumption": ("1hour",),
+    "local_production": ("1hour",),
+    "consumption_by_carrier": ("1hour",),
+    "local_consumption": ("1hour",),
+    "scope_one_emissions": ("1hour",),
+    "scope_two_emissions": ("1hour",),
+    "total_co2_emissions": ("1hour",),
+    "co2_savings": ("1hour",),
+    "total_grid_electricity_cost": ("1hour",),
+}
+
+
+@pytest.mark.parametrize("name", sorted(INDICATORS))
+def test_indicators_read_samples_once_and_write_nothing(spark, stored, name, monkeypatch):
+    """The grid cost alone reads prices apart, over a wider range; building a plan stages nothing."""
+    from pyspark.sql import DataFrameWriter
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *a, **k: pytest.fail("a table was written"))
+    df = getattr(kpi, name)(stored, *INDICATORS[name], *SPAN)
+    before = plan(df)
+    expected = 2 if name == "total_grid_electricity_cost" else 1
+    assert len(re.findall(r"ReadSchema: .*series_timestamp", before)) == expected
+    assert scans(df) == expected
+    moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]\n", before)
+    assert sum("series_value" in columns for columns in moved) == expected - (name == "total_grid_electricity_cost")
 
 
 def test_stored_form_is_shuffled_once(spark):
@@ -119,23 +153,6 @@ def test_long_registries_become_semi_joins(spark, stored, monkeypatch):
     assert "meta_id, [4,7]" not in text
 
 
-@pytest.mark.parametrize("name", ["grid_consumption", "consumption_by_carrier", "scope_two_emissions", "total_co2_emissions", "co2_savings"])
-def test_indicators_of_several_roles_weigh_once(stored, monkeypatch, name):
-    """All roles come from one table of sums, and nothing else reads samples."""
-    calls = []
-    monkeypatch.setattr(energy, "sample_hours", lambda *a: calls.append(a) or sample_hours(*a))
-    text = plan(getattr(kpi, name)(stored, "1hour", *SPAN))
-    assert len(calls) == 1
-    assert "series_timestamp" not in "".join(re.findall(r"ReadSchema: (.*)\n", text))
-
-
-def test_cost_savings_weigh_once(stored, monkeypatch):
-    calls = []
-    monkeypatch.setattr(energy, "sample_hours", lambda *a: calls.append(a) or sample_hours(*a))
-    assert "series_timestamp" not in "".join(re.findall(r"ReadSchema: (.*)\n", plan(kpi.cost_savings(stored, *SPAN))))
-    assert len(calls) == 1
-
-
 @pytest.mark.parametrize("ids", [7, 8, 9])
 def test_literal_ids_just_at_their_limit(stored, monkeypatch, ids):
     """Two more than, as many as, and fewer ids than may be written as literals."""

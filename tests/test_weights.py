@@ -91,17 +91,54 @@ def test_chunks_unless_series_are_asked_for(spark):
     assert "chunk" not in sample_hours(df, "series")._jdf.queryExecution().toString()
 
 
-def test_chunks_narrow_for_dense_series(spark, monkeypatch):
-    """A third of all samples in one minute of one series."""
+def test_dense_hours_are_split_by_depth(spark, monkeypatch):
+    """Nine tenths of a series in one hour, most of it in one minute, beside sparse series."""
     from wattframe.operators import weights as module
 
-    rows = [(1, i / 1000, 1.0) for i in range(300)] + [(s, s * 40, 1.0) for s in range(2, 600)]
+    rng = random.Random(5)
+    minutes = {round(60 + rng.random() ** 3 * 50, 5) for _ in range(4000)}
+    minutes |= {60 + k / 20 + 300 * (k % 3) for k in range(400)}
+    rows = [(1, m, 1.0) for m in minutes] + [(s, s * 40 + k * 7, 1.0) for s in range(2, 50) for k in range(4)]
     df = samples(spark, rows)
-    for limit, chunk in [(1000, "1day"), (200, "1min"), (299, "1min"), (300, "1day")]:
-        monkeypatch.setattr(module, "ROWS_PER_CHUNK", limit)
-        assert module.fitting_chunk(df) == chunk
-        assert weights(df, "chunked", "auto") == weights(df, "series")
-    assert module.fitting_chunk(df.limit(0)) == "1day"
+    monkeypatch.setattr(module, "ROWS_PER_CHUNK", 250)
+    sizes = module.chunked(df, "auto").groupBy("meta_id", "chunk").count().where("meta_id = 1").collect()
+    dense = sorted(r["count"] for r in sizes if r.chunk.part > 0)
+    assert len(dense) > 8 and dense[-1] <= 2 * dense[len(dense) // 2]
+    assert max(r["count"] for r in sizes) <= 2 * 250
+    assert weights(df, "chunked", "auto") == weights(df, "series")
+    assert module.dense_hours(df.limit(0)).collect() == []
+    monkeypatch.setattr(module, "ROWS_PER_CHUNK", 10**6)
+    assert module.dense_hours(df).count() == 0
+    assert weights(df, "chunked", "auto") == weights(df, "series")
+
+
+def test_one_instant_holds_most_samples_of_a_series(spark, monkeypatch):
+    """Equal times can't be cut apart, and get the same weights as in one window."""
+    from wattframe.operators import weights as module
+
+    monkeypatch.setattr(module, "ROWS_PER_CHUNK", 20)
+    df = samples(spark, [(1, 30, float(k)) for k in range(100)] + [(1, 29.5, 1.0), (1, 31, 1.0), (1, 90, 1.0)])
+    for chunk in ("auto", "1min", "1hour"):
+        assert sorted(weights(df, "chunked", chunk)) == sorted(weights(df, "series"))
+
+
+@pytest.mark.parametrize("chunk", ["1min", "15min", "1hour", "1day", "auto"])
+@pytest.mark.parametrize("by", [[], ["bucket"]])
+def test_sums_agree_with_weighed_rows(spark, chunk, by, monkeypatch):
+    """Sums over chunks, first samples weighed last, against weights of single rows."""
+    from wattframe.functions.intervals import with_bucket
+    from wattframe.operators import weights as module
+
+    monkeypatch.setattr(module, "ROWS_PER_CHUNK", 30)
+    rng = random.Random(11)
+    rows = [(s, round(rng.random() ** 2 * 600, 3), rng.choice([-2.0, 0.5, 3.0])) for s in (1, 1, 1, 2, 3) for _ in range(80)]
+    rows += [(4, 17.0, 2.0), (5, 59.9, -1.0), (5, 60.1, 4.0), (None, 3.0, 1.0)]
+    df = with_bucket(samples(spark, rows), "15min").select("meta_id", "series_timestamp", "series_value", "bucket")
+    df = df.withColumn("series_value", F.when(F.col("series_timestamp") != at(17), F.col("series_value")))
+    want = module.weighed_sums(df, *by, weighting="series")
+    got = module.weighed_sums(df, *by, chunk=chunk)
+    number = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+    assert sorted(map(number, got.select(*want.columns).collect()), key=str) == sorted(map(number, want.collect()), key=str)
 
 
 def test_unknown_weighting(spark):

@@ -93,12 +93,13 @@ def in_range(ts: DataFrame, start: datetime, end: datetime) -> DataFrame:
 
 
 def samples_of(t: Tables, series: SeriesSet, start: datetime, end: datetime) -> DataFrame:
-    """(meta_id, series_timestamp, series_value) of the chosen series in the range.
+    """(meta_id, series_timestamp, series_value) of the chosen series in the range."""
+    return of_series(in_range(t.ts, start, end).select("meta_id", "series_timestamp", "series_value"), series)
 
-    Few series become a literal filter that reaches the scan, more of them a semi join.
-    """
-    ts = in_range(t.ts, start, end).select("meta_id", "series_timestamp", "series_value")
+
+def of_series(rows: DataFrame, series: SeriesSet) -> DataFrame:
+    """Rows of the chosen series: few become a literal filter that reaches the scan, more a semi join."""
     if series.bounded:
-        return ts.filter(F.col("meta_id").isin(series.ids))
+        return rows.filter(F.col("meta_id").isin(series.ids))
     ids = series.frame.select(F.col("id").alias("meta_id"))
-    return ts.join(ids, "meta_id", "left_semi")
+    return rows.join(ids, "meta_id", "left_semi")

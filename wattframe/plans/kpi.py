@@ -17,10 +17,9 @@ from wattframe.functions.text import key
 from wattframe.operators.energy import (
     bucket_energy,
     role_buckets,
-    sample_energy,
     series_energy,
-    shares,
     with_carrier_name,
+    with_shares,
 )
 from wattframe.operators.factors import factors_of
 from wattframe.operators.series import (
@@ -65,7 +64,7 @@ def _result(
 
 def _total(t: Tables, role: Column, name: str, from_: Instant, to: Instant) -> DataFrame:
     span = time_span(from_, to)
-    energy = sample_energy(t, choose(t, role), *span).agg(F.sum("kwh").alias("kwh"))
+    energy = series_energy(t, choose(t, role), *span).agg(F.sum("kwh").alias("kwh"))
     return _result(t, energy, F.coalesce("kwh", F.lit(0.0)), name, KWH, span)
 
 
@@ -110,31 +109,10 @@ def _ordered(df: DataFrame, *columns: str) -> DataFrame:
     return df.orderBy(*(F.col(c).asc_nulls_last() for c in columns))
 
 
-def _drawn(rows: DataFrame, *by: str) -> DataFrame:
-    """Energy drawn from the grid per bucket and the named registry columns."""
-    return (
-        rows.filter("grid")
-        .groupBy(F.col("bucket").alias("drawn_bucket"), *by)
-        .agg(F.sum("kwh").alias("kwh"), F.sum("kwh_used").alias("kwh_used"))
-    )
-
-
-def _grid_parts(t: Tables, rows: DataFrame, on_zero: str) -> DataFrame:
-    drawn = _drawn(rows, "unit").select(
-        "drawn_bucket",
-        F.col("kwh").alias("bucket_consumption"),
-        F.col("unit").alias("consumption_unit"),
-    )
-    joined = shares(t, rows.filter("mix"), on_zero).join(
-        drawn, F.col("bucket") == F.col("drawn_bucket"), "left"
-    )
-    return joined.select(
-        F.col("drawn_bucket").alias("bucket"),
-        "bucket_consumption",
-        "consumption_unit",
-        F.col("share").alias("carrier_proportion"),
-        "carrier_name",
-    )
+def _beside_drawn(mix: DataFrame) -> DataFrame:
+    """Rows of the mix, each once per grid row of its bucket; without any, ``bucket`` is NULL."""
+    mix = mix.filter(F.col("role") == "mix").withColumn("grid", F.explode_outer("drawn"))
+    return mix.withColumn("bucket", F.when(F.col("grid").isNotNull(), F.col("bucket")))
 
 
 def grid_consumption(
@@ -151,8 +129,15 @@ def grid_consumption(
     """
     parse_interval(interval)
     roles = {"mix": grid_mix(), "grid": named(GRID_REFERENCE)}
-    rows = role_buckets(t, roles, interval, *time_span(from_, to), "unit")
-    return _ordered(_grid_parts(t, rows, on_zero), "bucket", "carrier_name")
+    rows = role_buckets(t, roles, {"mix": ["carrier"], "grid": ["unit"]}, interval, *time_span(from_, to))
+    parts = _beside_drawn(with_shares(t, rows, F.struct("kwh", "unit"), on_zero)).select(
+        "bucket",
+        F.col("grid.kwh").alias("bucket_consumption"),
+        F.col("grid.unit").alias("consumption_unit"),
+        F.col("share").alias("carrier_proportion"),
+        "carrier_name",
+    )
+    return _ordered(parts, "bucket", "carrier_name")
 
 
 def _local_parts(t: Tables, rows: DataFrame) -> DataFrame:
@@ -181,26 +166,29 @@ def local_production(
 
 
 def consumption_by_carrier(
-    t: Tables, interval: str, from_: Instant = None, to: Instant = None
+    t: Tables, interval: str, from_: Instant = None, to: Instant = None, on_zero: str = "error"
 ) -> DataFrame:
-    """Grid energy split by the grid mix, and local production, per bucket and carrier."""
-    parse_interval(interval)
-    span = time_span(from_, to)
-
-    def energy(parts: DataFrame, local: bool) -> DataFrame:
-        share = F.coalesce("carrier_proportion", F.lit(1.0))
-        return parts.filter(F.col("bucket").isNotNull()).select(
-            "bucket",
-            "carrier_name",
-            (share * F.coalesce("bucket_consumption", F.lit(0.0))).alias("value"),
-            F.lit(KWH).alias("unit"),
-            F.lit(local).alias("local"),
-        )
+    """Grid energy split by the grid mix, and local production, per bucket and carrier.
 
+    With ``on_zero="null"`` a bucket whose mix adds up to zero gives each carrier the whole
+    energy instead of failing, as a missing share counts as 1.
+    """
+    parse_interval(interval)
     roles = {"mix": grid_mix(), "grid": named(GRID_REFERENCE), "made": local_producer()}
-    rows = role_buckets(t, roles, interval, *span, "unit")
-    grid = energy(_grid_parts(t, rows, "error"), False)
-    return grid.unionByName(energy(_local_parts(t, rows.filter("made")), True))
+    keys = {"mix": ["carrier"], "grid": ["unit"], "made": ["carrier", "unit"]}
+    rows = role_buckets(t, roles, keys, interval, *time_span(from_, to))
+    rows = with_shares(t, rows, F.struct(F.coalesce("kwh", F.lit(0.0)).alias("kwh")), on_zero)
+    share = F.coalesce("share", F.lit(1.0))
+    bought = F.transform("drawn", lambda grid: share * grid["kwh"])
+    made = F.when((F.col("role") == "made") & F.col("bucket").isNotNull(), F.array(F.coalesce("kwh_used", F.lit(0.0))))
+    values = F.when(F.col("role") == "mix", bought).otherwise(made)
+    return rows.filter(F.col("carrier_name").isNotNull() & (F.col("role") != "grid")).select(
+        "bucket",
+        "carrier_name",
+        F.explode(values).alias("value"),
+        F.lit(KWH).alias("unit"),
+        (F.col("role") == "made").alias("local"),
+    )
 
 
 def local_consumption(
@@ -259,12 +247,6 @@ def scope_one_emissions(
     return _ordered(rows, "bucket", "carrier_name", "value")
 
 
-def _grid_shares(t: Tables, rows: DataFrame) -> DataFrame:
-    """Shares of the mix beside the energy drawn from the grid."""
-    drawn = _drawn(rows, "carrier").select("drawn_bucket", "kwh_used")
-    return shares(t, rows.filter("mix")).join(drawn, F.col("bucket") == F.col("drawn_bucket"), "left")
-
-
 def scope_two_emissions(
     t: Tables,
     interval: str,
@@ -272,6 +254,7 @@ def scope_two_emissions(
     to: Instant = None,
     source: str = DEFAULT_SOURCE,
     apply_factor: bool = False,
+    on_zero: str = "error",
 ) -> DataFrame:
     """Grid energy split by the mix, for carriers that have an emission factor.
 
@@ -282,13 +265,15 @@ def scope_two_emissions(
     parse_interval(interval)
     weight = F.col("factor") if apply_factor else F.lit(1.0)
     roles = {"mix": grid_mix(), "grid": named(GRID_REFERENCE)}
-    sums = role_buckets(t, roles, interval, *time_span(from_, to))
+    keys = {"mix": ["carrier"], "grid": ["carrier"]}
+    sums = role_buckets(t, roles, keys, interval, *time_span(from_, to))
     rows = (
-        _grid_shares(t, sums)
+        _beside_drawn(with_shares(t, sums, F.struct("kwh_used"), on_zero))
+        .select("bucket", "carrier", "carrier_name", (F.col("grid.kwh_used") * F.col("share")).alias("kwh"))
         .join(factors_of(t, source), "carrier")
         .select(
-            F.col("drawn_bucket").alias("bucket"),
-            (F.col("kwh_used") * F.col("share") * weight).alias("value"),
+            "bucket",
+            (F.col("kwh") * weight).alias("value"),
             "carrier_name",
             F.lit(EMISSION_UNIT).alias("unit"),
         )
@@ -302,6 +287,7 @@ def total_co2_emissions(
     from_: Instant = None,
     to: Instant = None,
     source: str = DEFAULT_SOURCE,
+    on_zero: str = "error",
 ) -> DataFrame:
     """Sum of scope one and scope two emissions.
 
@@ -310,19 +296,22 @@ def total_co2_emissions(
     """
     parse_interval(interval)
     span = time_span(from_, to)
-    factors = factors_of(t, source)
     roles = {"mix": grid_mix(), "grid": named(GRID_REFERENCE), "made": local_producer()}
-    rows = role_buckets(t, roles, interval, *span)
-    per_carrier = factors.groupBy("carrier").agg(
+    keys = dict.fromkeys(roles, ["carrier"])
+    rows = with_shares(t, role_buckets(t, roles, keys, interval, *span), F.col("kwh_used"), on_zero)
+    per_carrier = factors_of(t, source).groupBy("carrier").agg(
         F.sum_distinct("factor").alias("factors"), F.count(F.lit(1)).alias("rows")
     )
-    made = with_carrier_name(t, rows.filter("made")).join(per_carrier, "carrier")
-    used = _grid_shares(t, rows).join(per_carrier, "carrier")
-    parts = made.select((F.col("kwh_used") * F.col("factors")).alias("value")).unionByName(
-        used.select((F.col("kwh_used") * F.col("share") * F.col("rows")).alias("value"))
+    drawn = F.aggregate("drawn", F.lit(0.0), lambda total, kwh: total + kwh)
+    value = F.when(F.col("role") == "mix", drawn * F.col("share") * F.col("rows")).when(
+        F.col("role") == "made", F.col("kwh_used") * F.col("factors")
+    )
+    total = (
+        rows.filter(F.col("carrier_name").isNotNull())
+        .join(per_carrier, "carrier")
+        .agg(F.sum(value).alias("value"))
     )
     value = F.coalesce("value", F.lit(0.0))
-    total = parts.agg(F.sum(value).alias("value"))
     return _result(t, total, value, "total_co2_emissions", EMISSION_UNIT, span)
 
 
@@ -333,6 +322,7 @@ def co2_savings(
     to: Instant = None,
     source: str = DEFAULT_SOURCE,
     actual: str = "grid",
+    on_zero: str = "error",
 ) -> DataFrame:
     """Emissions the local production would have caused with the grid mix, less the actual.
 
@@ -346,39 +336,26 @@ def co2_savings(
         raise ValueError(f"unknown actual emissions: {actual!r}")
     parse_interval(interval)
     span = time_span(from_, to)
-    factors = factors_of(t, source)
-    rows = role_buckets(t, {"mix": grid_mix(), "made": local_producer()}, interval, *span)
-    by_carrier = (
-        rows.filter("made")
-        .groupBy("bucket", "carrier")
-        .agg(F.sum("kwh_used").alias("kwh"))
+    roles = {"mix": grid_mix(), "made": local_producer()}
+    rows = role_buckets(t, roles, dict.fromkeys(roles, ["carrier"]), interval, *span)
+    per_carrier = factors_of(t, source).groupBy("carrier").agg(
+        F.sum("factor").alias("factors"),
+        F.count(F.lit(1)).alias("rows"),
+        F.avg("factor").alias("own_factor"),
     )
-    own = F.lit(None).cast("double")
-    if actual == "production":
-        own = F.col("kwh") * F.col("own_factor")
-        means = factors.groupBy("carrier").agg(F.avg("factor").alias("own_factor"))
-        by_carrier = by_carrier.join(means, "carrier", "left")
-    production = by_carrier.groupBy("bucket").agg(
-        F.sum("kwh").alias("kwh"),
-        F.count(F.lit(1)).alias("producers"),
-        F.sum(own).alias("own"),
-    )
-    per_carrier = factors.groupBy("carrier").agg(
-        F.sum("factor").alias("factors"), F.count(F.lit(1)).alias("rows")
-    )
-    grid = (
-        shares(t, rows.filter("mix"))
-        .join(per_carrier, "carrier")
-        .groupBy("bucket")
-        .agg(
-            F.sum(F.col("share") * F.col("factors")).alias("mixed_factor"),
-            F.sum("factors").alias("factors"),
-            F.sum("rows").alias("rows"),
-        )
+    rows = with_shares(t, rows, F.lit(0.0), on_zero).join(per_carrier, "carrier", "left")
+    made, mix = F.col("role") == "made", F.col("role") == "mix"
+    sums = rows.groupBy("bucket").agg(
+        F.sum(F.when(made, F.col("kwh_used"))).alias("kwh"),
+        F.count(F.when(made, 1)).alias("producers"),
+        F.sum(F.when(made, F.col("kwh_used") * F.col("own_factor"))).alias("own"),
+        F.sum(F.when(mix, F.col("share") * F.col("factors"))).alias("mixed_factor"),
+        F.sum(F.when(mix, F.col("factors"))).alias("factors"),
+        F.sum(F.when(mix, F.col("rows"))).alias("rows"),
     )
     mean = F.col("kwh") * F.col("factors") / (F.col("producers") * F.col("rows"))
     emitted = mean if actual == "grid" else F.coalesce("own", F.lit(0.0))
-    saved = production.join(grid, "bucket").agg(
+    saved = sums.filter((F.col("producers") > 0) & (F.col("rows") > 0) & F.col("bucket").isNotNull()).agg(
         F.sum(F.col("kwh") * F.col("mixed_factor") - emitted).alias("saved")
     )
     value = F.coalesce("saved", F.lit(0.0))
@@ -388,12 +365,15 @@ def co2_savings(
 def cost_savings(t: Tables, from_: Instant = None, to: Instant = None) -> DataFrame:
     """Market value of all producers' energy, hour by hour."""
     span = time_span(from_, to)
-    roles = {"made": any_producer(), "price": named(MARKET_PRICE)}
-    rows = role_buckets(t, roles, "1hour", *span)
-    produced = rows.filter("made").groupBy("bucket").agg(F.sum("kwh_used").alias("kwh"))
-    mean = F.try_divide("amount", "samples")
-    prices = rows.filter("price").select("bucket", mean.alias("price"))
-    saved = produced.join(prices, "bucket").agg(
+    made, price = any_producer(), named(MARKET_PRICE)
+    flags = [F.coalesce(role, F.lit(False)).alias(name) for name, role in (("made", made), ("price", price))]
+    series = choose(t, made | price, *flags)
+    rows = series.describe(bucket_energy(t, series, "1hour", *span))
+    sums = rows.groupBy("bucket").agg(
+        F.sum(F.when(F.col("made"), F.col("kwh_used"))).alias("kwh"),
+        F.sum(F.when(F.col("price"), F.try_divide("amount", "samples"))).alias("price"),
+    )
+    saved = sums.filter(F.col("bucket").isNotNull()).agg(
         F.sum(F.col("kwh") * (F.col("price") / PRICE_PER_KWH)).alias("saved")
     )
     value = F.coalesce("saved", F.lit(0.0))

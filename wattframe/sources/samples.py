@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from wattframe.functions.instants import EPOCH, require_utc
 from wattframe.functions.sizes import drop_folder, shared_folder, staged
 from wattframe.operators.series import in_range
+from wattframe.sources.extents import append_extents
 from wattframe.tables import SAMPLE_SCHEMA
 
 KEYS = ["meta_id", "series_timestamp"]
@@ -126,20 +127,23 @@ def stored_form(batch: DataFrame) -> DataFrame:
     )
 
 
-def append_samples(batch: DataFrame, path: str, on_duplicate: str = "error") -> None:
+def append_samples(
+    batch: DataFrame, path: str, on_duplicate: str = "error", extents: str | None = None
+) -> None:
     """Append (meta_id, series_timestamp, series_value) rows to the table at ``path``.
 
     ``error`` refuses the whole batch if a key is repeated or already stored, ``skip``
     appends the rows that are new. The batch is written to the shared folder first, so that
     it is computed once and its size is known, and removed in the end. Keys are checked before
-    they are written, so a table may have one writer at a time only.
+    they are written, so a table may have one writer at a time only. With ``extents``, a path,
+    the first and last times of the batch are added there once its samples are stored.
     """
     if on_duplicate not in ("error", "skip"):
         raise ValueError(f"unknown duplicate handling: {on_duplicate!r}")
     spark = batch.sparkSession
     place = shared_folder(spark, "batch")
     try:
-        batch = staged(batch.select(*KEYS, "series_value"), place)
+        batch = staged_rows = staged(batch.select(*KEYS, "series_value"), place)
         existing = read_samples(spark, path)
         stored = has_samples(existing)
         if stored:
@@ -153,6 +157,8 @@ def append_samples(batch: DataFrame, path: str, on_duplicate: str = "error") ->
                     f"already stored: series {clash.meta_id} at {clash.series_timestamp}"
                 )
         stored_form(batch).write.mode("append").partitionBy("month").parquet(path)
+        if extents is not None:  # skipped samples lie within the extents that are stored
+            append_extents(staged_rows, extents)
     finally:
         drop_folder(spark, place)
 

@@ -90,7 +90,9 @@ class Tables:
     """Samples (``ts``), series registry (``meta``), energy carriers, emission factors.
 
     ``ts`` holds one row per sample and is the only large table. ``weighting`` and
-    ``chunk`` choose how sample weights are computed, see operators.weights.
+    ``chunk`` choose how sample weights are computed, see operators.weights. Three tables are
+    optional and spare reading samples: their extents by series and month (sources.extents),
+    a page directory of the registry (sources.registry) and hourly sums (sources.hourly).
     """
 
     ts: DataFrame
@@ -99,6 +101,9 @@ class Tables:
     factors: DataFrame
     weighting: str = "chunked"
     chunk: str = "1hour"
+    extents: DataFrame | None = None
+    pages: DataFrame | None = None
+    hourly: DataFrame | None = None
 
 
 def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
