@@ -16,7 +16,10 @@ from wattframe.sources.prices import (
     price_points,
     with_chunk,
 )
-from wattframe.sources.samples import append_samples
+from wattframe.sources.samples import KEYS, LITERALS, append_samples
+from wattframe.streaming.log import only_log, own_log
+
+ARRIVALS = "meta_id int, series_timestamp timestamp, series_value double, day date"
 
 
 def stream_chunks(
@@ -78,6 +81,51 @@ def without_repeats(samples: DataFrame) -> DataFrame:
     """Drop repeated (series, timestamp) pairs by streaming state.
 
     Unlike ``append_stream`` it needs no table to compare with. Keys are kept for good, so no
-    point is ever too late; they are spread over the state stores of all tasks.
+    point is ever too late; they are spread over the state stores of all tasks, which grow
+    with the data. ``log_arrivals`` keeps them in files by day instead.
     """
     return samples.dropDuplicates(["meta_id", "series_timestamp"])
+
+
+def log_arrivals(samples: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Log each (series, timestamp) when it first comes; of copies in a batch the lowest value.
+
+    No state is kept in memory: a batch is compared with what earlier batches logged of the
+    days it touches, so repeats are found however late they come, and what is read for
+    a batch doesn't grow with the days that are over. A batch never compares with itself,
+    so replaying it changes nothing. Samples without a series or a time are left out.
+    """
+    spark = samples.sparkSession
+
+    def log(batch: DataFrame, number: int) -> None:
+        own = own_log(spark, path, "day")
+        rows = batch.select(
+            F.col("meta_id").cast("int").alias("meta_id"),
+            F.col("series_timestamp").cast("timestamp").alias("series_timestamp"),
+            F.col("series_value").cast("double").alias("series_value"),
+        ).filter(F.col("meta_id").isNotNull() & F.col("series_timestamp").isNotNull())
+        once = rows.groupBy(*KEYS).agg(F.min("series_value").alias("series_value"))
+        once = once.withColumn("day", F.col("series_timestamp").cast("date"))
+        days = [r.day for r in rows.select(F.col("series_timestamp").cast("date").alias("day")).distinct().limit(LITERALS + 1).collect()]
+        known = own.read(ARRIVALS, before=number)
+        if len(days) <= LITERALS:
+            known = known.filter(F.col("day").isin(days))
+        new = once.join(known.select("day", *KEYS), ["day", *KEYS], "left_anti")
+        own.write(new.repartition("day"), own.batch(number))
+
+    return (
+        samples.writeStream.foreachBatch(log)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def arrivals(spark: SparkSession, path: str) -> DataFrame:
+    """Every logged sample: meta_id, series_timestamp, series_value."""
+    return only_log(spark, path, "day").read(ARRIVALS).drop("day")
+
+
+def compact_arrivals(spark: SparkSession, path: str) -> None:
+    """Merge the batches of a log of arrivals, a file or a few per day."""
+    only_log(spark, path, "day").compact(ARRIVALS, lambda rows: rows.repartition("day"))

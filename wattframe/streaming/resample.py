@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wattframe.functions.intervals import parse_interval, time_window, with_bucket
+from wattframe.streaming.log import only_log, own_log
 
-
-class ForeignLog(ValueError):
-    """A log that another query writes to."""
+SUMS = "meta_id int, bucket timestamp, total double, samples long"
+MEANS = "meta_id int, bucket timestamp, mean_value double, batch int"
 
 
 def log_means(samples: DataFrame, interval: str, path: str, checkpoint: str) -> StreamingQuery:
@@ -26,14 +26,11 @@ def log_means(samples: DataFrame, interval: str, path: str, checkpoint: str) ->
     def log(batch: DataFrame, number: int) -> None:
         sums = (
             with_bucket(batch, step)
-            .groupBy("meta_id", "bucket")
+            .groupBy(F.col("meta_id").cast("int").alias("meta_id"), "bucket")
             .agg(F.sum("series_value").alias("total"), F.count("series_value").alias("samples"))
         )
-        own = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
-        others = {q for q in _logged_queries(spark, path) if q != own}
-        if others:
-            raise ForeignLog(f"{path} belongs to query {others.pop()}")
-        sums.write.mode("overwrite").parquet(f"{path}/query={own}/batch={number}")
+        own = own_log(spark, path)
+        own.write(sums, own.batch(number))
 
     return (
         samples.writeStream.foreachBatch(log)
@@ -43,36 +40,45 @@ def log_means(samples: DataFrame, interval: str, path: str, checkpoint: str) ->
     )
 
 
-def _logged_queries(spark: SparkSession, path: str) -> list[str]:
-    """Queries with a folder in the log."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
-    return [n.removeprefix("query=") for n in names if n.startswith("query=")]
-
-
 def logged_means(spark: SparkSession, path: str) -> DataFrame:
     """Mean per series and bucket over all batches so far."""
     return (
-        spark.read.parquet(path)
-        .groupBy("meta_id", "bucket")
-        .agg((F.sum("total") / F.sum("samples")).alias("mean_value"))
+        _summed(only_log(spark, path).read(SUMS))
+        .select("meta_id", "bucket", F.try_divide("total", "samples").alias("mean_value"))
+    )
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("meta_id", "bucket").agg(
+        F.sum("total").alias("total"), F.sum("samples").alias("samples")
     )
 
 
+def compact_means(spark: SparkSession, path: str) -> None:
+    """Add up the batches of a log of sums, so that their number stays bounded.
+
+    Readers and the writing query may go on meanwhile; one compaction may run at a time.
+    """
+    only_log(spark, path).compact(SUMS, _summed)
+
+
 def follow_means(samples: DataFrame, interval: str, path: str, checkpoint: str) -> StreamingQuery:
     """Log the mean of every bucket that a batch changes, open buckets included.
 
     Spark keeps the sums of all buckets, so no sample is too late; they are spread over the
-    state stores of all tasks. ``log_means`` needs no state.
+    state stores of all tasks. ``log_means`` needs no state. Batches are logged as there: by
+    query and number, and a second query or a lost checkpoint is refused.
     """
     window = time_window(F.col("series_timestamp"), interval)
     means = samples.groupBy("meta_id", window.alias("window")).agg(F.avg("series_value").alias("mean_value"))
+    spark = samples.sparkSession
 
     def log(batch: DataFrame, number: int) -> None:
-        rows = batch.select("meta_id", F.col("window")["start"].alias("bucket"), "mean_value")
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = batch.select(
+            F.col("meta_id").cast("int").alias("meta_id"), F.col("window")["start"].alias("bucket"), "mean_value", F.lit(number).alias("batch")
+        )
+        own = own_log(spark, path)
+        own.write(rows, own.batch(number))
 
     return (
         means.writeStream.outputMode("update")
@@ -85,8 +91,15 @@ def follow_means(samples: DataFrame, interval: str, path: str, checkpoint: str)
 
 def followed_means(spark: SparkSession, path: str) -> DataFrame:
     """Latest mean per series and bucket."""
-    return (
-        spark.read.parquet(path)
-        .groupBy("meta_id", "bucket")
-        .agg(F.max_by("mean_value", "batch").alias("mean_value"))
+    return _latest(only_log(spark, path).read(MEANS)).drop("batch")
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("meta_id", "bucket").agg(
+        F.max_by("mean_value", "batch").alias("mean_value"), F.max("batch").alias("batch")
     )
+
+
+def compact_followed_means(spark: SparkSession, path: str) -> None:
+    """Keep the latest mean of each bucket, as ``compact_means`` does for sums."""
+    only_log(spark, path).compact(MEANS, _latest)
