@@ -13,7 +13,7 @@ from pyspark.sql import functions as F, types as T
 
 from conftest import at
 from wattframe.operators import factors
-from wattframe.sources import points, prices, registry, samples, technology, wide_csv
+from wattframe.sources import extents, hourly, points, prices, records, registry, samples, technology, wide_csv
 from wattframe.sources.event_log import sample_registry
 from wattframe.tables import META_SCHEMA, Tables, local_table, seed_carriers
 
@@ -391,3 +391,165 @@ def test_technology_costs(spark, folder):
         technology.filter_costs(both, year=2020)
     with pytest.raises(ValueError):
         technology.read_costs(spark, 2021, pattern)
+
+
+def test_bad_numbers_of_costs_fail(spark, folder):
+    write(f"{folder}/costs_2020.csv", "technology,parameter,value,unit\ncoal,a,,b\ncoal,a,1e3,b\n")
+    assert [r.value for r in technology.read_costs(spark, 2020, f"{folder}/costs_%d.csv").collect()] == [None, 1000.0]
+    write(f"{folder}/costs_2025.csv", "technology,parameter,value,unit\ncoal,a,many,b\n")
+    with pytest.raises(FAILURES, match="not a number"):
+        technology.read_costs(spark, 2025, f"{folder}/costs_%d.csv").collect()
+
+
+# --- large files ------------------------------------------------------------------------
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Files are cut into ranges of a few hundred bytes."""
+    keys = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k in keys:
+        spark.conf.unset(k)
+
+
+def quoted_lines(n, rng):
+    """Lines with breaks, quotes and commas inside quotes, some of them longer than a range."""
+    out = ['Time,"a ""b""\nc",note']
+    for k in range(n):
+        note = rng.choice(["plain", "", "x" * 700, 'two ""quotes""', "line\nbreak", "\n\n", 'a"",\n""b', ",\r\n,"])
+        out.append(f'2019-01-01 {k // 60:02}:{k % 60:02}:00+00:00,{k},"{note}"')
+    return "\n".join(out) + "\n"
+
+
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_quoted_line_breaks_are_read_by_many_tasks(spark, folder, small_ranges, ends):
+    import random
+
+    text = quoted_lines(120, random.Random(3)).replace("\r\n", "\n").replace("\n", ends)
+    Path(f"{folder}/in").mkdir()
+    for name in ("a.csv", "b.csv"):
+        Path(f"{folder}/in/{name}").write_bytes(text.encode())
+    split = wide_csv.read_wide(spark, f"{folder}/in", line_breaks=True)
+    plain = (
+        spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("mode", "FAILFAST").csv(f"{folder}/in")
+    )
+    assert split.columns == plain.columns == ["Time", 'a "b"\nc', "note"]
+    assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    assert records._pieces(spark, f"{folder}/in", "\n", records.quote_count).select("file", "range").distinct().count() > 40
+
+
+def test_records_keep_their_order_and_unclosed_quotes_fail(spark, folder, small_ranges):
+    write(f"{folder}/one.txt", 'a"b\n' * 301 + "c\n")
+    with pytest.raises(FAILURES, match="not closed"):
+        records.records(spark, f"{folder}/one.txt").collect()
+    write(f"{folder}/two.txt", "".join(f'{k}"\n"\n' for k in range(500)) + "end")
+    rows = records.records(spark, f"{folder}/two.txt").orderBy("range", "place").collect()
+    assert [r.record for r in rows] == [f'{k}"\n"' for k in range(500)] + ["end"]
+    assert [r.first for r in rows] == [True] + [False] * 500
+    write(f"{folder}/none.txt", "")
+    assert records.records(spark, f"{folder}/none.txt").collect() == []
+
+
+def test_another_header_fails(spark, folder):
+    write(f"{folder}/in/a.csv", "Time,a\n2019-01-01 00:00:00+00:00,1\n")
+    write(f"{folder}/in/b.csv", "Time,b\n2019-01-01 00:00:00+00:00,1\n")
+    with pytest.raises(FAILURES, match="another header"):
+        wide_csv.read_wide(spark, f"{folder}/in", line_breaks=True).collect()
+
+
+def points_of(n):
+    names = ["a", "b } c", 'quo"te', "back\\slash", "{[", "é\\"]
+    return [{"timestamp": "2023-07-04T08:00:00Z", "value": k, "identifier": names[k % len(names)]} for k in range(n)]
+
+
+@pytest.mark.parametrize("indent, end", [(None, ""), (1, "\n"), (None, " \n\n")])
+def test_large_documents_are_read_by_many_tasks(spark, folder, small_ranges, indent, end):
+    for name, n in (("a", 200), ("b", 1), ("c", 0)):
+        write(f"{folder}/in/{name}.json", json.dumps({"timeseries": points_of(n)}, indent=indent, ensure_ascii=False) + end)
+    split = points.parse_points(points.split_bodies(spark, f"{folder}/in"))
+    whole = points.parse_points(points.read_bodies(spark, f"{folder}/in"))
+    assert split.count() == 201
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect()))
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda text: text[:-1],  # no closing brace
+        lambda text: text[:-2],
+        lambda text: text + "}",
+        lambda text: text + " x",
+        lambda text: text + text,
+        lambda text: text[:400] + text[401:] if text[400] in '{",}' else text[:text.index("},") + 1] + text[text.index("},") + 2 :],
+        lambda text: text.replace('"timeseries"', '"series"'),
+        lambda text: text.replace('"timestamp"', '"time"', 1),
+        lambda text: text[1:],
+        lambda text: "[" + text,
+    ],
+)
+def test_broken_documents_fail_whole(spark, folder, small_ranges, change):
+    write(f"{folder}/in/good.json", json.dumps({"timeseries": points_of(20)}))
+    write(f"{folder}/in/bad.json", change(json.dumps({"timeseries": points_of(60)})))
+    with pytest.raises(FAILURES):
+        points.parse_points(points.split_bodies(spark, f"{folder}/in")).collect()
+
+
+def test_a_stale_registry_adds_no_series_twice(spark, folder):
+    file = write(f"{folder}/a.csv", "Time,Production\n2019-01-01 00:00:00+00:00,1\n")
+    more = write(f"{folder}/b.csv", "Time,Production,Other\n2019-01-02 00:00:00+00:00,2,3\n")
+    carriers, path = seed_carriers(spark), f"{folder}/registry"
+    empty = local_table(spark, [], META_SCHEMA)
+    load = lambda f, meta, *entries: wide_csv.load_wide(
+        spark, wide_csv.ImportSpec("Time", list(entries), [f]), meta, carriers, f"{folder}/ts", registry_path=path
+    )
+    load(file, empty, ENTRIES[0])
+    load(more, empty, ENTRIES[0], entry("Other"))  # the registry before the first import
+    stored = registry.read_registry(spark, path).orderBy("id").collect()
+    assert [(r.id, r.identifier) for r in stored] == [(1, "production"), (2, "other")]
+    found = {(r.meta_id, r.series_value) for r in samples.read_samples(spark, f"{folder}/ts").collect()}
+    assert found == {(1, 1.0), (1, 2.0), (2, 3.0)}
+    other = local_table(spark, [(2, "third", "kw", 6, False, "", True, 0)], META_SCHEMA)
+    with pytest.raises(registry.RefusedSeries, match="id 2 of third"):
+        load(more, other, ENTRIES[0])
+
+
+# --- tables beside the samples ------------------------------------------------------------
+
+
+def test_extents_are_kept_at_append(spark, folder):
+    from wattframe.plans.series import series_extent
+
+    path, kept = f"{folder}/ts", f"{folder}/extents"
+    assert extents.read_extents(spark, kept).collect() == []
+    samples.append_samples(batch(spark, (1, 5, 1), (2, 50_000, 1)), path, extents=kept)
+    samples.append_samples(batch(spark, (1, 1, 1), (1, 90_000, 1), (3, 7, 1)), path, extents=kept)
+    samples.append_samples(batch(spark, (1, 5, 9), (2, 49_000, 1)), path, "skip", extents=kept)
+    with pytest.raises(samples.DuplicateSamples):
+        samples.append_samples(batch(spark, (1, 5, 1), (9, 1, 1)), path, extents=kept)
+    stored = samples.read_samples(spark, path)
+    want = sorted(map(tuple, series_extent(stored).collect()))
+    assert sorted(map(tuple, series_extent(stored, extents.read_extents(spark, kept)).collect())) == want
+    extents.rebuild_extents(stored, f"{folder}/again")
+    again = extents.read_extents(spark, f"{folder}/again")
+    assert again.count() == 4 and sorted(map(tuple, series_extent(stored, again).collect())) == want
+
+
+def test_pages_by_directory(spark, folder):
+    from wattframe.plans.series import list_series
+
+    rows = [(i, f"s{i}", "kw", None, None, None, None, 0) for i in [3, 4, 5, 17, 18, 40, 41, 42, 43, 90, 91]]
+    meta = local_table(spark, rows, META_SCHEMA)
+    none = spark.createDataFrame([], samples.STORED_SCHEMA)
+    t = Tables(none, meta, seed_carriers(spark), None)
+    directory = registry.page_directory(meta, width=10)
+    assert sorted(map(tuple, directory.collect())) == [(3, 5, 3, 0), (17, 18, 2, 3), (40, 43, 4, 5), (90, 91, 2, 9)]
+    with_pages = Tables(none, meta, t.carriers, None, pages=directory)
+    for size in (1, 2, 3, 4, 20):
+        for page in range(13):
+            want = [r.id for r in list_series(t, page, size).collect()]
+            assert [r.id for r in list_series(with_pages, page, size).collect()] == want
+            narrow, skipped = registry.page_rows(meta, directory, page * size, size)
+            assert narrow.count() - skipped >= len(want) and skipped <= 4

@@ -16,7 +16,7 @@ from wattframe.plans.series import (
     series_scan,
     series_with_samples,
 )
-from wattframe.sources.json_lines import as_json, write_json
+from wattframe.sources.json_lines import as_json, read_document, write_document, write_json
 from wattframe.tables import META_SCHEMA, local_table
 
 PRICE = 21
@@ -92,3 +92,19 @@ def test_json_results(tables, folder):
     write_json(get_series(t, "hard coal"), f"{folder}/out")
     lines = [f.read_text() for f in Path(folder, "out").glob("*.json")]
     assert json.loads("".join(lines))["min_timestamp"] is None
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_nested_documents(spark, tables, folder, n):
+    """All parts, one after the other, are one JSON document in order of time."""
+    t = tables([(PRICE, m * 7 % 500, m) for m in range(n)])
+    found = series_scan(t, "smard_market_price")
+    points = found.datapoints.drop("created_at", "updated_at")
+    write_document(points, found.meta, f"{folder}/out")
+    text = "".join(f.read_text() for f in sorted(Path(folder, "out").glob("part-*")))
+    document = json.loads(text)
+    assert document["meta"]["identifier"] == "smard_market_price" and document["meta"]["carrier"] is None
+    assert [d["timestamp"] for d in document["datapoints"]] == sorted(d["timestamp"] for d in document["datapoints"])
+    assert len(document["datapoints"]) == n
+    again = read_document(spark, f"{folder}/out", "id long, timestamp timestamp, value double")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, points.select("id", "timestamp", "value").collect()))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wattframe.functions.instants import time_span
 from wattframe.functions.intervals import parse_interval, with_bucket
 from wattframe.operators.series import in_range, named
+from wattframe.sources.registry import page_rows
 from wattframe.tables import Tables
 
 PAGE_SIZE = 5000
@@ -80,28 +81,35 @@ def resample(
     return Series(meta, means)
 
 
-def series_extent(ts: DataFrame) -> DataFrame:
-    """First and last timestamp per series: meta_id, min_timestamp, max_timestamp."""
-    return ts.groupBy("meta_id").agg(
-        F.min("series_timestamp").alias("min_timestamp"),
-        F.max("series_timestamp").alias("max_timestamp"),
+def series_extent(ts: DataFrame, extents: DataFrame | None = None) -> DataFrame:
+    """First and last timestamp per series: meta_id, min_timestamp, max_timestamp.
+
+    With stored ``extents`` (sources.extents) no sample is read.
+    """
+    if extents is None:
+        extents = ts.select("meta_id", F.col("series_timestamp").alias("first"), F.col("series_timestamp").alias("last"))
+    return extents.groupBy("meta_id").agg(
+        F.min("first").alias("min_timestamp"), F.max("last").alias("max_timestamp")
     )
 
 
 def _with_extent(t: Tables, meta: DataFrame, of_these: Column | None = None) -> DataFrame:
-    ts = t.ts.select("meta_id", "series_timestamp")
-    if of_these is not None:
-        ts = ts.filter(of_these)
-    extent = series_extent(ts).withColumnRenamed("meta_id", "id")
-    return meta.join(extent, "id", "left").orderBy("id")
+    rows = t.ts if t.extents is None else t.extents
+    rows = rows if of_these is None else rows.filter(of_these)
+    extent = series_extent(rows, None if t.extents is None else rows)
+    return meta.join(extent.withColumnRenamed("meta_id", "id"), "id", "left").orderBy("id")
 
 
 def list_series(t: Tables, page: int = 0, per_page: int = PAGE_SIZE) -> DataFrame:
     """One page of the registry by id, with carrier names and the extent of each series.
 
-    The page is cut before the samples are touched, so only its id span is read.
+    The page is cut before the samples are touched, so only its id span is read. With a page
+    directory only the ids around the page are read and sorted, however deep it lies.
     """
-    return _page(t, t.meta.orderBy("id").offset(page * per_page).limit(per_page))
+    rows, skipped = t.meta, page * per_page
+    if t.pages is not None:
+        rows, skipped = page_rows(t.meta, t.pages, skipped, per_page)
+    return _page(t, rows.orderBy("id").offset(skipped).limit(per_page))
 
 
 def list_series_after(t: Tables, after: int | None = None, per_page: int = PAGE_SIZE) -> DataFrame:
@@ -125,5 +133,6 @@ def get_series(t: Tables, identifier: str) -> DataFrame:
 
 def series_with_samples(t: Tables) -> DataFrame:
     """Registry rows of series that have any sample."""
-    used = t.ts.select(F.col("meta_id").alias("id")).distinct()
+    rows = t.ts if t.extents is None else t.extents
+    used = rows.select(F.col("meta_id").alias("id")).distinct()
     return _with_carrier_names(t, t.meta.join(used, "id", "left_semi"))

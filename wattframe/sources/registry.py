@@ -7,7 +7,7 @@ the position is the place in the list they were sent in, and gives new ids their
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from wattframe.functions.sizes import shared_folder, staged
 from wattframe.functions.text import key
@@ -27,6 +27,8 @@ INPUT_SCHEMA = T.StructType(
 )
 REQUIRED_ON_IMPORT = ["carrier", "consumption", "description"]
 AUDIT = ["created_at", "updated_at"]
+# Ids per row of the page directory.
+PAGE_RANGE = 4096
 STORED_SCHEMA = T.StructType([*META_SCHEMA.fields, *(T.StructField(c, T.TimestampType()) for c in AUDIT)])
 
 
@@ -164,6 +166,20 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], STORED_SCHEMA)
 
 
+def known_series(meta: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored registry rows and those of ``meta`` whose series is not stored.
+
+    A row of ``meta`` with an id that is stored for another series is refused.
+    """
+    columns = META_SCHEMA.names
+    pair = lambda df: df.withColumns({"_i": key("identifier"), "_u": key("unit")})
+    rest = pair(meta.select(*columns)).join(pair(stored).select("_i", "_u"), ["_i", "_u"], "left_anti")
+    clash = rest.join(stored.select("id"), "id", "left_semi").first()
+    if clash is not None:
+        raise RefusedSeries(f"id {clash.id} of {clash.identifier} is stored for another series")
+    return stored.select(*columns).unionByName(rest.select(*columns))
+
+
 def append_rows(rows: DataFrame, path: str) -> None:
     """Append registry rows as they are, stamped with the current time."""
     now = F.current_timestamp()
@@ -184,3 +200,28 @@ def append_series(inputs: DataFrame, path: str, carriers: DataFrame) -> DataFram
     rows = staged(added_series(inputs, meta, carriers), shared_folder(spark, "series"))
     append_rows(rows, path)
     return rows
+
+
+def page_directory(meta: DataFrame, width: int = PAGE_RANGE) -> DataFrame:
+    """Where pages of the registry lie: (low, high, rows, before) per range of ``width`` ids.
+
+    ``before`` counts the rows of all lower ranges. One row per range that has ids, made by
+    one task from counts that were summed up first; to be stored, and made anew after
+    series were added.
+    """
+    ranges = meta.groupBy(F.floor(F.col("id") / width).alias("range")).agg(
+        F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("rows")
+    )
+    lower = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.filter(F.col("range").isNotNull()).select(
+        "low", "high", "rows", F.coalesce(F.sum("rows").over(lower), F.lit(0)).alias("before")
+    )
+
+
+def page_rows(meta: DataFrame, directory: DataFrame, skipped: int, count: int) -> tuple[DataFrame, int]:
+    """Registry rows of the ranges that hold a page, and how many of them lie before it."""
+    here = directory.filter((F.col("before") < skipped + count) & (F.col("before") + F.col("rows") > skipped))
+    span = here.agg(F.min("low"), F.max("high"), F.min("before")).first()
+    if span[0] is None:
+        return meta.limit(0), 0
+    return meta.filter(F.col("id").between(span[0], span[1])), max(skipped - span[2], 0)

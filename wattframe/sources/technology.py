@@ -12,13 +12,20 @@ YEARS = [2020, 2025, 2030, 2035, 2040, 2045, 2050]
 
 
 def read_costs(spark: SparkSession, year: int, pattern: str) -> DataFrame:
-    """Costs of one year with a ``year`` column; ``pattern`` holds ``%d`` for the year."""
+    """Costs of one year with a ``year`` column; ``pattern`` holds ``%d`` for the year.
+
+    An empty value is NULL; one that is no number fails the job.
+    """
     if year not in YEARS:
         raise ValueError(f"no data for {year}; years are {YEARS}")
     costs = spark.read.option("header", True).csv(pattern % year)
-    return costs.withColumns(
-        {"value": F.col("value").try_cast("double"), "year": F.lit(year)}
-    )
+    return costs.withColumns({"value": _number(F.col("value")), "year": F.lit(year)})
+
+
+def _number(text: Column) -> Column:
+    number = text.try_cast("double")
+    bad = F.raise_error(F.format_string("not a number: %s", text))
+    return F.when(number.isNull() & (F.trim(text) != ""), bad).otherwise(number)
 
 
 def read_all_costs(spark: SparkSession, pattern: str, years: list[int] = YEARS) -> DataFrame:

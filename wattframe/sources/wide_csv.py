@@ -10,8 +10,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from wattframe.functions.text import number_or_zero
+from wattframe.sources.records import records
 from wattframe.sources.registry import (
     append_rows,
+    known_series,
     normalised,
     read_registry,
     registered_series,
@@ -33,8 +35,8 @@ ENTRY_SCHEMA = T.StructType(
 class ImportSpec:
     """Which files to import, their time column and the series among their columns.
 
-    Files with ``line_breaks`` inside quoted fields are read whole by one task each; without,
-    such a field fails the import.
+    Files with ``line_breaks`` inside quoted fields are read twice, to find where records
+    end; without, such a field fails the import.
     """
 
     time_column: str
@@ -76,15 +78,28 @@ def read_wide(spark: SparkSession, path: str, line_breaks: bool = False) -> Data
     """All columns as text, with quotes doubled inside quoted fields.
 
     Files below one path must share their header: many equal files are best named by
-    their folder, files with other headers by paths of their own.
+    their folder, files with other headers by paths of their own. A file is read by many tasks,
+    with ``line_breaks`` too.
     """
-    return (
+    files = (
         spark.read.option("header", True)
         .option("escape", '"')
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
-        .option("multiLine", line_breaks)
-        .csv(path)
+    )
+    if not line_breaks:
+        return files.csv(path)
+    columns = files.option("multiLine", True).csv(path).columns  # the first record alone
+    names = [f"c{k}" for k in range(len(columns))]
+    record = F.regexp_replace(F.regexp_replace("record", "\\r\\n", "\n"), "\\r$", "")
+    rows = records(spark, path).withColumn("record", record).filter(F.trim("record") != "")
+    schema = ", ".join(f"{name} string" for name in names)
+    rows = rows.withColumn("fields", F.from_csv("record", schema, {"escape": '"', "mode": "FAILFAST"}))
+    header = F.array(*(F.lit(c) for c in columns))
+    other = F.raise_error(F.format_string("another header in %s", "file")).cast("boolean")
+    differs = F.col("first") & (F.array(*(F.col("fields")[name] for name in names)) != header)
+    return rows.filter(F.when(differs, other).otherwise(~F.col("first"))).select(
+        *(F.col("fields")[name].alias(c) for name, c in zip(names, columns))
     )
 
 
@@ -177,11 +192,15 @@ def load_wide(
 ) -> WideImport | None:
     """Import and append to the sample table; None if ``only_if_empty`` and it is not.
 
-    With a ``registry_path`` the series the import adds to ``meta`` are appended there before
-    any sample is stored, so no sample is left without its series.
+    With a ``registry_path`` the series the import adds are appended there before any sample is
+    stored, so no sample is left without its series. What is stored counts as known, whatever
+    ``meta`` says: an import that is repeated with an old ``meta`` adds no series twice, and a
+    row of ``meta`` whose id is stored for another series is refused.
     """
     if only_if_empty and has_samples(read_samples(spark, path)):
         return None
+    if registry_path is not None:
+        meta = known_series(meta, read_registry(spark, registry_path))
     planned = import_wide(spark, spec, meta, carriers)
     if registry_path is not None:
         known = meta.select("id")
