@@ -494,3 +494,32 @@ for _name in [
     "total_co2_emissions", "co2_savings", "total_grid_electricity_cost", "grid_consumption", "local_production",
 ]:
     ORACLE[f"{_name}_by_series"] = ORACLE[_name]
+
+ORACLE["stream_unique"] = ORACLE["stream_prices"]
+ORACLE["stream_resample_compacted"] = ORACLE["stream_resample"]
+ORACLE["stream_sample_hours"] = f"""{with_tables()}
+SELECT mid AS meta_id, tm AS series_timestamp, h AS hours, false AS late FROM ({weighed("SELECT * FROM sample")})"""
+
+# --- tables kept beside the samples ------------------------------------------------------
+
+for _name in [
+    "total_consumption", "autarky", "cost_savings", "consumption_by_carrier", "scope_two_emissions",
+    "co2_savings", "total_co2_emissions", "total_grid_electricity_cost",
+]:
+    ORACLE[f"{_name}_hourly"] = ORACLE[_name]
+for _name in ["total_consumption", "consumption_by_carrier"]:
+    ORACLE[f"{_name}_hourly_ranged"] = ORACLE[f"{_name}_ranged"]
+ORACLE["series_extent_kept"] = ORACLE["series_extent"]
+ORACLE["list_series_last_page"] = f"{with_tables()} {LISTED} GROUP BY ALL ORDER BY id LIMIT 8 OFFSET 16"
+
+# --- large landed files ------------------------------------------------------------------
+
+ORACLE["point_documents"] = ORACLE["ingest_points"]
+ORACLE["load_export"] = " UNION ALL ".join(
+    f"""SELECT {meta_id} AS meta_id, '{name}' AS identifier, 'kw' AS unit, {column}::DOUBLE AS series_value,
+ TIMESTAMP '2020-01-01' + to_minutes(event_id) AS series_timestamp FROM events"""
+    for meta_id, name, column in ((22, "value", "value"), (23, "user_id", "user_id"))
+)
+ORACLE["default_range"] = f"SELECT value, name, unit FROM ({ORACLE['total_consumption']})"
+ORACLE["result_document"] = f"""{with_tables()}
+SELECT id, tm AS "timestamp", v AS value FROM sample WHERE mid = 5"""

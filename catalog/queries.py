@@ -23,7 +23,17 @@ from wattframe.operators.factors import (
 from wattframe.operators.series import MARKET_PRICE, in_range, named
 from wattframe.operators.weights import sample_hours, sample_neighbours
 from wattframe.plans import kpi, series
-from wattframe.sources import json_lines, points, prices, registry, samples, technology, wide_csv
+from wattframe.sources import (
+    extents,
+    hourly,
+    json_lines,
+    points,
+    prices,
+    registry,
+    samples,
+    technology,
+    wide_csv,
+)
 from wattframe.sources.event_log import (
     SAMPLE_SERIES,
     event_samples,
@@ -31,7 +41,7 @@ from wattframe.sources.event_log import (
     sample_registry,
     series_of_event,
 )
-from wattframe.streaming import prices as price_stream, resample as mean_stream
+from wattframe.streaming import prices as price_stream, resample as mean_stream, weights as weight_stream
 from wattframe.tables import CARRIER_NAMES, Tables, seed_carriers, seed_factors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -535,6 +545,16 @@ def result_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def result_document(spark: SparkSession, folder: str) -> DataFrame:
+    """A scan with its registry row written as one nested document in parts, and read again."""
+    place, t = shared_folder(spark, "document"), event_tables(spark, folder)
+    found = series.series_scan(t, "total_load", *ALL)
+    json_lines.write_document(found.datapoints.select("id", "timestamp", "value"), found.meta, place)
+    points_ = json_lines.read_document(spark, place, "id long, timestamp timestamp, value double")
+    return without_zone(points_, "timestamp")
+
+
 def event_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """One JSON body per event; some identifiers are unknown or of another case."""
     names = F.array(*(F.lit(row[0]) for row in SAMPLE_SERIES))
@@ -709,3 +729,168 @@ def stream_resample_windowed(spark: SparkSession, folder: str) -> DataFrame:
     mean_stream.follow_means(stream, "1hour", f"{place}/log", f"{place}/state").awaitTermination()
     means = mean_stream.followed_means(spark, f"{place}/log")
     return without_zone(rounded(means, MEAN_DIGITS, "mean_value"), "bucket")
+
+
+@query
+def stream_unique(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sample arrives twice and is logged once, without state; batches are merged."""
+    place = shared_folder(spark, "stream-arrivals")
+    stream = sample_stream(spark, folder, place)
+    log = f"{place}/log"
+    price_stream.log_arrivals(stream.unionByName(stream), log, f"{place}/state").awaitTermination()
+    price_stream.compact_arrivals(spark, log)
+    return without_zone(price_stream.arrivals(spark, log), "series_timestamp")
+
+
+@query
+def stream_resample_compacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Means of a log whose batches were merged."""
+    place = shared_folder(spark, "stream-merged")
+    stream = sample_stream(spark, folder, place)
+    mean_stream.log_means(stream, "1hour", f"{place}/log", f"{place}/state").awaitTermination()
+    mean_stream.compact_means(spark, f"{place}/log")
+    means = mean_stream.logged_means(spark, f"{place}/log")
+    return without_zone(rounded(means, MEAN_DIGITS, "mean_value"), "bucket")
+
+
+@query
+def stream_sample_hours(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights from four batches that overlap by two hours, and a last one that closes all series."""
+    place = shared_folder(spark, "stream-weights")
+    rows = event_tables(spark, folder).ts.select(
+        "id", "meta_id", F.col("series_timestamp").cast("timestamp").alias("series_timestamp"), "series_value"
+    )
+    shaken = F.unix_seconds("series_timestamp") + F.pmod(F.xxhash64("id"), F.lit(7200)) - 3600
+    first, last = rows.agg(F.min("series_timestamp"), F.max("series_timestamp")).first()
+    width = int((last - first).total_seconds()) // 4 + 1
+    part = F.floor((shaken - F.unix_seconds(F.lit(first))) / width)
+    rows = rows.withColumn("part", F.greatest(F.least(part, F.lit(3)), F.lit(0))).drop("id")
+    beats = rows.groupBy("meta_id").agg(
+        F.timestamp_seconds(F.lit(last.timestamp() + 86400)).alias("series_timestamp"),
+        F.lit(None).cast("double").alias("series_value"),
+        F.lit(4).cast("long").alias("part"),
+    )
+    rows = rows.withColumn("beat", F.lit(False)).unionByName(beats.withColumn("beat", F.lit(True)))
+    for number in range(5):
+        own = rows.filter(F.col("part") == number).drop("part")
+        own.coalesce(1).write.mode("append").parquet(f"{place}/landing")
+    landed = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1)
+    weight_stream.weigh_stream(landed.parquet(f"{place}/landing"), f"{place}/log", f"{place}/state", "3hour").awaitTermination()
+    weighed = weight_stream.weighed_stream(spark, f"{place}/log")
+    return without_zone(weighed.select("meta_id", "series_timestamp", "hours", "late"), "series_timestamp")
+
+
+# --- tables kept beside the samples ------------------------------------------------------
+
+_stored: dict[tuple[str, str], Tables] = {}
+
+
+def stored_tables(spark: SparkSession, folder: str) -> Tables:
+    """Events appended to a sample table in three parts, with extents, pages and hourly sums."""
+    key_ = (spark.sparkContext.applicationId, folder)
+    if key_ not in _stored:
+        place, t = shared_folder(spark, "stored"), event_tables(spark, folder)
+        rows = t.ts.select(
+            "id", "meta_id", F.col("series_timestamp").cast("timestamp").alias("series_timestamp"), "series_value"
+        )
+        for part in range(3):
+            batch = rows.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == part).drop("id")
+            samples.append_samples(batch, f"{place}/samples", extents=f"{place}/extents")
+            hourly.refresh_hourly(spark, f"{place}/samples", f"{place}/hourly", hourly.touched_months(batch))
+        registry.page_directory(t.meta, width=5).write.parquet(f"{place}/pages")
+        _stored[key_] = Tables(
+            samples.read_samples(spark, f"{place}/samples"),
+            t.meta,
+            t.carriers,
+            t.factors,
+            extents=extents.read_extents(spark, f"{place}/extents"),
+            pages=spark.read.parquet(f"{place}/pages"),
+            hourly=hourly.read_hourly(spark, f"{place}/hourly"),
+        )
+    return _stored[key_]
+
+
+def kept(function: Callable[..., DataFrame], *args: str) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        result = function(stored_tables(spark, folder), *args)
+        columns = ("carrier_proportion", "bucket_consumption") if "bucket_consumption" in result.columns else ("value",)
+        times = [c for c in ("bucket", "from_timestamp", "to_timestamp") if c in result.columns]
+        digits = TOTAL_DIGITS if "name" in result.columns else ROW_DIGITS
+        return without_zone(rounded(result, digits, *columns), *times)
+
+    return run
+
+
+HOURLY = {
+    "total_consumption": (),
+    "autarky": (),
+    "cost_savings": (),
+    "consumption_by_carrier": ("1hour",),
+    "scope_two_emissions": ("1hour",),
+    "co2_savings": ("1hour",),
+    "total_co2_emissions": ("1hour",),
+    "total_grid_electricity_cost": ("1hour",),
+}
+for _name, _interval in HOURLY.items():
+    add(f"{_name}_hourly", kept(getattr(kpi, _name), *_interval, *ALL))
+add("total_consumption_hourly_ranged", kept(kpi.total_consumption, *CUT))
+add("consumption_by_carrier_hourly_ranged", kept(kpi.consumption_by_carrier, "1day", *CUT))
+
+
+@query
+def series_extent_kept(spark: SparkSession, folder: str) -> DataFrame:
+    t = stored_tables(spark, folder)
+    return without_zone(series.series_extent(t.ts, t.extents), "min_timestamp", "max_timestamp")
+
+
+@query
+def list_series_last_page(spark: SparkSession, folder: str) -> DataFrame:
+    page = series.list_series(stored_tables(spark, folder), page=2, per_page=8)
+    return without_zone(as_text(page, *FLAGS), "min_timestamp", "max_timestamp")
+
+
+# --- large landed files ------------------------------------------------------------------
+
+
+@query
+def point_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """One document of points per day, each cut into its points by many tasks."""
+    place = shared_folder(spark, "documents")
+    point = F.from_json("body", points.BODY_SCHEMA)["timeseries"][0]
+    rows = event_bodies(spark, folder).select(point.alias("point"))
+    days = rows.groupBy(F.substring("point.timestamp", 1, 10).alias("day")).agg(F.collect_list("point").alias("timeseries"))
+    days.select("day", F.to_json(F.struct("timeseries")).alias("body")).write.partitionBy("day").text(place)
+    parsed = points.parse_points(points.split_bodies(spark, f"{place}/day=*"))
+    return without_zone(points.resolve_points(parsed, sample_registry(spark)), "series_timestamp")
+
+
+@query
+def load_export(spark: SparkSession, folder: str) -> DataFrame:
+    """A wide export loaded by a spec into an empty table; a second initial load does nothing."""
+    place = shared_folder(spark, "export")
+    time = F.timestamp_seconds(F.lit(1577836800) + F.col("event_id") * 60)
+    table(spark, folder, "events").select(
+        F.date_format(time, "yyyy-MM-dd HH:mm:ss+00:00").alias("Time"), F.col("value").alias("Value"), "user_id"
+    ).write.option("header", True).csv(f"{place}/files")
+    entry = {"unit": "kW", "carrier": "solar", "consumption": False, "description": "", "local": True}
+    spec = wide_csv.parse_spec(
+        {
+            "time_column": "Time",
+            "timeseries": [{"identifier": name, **entry} for name in ("Value", "user_id", "absent")],
+            "files": [f"{place}/files"],
+        }
+    )
+    stale = sample_registry(spark)
+    for _ in range(2):
+        wide_csv.load_wide(
+            spark, spec, stale, seed_carriers(spark), f"{place}/samples", only_if_empty=True, registry_path=f"{place}/registry"
+        )
+    known = registry.read_registry(spark, f"{place}/registry").select(F.col("id").alias("meta_id"), "identifier", "unit")
+    stored = samples.read_samples(spark, f"{place}/samples").join(known, "meta_id")
+    return without_zone(stored.select("meta_id", "identifier", "unit", "series_timestamp", "series_value"), "series_timestamp")
+
+
+@query
+def default_range(spark: SparkSession, folder: str) -> DataFrame:
+    """Without bounds a range runs from 1970 until now."""
+    return rounded(kpi.total_consumption(event_tables(spark, folder)), TOTAL_DIGITS, "value").select("value", "name", "unit")
