@@ -112,3 +112,10 @@ def test_copies_short_and_long_texts_leave_no_language_untrained(spark):
     assert model.labels == ["aa", "ee", "ii", "oo", "uu"]
     asked = [*(speak(rng, k, 30) for k in ("aa", "ee", "oo")), say("ii", 30), say("uu", 30)]
     assert L.predict(model, pa.array(asked))[0] == ["aa", "ee", "oo", "ii", "uu"]
+
+
+def test_signs_and_digits_are_no_letters(spark, model):
+    texts = ["— 12 … € 50", "🙂 🎉🎉", "„12“ ± ½ °", "Ж", "日本", "é", "— word —"]
+    rows = L.with_language(documents(spark, texts), model).orderBy("doc_id").collect()
+    assert [r.lang_pred == "und" for r in rows] == [True, True, True, False, False, False, False]
+    assert all(r.score == 0 for r in rows[:3]) and all(0 < r.score <= 1 for r in rows[3:])

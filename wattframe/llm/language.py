@@ -155,11 +155,21 @@ def mean_marginals(model: Model, words: Words, counted: np.ndarray) -> np.ndarra
 
 
 def letters(words: Words) -> np.ndarray:
-    """1.0 for words with a byte of a letter: A-Z, a-z or beyond ASCII."""
+    """1.0 for words with a letter, of ASCII or of any other script; digits and signs are none."""
     raw = words.data
-    letter = (raw >= 128) | ((_LOWER[raw] >= 97) & (_LOWER[raw] <= 122))
-    sums = np.concatenate(([0], np.cumsum(letter)))
-    return (sums[words.ends] > sums[words.starts]).astype(float)
+    plain = (_LOWER[raw] >= 97) & (_LOWER[raw] <= 122)
+
+    def holds(which: np.ndarray) -> np.ndarray:
+        sums = np.concatenate(([0], np.cumsum(which)))
+        return sums[words.ends] > sums[words.starts]
+
+    found = holds(plain)
+    others = np.flatnonzero(holds(raw >= 128) & ~found)  # accents stand beside plain letters, so these are few
+    if others.size:
+        _, first, inverse = np.unique(words.hashes[others], return_index=True, return_inverse=True)
+        texts = (raw[words.starts[i] : words.ends[i]].tobytes().decode("utf-8", "replace") for i in others[first])
+        found[others] = np.array([any(map(str.isalpha, text)) for text in texts])[inverse]
+    return found.astype(float)
 
 
 def splices(words: Words, owner_labels: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
