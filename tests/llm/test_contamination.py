@@ -100,3 +100,28 @@ def test_overlaps_agree_with_the_definition():
         found = C.overlaps(doc, np.append(item, [-2] * 13), 0)
         assert bool(found) == by_definition(equal)
         assert all(sum(equal[a : a + n]) == same and 5 * same >= 4 * n and n >= C.MIN_OVERLAP for a, n, same in found)
+
+
+def test_short_items_are_found_with_all_allowed_substitutions(spark):
+    """Every item of 1 to 12 words with as many words replaced as may be; longer ones nine times in ten."""
+    rng = random.Random(21)
+    tests = [sentence(rng, n, 10**6) for n in range(1, 31) for _ in range(10)]
+    texts = []
+    for test in tests:
+        changes = len(test.split(" ")) * (100 - C.PERCENT) // 100
+        texts.append(f"{sentence(rng, 9, 50, 'v')} {edited(rng, test, changes)} {sentence(rng, 9, 50, 'v')}")
+    found = {(r.doc_id, r.item_id) for r in C.contaminated(documents(spark, texts), items(spark, tests)).collect()}
+    caught = {}
+    for i, test in enumerate(tests):
+        caught.setdefault(len(test.split(" ")), []).append((i, i) in found)
+    assert all(all(hits) for n, hits in caught.items() if n < C.MIN_OVERLAP)
+    assert all(sum(hits) >= 0.9 * len(hits) for hits in caught.values())
+    worse = [f"a {edited(rng, t, len(t.split(' ')) * (100 - C.PERCENT) // 100 + 1)} b" for t in tests[:120]]
+    assert C.contaminated(documents(spark, worse), items(spark, tests)).collect() == []
+
+
+def test_parts_cover_an_item():
+    for size in range(1, 40):
+        masks = C.part_masks(size, 80)
+        assert len(masks) == size // 5 + 1 and all("1" in m and len(m) == size for m in masks)
+        assert all(sum(m[k] == "1" for m in masks) == 1 for k in range(size))

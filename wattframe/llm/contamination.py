@@ -44,17 +44,35 @@ def hash_of(mask: str) -> int:
     return (int(f"1{mask}", 2) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)
 
 
+def part_masks(size: int, percent: int) -> list[str]:
+    """Masks for whole items of a size: one of them sees no substitution, as long as enough words are equal."""
+    parts = size * (100 - percent) // 100 + 1
+    cuts = [size * k // parts for k in range(parts + 1)]
+    return ["0" * a + "1" * (b - a) + "0" * (size - b) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 class Items:
-    """A block of test items with the hashes of all their masked windows, in order."""
+    """A block of test items with the hashes of all their masked windows, in order.
+
+    Items shorter than ``min_overlap`` must occur as a whole: they have masks of their own
+    length, one for each part that may be the equal one.
+    """
 
-    def __init__(self, ids: list[int], texts: list[str], masks: tuple[str, ...]) -> None:
-        self.ids = ids
+    def __init__(
+        self, ids: list[int], texts: list[str], masks: tuple[str, ...], min_overlap: int = MIN_OVERLAP, percent: int = PERCENT
+    ) -> None:
+        self.ids, self.percent = ids, percent
         words = words_of(pa.array(texts, pa.string()))
         self.tokens, self.bounds = words.hashes, words.bounds
         lengths = np.diff(self.bounds)
-        shortest = min(map(len, masks))
-        self.masks = masks + tuple("1" * int(n) for n in np.unique(lengths[(lengths > 0) & (lengths < shortest)]))
-        found = [masked(words, mask) for mask in self.masks]
+        short = np.unique(lengths[(lengths > 0) & (lengths < min_overlap)])
+        self.parts = tuple(mask for n in short for mask in part_masks(int(n), percent))
+        self.masks = masks + self.parts
+        found = [masked(words, mask) for mask in masks]
+        for mask in self.parts:
+            hashes, at = masked(words, mask)
+            whole = lengths[np.searchsorted(self.bounds, at, "right") - 1] == len(mask)
+            found.append((hashes[whole], at[whole]))
         hashes, at = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.at = hashes[order], at[order]
@@ -71,7 +89,7 @@ class Items:
     def hits(self, words: Words) -> np.ndarray:
         """(text, item, diagonal) of every hit, each once."""
         rows = []
-        for mask in self.masks:
+        for number, mask in enumerate(self.masks):
             hashes, at = masked(words, mask)
             maybe = np.flatnonzero(self.filter[hashes >> np.uint64(64 - FILTER_BITS)])
             hashes, at = hashes[maybe], at[maybe]
@@ -82,12 +100,23 @@ class Items:
                 continue
             entry = np.arange(ends[-1]) + np.repeat(first - ends + counts, counts)
             place = np.repeat(at, counts)
+            if number >= len(self.masks) - len(self.parts):  # parts are short, so many hits are none
+                good = self._equal_enough(words, place, self.at[entry], len(mask))
+                entry, place = entry[good], place[good]
             text = np.searchsorted(words.bounds, place, "right") - 1
             item = self.owner[entry]
             diagonal = (place - words.bounds[text]) - (self.at[entry] - self.bounds[item])
             rows.append(np.unique(np.stack([text, item, diagonal], 1), axis=0))
         return np.unique(np.concatenate(rows), axis=0) if rows else np.zeros((0, 3), np.int64)
 
+    def _equal_enough(self, words: Words, place: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+        good = np.zeros(len(place), bool)
+        for k in range(0, len(place), 1 << 16):
+            part, own = slice(k, k + (1 << 16)), np.arange(size)
+            equal = words.hashes[place[part, None] + own] == self.tokens[start[part, None] + own]
+            good[part] = 100 * equal.sum(1) >= self.percent * size
+        return good
+
 
 def longest(equal: np.ndarray, least: int, percent: int) -> tuple[int, int]:
     """Longest stretch of which ``percent`` in a hundred are equal: start and end.
@@ -186,7 +215,7 @@ def contaminated(
     for block in range(blocks):
         own = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         own.sort(key=lambda r: (r.item_id is None, r.item_id, r.text))
-        shared = spark.sparkContext.broadcast(vars(Items([r.item_id for r in own], [r.text for r in own], masks)))
+        shared = spark.sparkContext.broadcast(vars(Items([r.item_id for r in own], [r.text for r in own], masks, min_overlap, percent)))
         part = texts.mapInArrow(_overlaps(shared, min_overlap, percent), COLUMNS)
         found = part if found is None else found.unionByName(part)
     return found
