@@ -57,3 +57,9 @@ def test_edge_cases(spark):
     same = local_table(spark, [(1, "http://a.com/", "", ""), (1, "http://a.com/", "", ""), (None, None, "", "")], PAGES)
     rows = U.filtered(same, spark.createDataFrame(U.RULES, U.RULE_SCHEMA)).collect()
     assert sorted((str(r.page_id), r.rule) for r in rows if r.rule) == [("1", "com/")] * 2 and len(rows) == 3
+
+
+def test_a_url_of_a_megabyte(spark):
+    urls = ["http://" + "a." * 200_000 + "example.com/en/" + "d/" * 400_000, "http://x.net/" + "/" * 900_000]
+    rows = U.filtered(pages(spark, urls), local_table(spark, U.RULES, U.RULE_SCHEMA)).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in rows] == [("example.com/en/", "block"), (None, "allow")]

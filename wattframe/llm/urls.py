@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from wattframe.tables import local_table
+
 PREFIX = 8  # hexadecimal digits of a digest that are joined
 BROADCAST_RULES = 100_000
 SALTS = 32
@@ -33,26 +35,17 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and what stands behind each of its dots."""
+def host_suffixes(host: Column, labels: list[int]) -> Column:
+    """The last so many labels of the host, for each of the numbers that it has."""
     parts = F.split(host, r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."),
-    )
+    numbers = F.filter(F.array(*map(F.lit, labels)), lambda n: n <= F.size(parts))
+    return F.transform(numbers, lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
 
 
 def path_prefixes(path: Column, lengths: list[int]) -> Column:
-    """Nothing, the path up to each slash, the whole path, and its starts of the given lengths."""
-    parts = F.split(path, "/")
-    slashes = F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1),
-        lambda i: F.when(i == 0, F.lit("")).otherwise(
-            F.concat(F.array_join(F.slice(parts, 1, F.greatest(i, F.lit(1))), "/"), F.lit("/"))
-        ),
-    )
-    odd = [F.substring(path, 1, n) for n in lengths]
-    return F.array_distinct(F.concat(slashes, F.array(path, *odd)))
+    """Starts of the path, of each of the lengths that it has."""
+    numbers = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(path))
+    return F.transform(numbers, lambda n: F.substring(path, 1, n))
 
 
 def digest(host: Column, path: Column) -> Column:
@@ -69,7 +62,8 @@ def filtered(pages: DataFrame, rules: DataFrame, default: str = "allow", broadca
     task; more are joined by shuffle with salted keys, as an expression like ``com/`` may
     stand for a third of all rows.
 
-    NULL URLs and those without ``://`` have an empty host and path and only meet rules
+    A URL is only expanded to the path lengths and numbers of host labels that rules have, so
+    one of a megabyte is no harder than others. NULL URLs and those without ``://`` have an empty host and path and only meet rules
     without a host. Rows that repeat an id and URL give a row each; other columns are ignored;
     an empty table gives no rows, and without rules all verdicts are the default.
     """
@@ -83,15 +77,16 @@ def filtered(pages: DataFrame, rules: DataFrame, default: str = "allow", broadca
         "verdict",
     ).distinct()
     small = known.limit(broadcast_rules + 1).count() <= broadcast_rules
-    odd = known.where("rule_path != '' and not endswith(rule_path, '/')").select(F.length("rule_path")).distinct()
-    lengths = sorted(r[0] for r in odd.collect())  # numbers of at most a path's length
+    # As many numbers as rules have different lengths and labels; longer URLs give no more expressions.
+    sizes = known.agg(F.collect_set(F.length("rule_path")), F.collect_set(F.size(F.split("rule_host", r"\."))))
+    lengths, labels = (sorted(x) or [0] for x in sizes.first())
     known = known.withColumn("digest", digest(F.col("rule_host"), F.col("rule_path"))).withColumn(
         "prefix", F.substring("digest", 1, PREFIX)
     )
     asked = urls.groupBy("page_id", "host", "path").agg(F.count("*").alias("times"))
-    suffixes = asked.withColumn("suffix", F.explode(host_suffixes(F.col("host"))))
+    suffixes = asked.withColumn("suffix", F.explode_outer(host_suffixes(F.col("host"), labels)))
     expressions = (
-        suffixes.withColumn("start", F.explode(path_prefixes(F.col("path"), lengths)))
+        suffixes.withColumn("start", F.explode_outer(path_prefixes(F.col("path"), lengths)))
         .withColumn("own", digest(F.col("suffix"), F.col("start")))
         .withColumn("prefix", F.substring("own", 1, PREFIX))
         .drop("suffix", "start")
@@ -124,7 +119,7 @@ def filtered(pages: DataFrame, rules: DataFrame, default: str = "allow", broadca
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages against five rules."""
-    return filtered(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.createDataFrame(RULES, RULE_SCHEMA))
+    return filtered(spark.read.parquet(f"{sf_dir}/pages.parquet"), local_table(spark, RULES, RULE_SCHEMA))
 
 
 OP4_SQL = r"""
