@@ -73,3 +73,19 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     found = {r.node: r.component for r in components(edges).collect()}
     assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_texts_under_one_id_are_judged_apart(spark):
+    rng = random.Random(31)
+    a, b = sentence(rng, 80), sentence(rng, 80)
+    texts = [a, b, edited(rng, b, 1), sentence(rng, 60)]
+    rows = minhash.near_duplicates(documents(spark, texts, ids=[7, 7, 3, 9])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(3, 3, True), (7, 3, False), (7, 7, True), (9, 9, True)]
+    assert len({r.text_digest for r in rows}) == 4
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(32)
+    long = sentence(rng, 400_000, 10**6)
+    rows = minhash.near_duplicates(documents(spark, [long, edited(rng, long, 9), "short text"])).orderBy("doc_id").collect()
+    assert [r.component_id for r in rows] == [0, 0, 2] and rows[0].n_shingles > 390_000

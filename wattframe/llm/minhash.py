@@ -82,21 +82,25 @@ def _signed_rows(n: int, bands: int, rows: int):
                 pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(keys[full].ravel())
             )
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes), pa.array(hi), pa.array(lo), lists],
-                ["doc_id", "n_shingles", "hi", "lo", "bands"],
+                [part.column(0), part.column(2), pa.array(sizes), pa.array(hi), pa.array(lo), lists],
+                ["doc_id", "text_digest", "n_shingles", "hi", "lo", "bands"],
             )
 
     return run
 
 
 def _shingle_rows(n: int):
+    """Sets of the rows (node, text, hi, lo) whose text is the one that the node stands for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             shingles, bounds = sets_of(*grams(words_of(part.column(1)), n, whole=True))
             sets = [shingles[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            hi, lo = fingerprints(shingles, bounds)
+            own = (hi == part.column(2).to_numpy()) & (lo == part.column(3).to_numpy())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"]
-            )
+                [part.column(0), pa.array(sets, pa.binary())], ["node", "shingles"]
+            ).filter(pa.array(own))
 
     return run
 
@@ -249,39 +253,45 @@ def near_duplicates(
     leader, the one that meets most others in all its buckets; where a bucket still holds
     several components, those are compared in blocks. A text with fewer words than a shingle
     is one shingle; NULL, empty and blank texts have none and stand alone. Rows that repeat an
-    id give a row each, judged by their own text. Rows without an id keep their set size,
-    have no component and are kept. Other columns are ignored.
+    id give a row each, judged by their own text, which ``text_digest`` (xxhash64) tells apart.
+    Rows without an id keep their set size, have no component and are kept. Very long texts
+    are taken whole. Other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed_docs = stage(
-        texts.mapInArrow(
+        texts.withColumn("text_digest", F.xxhash64("text")).mapInArrow(
             _signed_rows(shingle, bands, rows),
-            "doc_id long, n_shingles long, hi long, lo long, bands array<long>",
+            "doc_id long, text_digest long, n_shingles long, hi long, lo long, bands array<long>",
         ),
         "signatures",
     )
     known = signed_docs.where("n_shingles > 0 and doc_id is not null")
     classes = stage(
-        known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")),
+        known.groupBy("hi", "lo")
+        .agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id()),  # ids of documents may stand for several texts
         "classes",
     )
+    stands = classes.select(F.col("rep").alias("doc_id"), "node", "hi", "lo")
     labels = grouped(
-        classes.select(F.col("rep").alias("node"), "bands"),
+        classes.select("node", "bands"),
         # by shuffle at every size: the nodes grow with the texts
-        lambda nodes: texts.join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
-        .mapInArrow(_shingle_rows(shingle), "doc_id long, shingles binary")
-        .distinct()
-        .withColumnRenamed("doc_id", "node"),
+        lambda nodes: texts.join(stands.join(nodes, "node", "left_semi").hint("merge"), "doc_id")
+        .select("node", "text", "hi", "lo")
+        .mapInArrow(_shingle_rows(shingle), "node long, shingles binary")
+        .distinct(),
         percent,
     )
+    named = stage(labels.join(classes.select("node", "rep"), "node"), "named")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = (
-        known.select("doc_id", "n_shingles", "hi", "lo")
-        .join(classes.select("hi", "lo", "rep"), ["hi", "lo"])
-        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+        known.select("doc_id", "text_digest", "n_shingles", "hi", "lo")
+        .join(classes.select("hi", "lo", "rep", "node"), ["hi", "lo"])
+        .join(named.join(least, "component").select("node", "component_id"), "node", "left")
+        .select("doc_id", "text_digest", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     )
     alone = signed_docs.where("not (n_shingles > 0 and doc_id is not null)").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
+        "doc_id", "text_digest", "n_shingles", F.col("doc_id").alias("component_id")
     )
     return linked.unionByName(alone).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
@@ -290,7 +300,8 @@ def near_duplicates(
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by 4-word shingles."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)
+    return found.drop("text_digest")
 
 
 OP2_SQL = r"""
