@@ -26,15 +26,19 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates, and one row of each id."""
-    removed = stage(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "removed")
-    again = stage(
-        docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"),
-        "repeated",
-    )
-    rest = docs.join(removed, "doc_id", "left_anti")
-    once = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(again, "doc_id", "left_anti").unionByName(once)
+    """Keeps the smallest doc_id of each group of near duplicates, and one row of equal id and text.
+
+    Texts that share an id are judged one by one. Rows without an id or without words stay;
+    an empty table stays empty.
+    """
+    found = near_duplicates(docs).where("doc_id is not null")
+    keys = ["doc_id", "_digest"]
+    found = found.select("doc_id", F.col("text_digest").alias("_digest"), "kept")
+    removed = stage(found.where("not kept").select(*keys).distinct(), "removed")
+    again = stage(found.where("kept").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "repeated")
+    rest = docs.withColumn("_digest", F.xxhash64(F.col("text").cast("string"))).join(removed, keys, "left_anti")
+    once = rest.join(again, keys, "left_semi").dropDuplicates(keys)
+    return rest.join(again, keys, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
