@@ -66,3 +66,14 @@ def test_empty_and_repeated_rows(spark, given):
     assert sorted(r.doc_id for r in P.without_near_duplicates(spark, twice, sf).collect()) == [1, 2]
     odd = twice.withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit(1))
     assert {(r.lang_pred, r.score) for r in P.known_language(spark, odd, sf).collect()} == {("x", 1)}
+
+
+def test_only_near_copies_go_and_not_what_shares_their_id(spark, given):
+    rng = random.Random(5)
+    a, b = sentence(rng, 80, 10**6), sentence(rng, 80, 10**6)
+    docs = documents(spark, [a, b, edited(rng, b, 1), a, None, None], ids=[7, 7, 3, 7, None, 8])
+    kept = P.without_near_duplicates(spark, docs, given[0])
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text == a) for r in kept.collect()), key=str) == sorted(
+        [(7, True), (3, False), (None, False), (8, False)], key=str
+    )
