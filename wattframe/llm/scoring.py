@@ -14,16 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattframe.llm.recurrent import END, OTHER, WORDS, Trainer, flat, initial, score_texts, unflat
 from wattframe.llm.staging import stage
-from wattframe.llm.words import Words, mix, signed, slices, words_of
+from wattframe.llm.words import Words, signed, slices, text_bytes, words_of
 
 MORE = 0.1
 FREQUENT = 400_000
 BINS = 32  # per doubling of a count, to find the least count of a frequent word
-SLICE = 12 << 20
+SLICE = 4 << 20  # of numbers, two bytes each
 FLUSH = 2_000_000
 #: Sixteenths of the training documents that each round learns from; together all of them.
 ROUNDS = ((0, 1), (1, 4), (4, 16))
@@ -92,32 +93,73 @@ class Vocabulary:
         return self.hashes, self.counts, self.total, self.distinct
 
 
-def _with_ends(words: Words, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A stream of numbers with END after each text, and the texts' bounds in it."""
-    return np.insert(numbers, words.bounds[1:], END), words.bounds + np.arange(len(words.bounds))
+def _per_text(values: np.ndarray, words: Words) -> np.ndarray:
+    sums = np.concatenate(([0], np.cumsum(values)))
+    return sums[words.bounds[1:]] - sums[words.bounds[:-1]]
 
 
-def text_keys(words: Words) -> np.ndarray:
-    """64 bits that stand for each text's sequence of words."""
-    place = np.arange(len(words.hashes)) - np.repeat(words.bounds[:-1], np.diff(words.bounds))
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(words.hashes + mix(place.astype(np.uint64))))))
-    return signed(mix(sums[words.bounds[1:]] - sums[words.bounds[:-1]]))
+_ENCODED = (
+    "row long, doc_id long, held_out boolean, part int, n_tokens long, known long, other long, logs double, "
+    "other_logs double, numbers binary, rare array<long>, times array<long>"
+)
 
 
-def _per_text(values: np.ndarray, words: Words) -> np.ndarray:
-    sums = np.concatenate(([0], np.cumsum(values)))
-    return sums[words.bounds[1:]] - sums[words.bounds[:-1]]
+def _encoded_rows(shared):
+    """Every text once more as numbers of the model, an END after it, and its words without one.
 
+    ``row`` tells rows apart, also those with equal ids and texts; ``part`` deals texts into sixteenths.
+    """
 
-def _training_rows(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, values = shared.value
-        vocabulary, trainer = Vocabulary(*state), Trainer(unflat(values), rate)
-        for part in slices(batches, "text", SLICE):
-            words = words_of(part.column(0))
+        vocabulary = Vocabulary(*shared.value)
+        row = TaskContext.get().partitionId() << 40
+        for part in slices(batches, "text"):
+            words = words_of(part.column(3))
             at, known = vocabulary.places(words.hashes)
-            numbers = np.where(known, vocabulary.numbers[at] if len(vocabulary.numbers) else OTHER, OTHER).astype(np.int32)
-            trainer.learn(_with_ends(words, numbers)[0])
+            size = len(vocabulary.hashes)
+            logs = vocabulary.logs[at] * known if size else np.zeros(len(at))
+            numbers = np.where(known, vocabulary.numbers[at], OTHER) if size else np.full(len(at), OTHER)
+            other = numbers == OTHER
+            bounds = words.bounds + np.arange(len(words.bounds))
+            stream = np.insert(numbers, words.bounds[1:], END).astype(np.uint16)
+            rare = np.flatnonzero(~known)
+            text = np.searchsorted(words.bounds, rare, "right") - 1
+            order = np.lexsort((words.hashes[rare], text))
+            text, hashes = text[order], words.hashes[rare][order]
+            first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1]))[: len(text)])
+            cuts = np.searchsorted(text[first], np.arange(len(words) + 1)).astype(np.int32)
+            counts = np.diff(np.append(first, len(text)))
+            columns = [
+                pa.array(row + np.arange(len(words))),
+                *part.columns[:3],
+                pa.array(np.diff(words.bounds) + 1),
+                pa.array(_per_text(known.astype(np.int64), words)),
+                pa.array(_per_text(other.astype(np.int64), words)),
+                pa.array(_per_text(logs, words)),
+                pa.array(_per_text(logs * other, words)),
+                pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(words), [None, pa.py_buffer((2 * bounds).astype(np.int64)), pa.py_buffer(stream)]
+                ).cast(pa.binary()),
+                pa.ListArray.from_arrays(cuts, pa.array(signed(hashes[first]))),
+                pa.ListArray.from_arrays(cuts, pa.array(counts)),
+            ]
+            row += len(words)
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _ENCODED.split(", ")])
+
+    return run
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the texts of a slice, and their bounds."""
+    raw, offsets = text_bytes(column)
+    return np.frombuffer(raw.tobytes(), np.uint16).astype(np.int32), offsets // 2
+
+
+def _training_rows(shared, rate: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer = Trainer(unflat(shared.value), rate)
+        for part in slices(batches, "numbers", SLICE):
+            trainer.learn(_numbers(part.column(0))[0])
         if trainer.tokens:
             pieces = np.array_split(flat(trainer.weights), PARTS)
             yield pa.RecordBatch.from_arrays(
@@ -166,13 +208,13 @@ def vocabulary_of(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     )
 
 
-def trained(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+def trained(encoded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """Weights after all rounds; each training text is learned from once, whole."""
-    spark = texts.sparkSession
+    spark = encoded.sparkSession
     values = flat(initial(vocabulary.by_number))
     for number, (low, high) in enumerate(ROUNDS):
-        shared = spark.sparkContext.broadcast((vocabulary.state(), values))
-        own = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)).between(low, high - 1)).select("text")
+        shared = spark.sparkContext.broadcast(values)
+        own = encoded.where(F.col("part").between(low, high - 1)).select("numbers")
         rows = own.mapInArrow(
             _training_rows(shared, 4e-3 / (1 + number)), "part long, tokens long, weights binary"
         )
@@ -182,58 +224,13 @@ def trained(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     return values
 
 
-def _rare_rows(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(*shared.value)
-        for part in slices(batches, "text"):
-            words = words_of(part.column(1))
-            rare = np.flatnonzero(~vocabulary.places(words.hashes)[1])
-            text = np.searchsorted(words.bounds, rare, "right") - 1
-            text = np.append(text, np.arange(len(words)))  # a row per text, to count copies of it
-            hashes = np.append(words.hashes[rare], np.full(len(words), END_HASH))
-            order = np.lexsort((hashes, text))
-            text, hashes = text[order], hashes[order]
-            new = np.append(True, (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1]))
-            first = np.flatnonzero(new)
-            counts = np.diff(np.append(first, len(text)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0).take(pa.array(text[first])),
-                    pa.array(text_keys(words)[text[first]]),
-                    pa.array(signed(hashes[first])),
-                    pa.array(counts.astype(np.int32)),
-                ],
-                ["doc_id", "text_key", "word", "times"],
-            )
-
-    return run
-
-
 def _score_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, values = shared.value
-        vocabulary, weights = Vocabulary(*state), unflat(values)
-        for part in slices(batches, "text", SLICE):
-            words = words_of(part.column(2))
-            at, known = vocabulary.places(words.hashes)
-            logs = vocabulary.logs[at] * known if len(vocabulary.logs) else np.zeros(len(at))
-            numbers = np.where(known, vocabulary.numbers[at] if len(vocabulary.numbers) else OTHER, OTHER).astype(np.int32)
-            other = numbers == OTHER
-            model = score_texts(weights, *_with_ends(words, numbers)) / math.log(10)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    part.column(1),
-                    pa.array(text_keys(words)),
-                    pa.array(np.diff(words.bounds) + 1),
-                    pa.array(_per_text(known.astype(np.int64), words)),
-                    pa.array(_per_text(other.astype(np.int64), words)),
-                    pa.array(_per_text(logs, words)),
-                    pa.array(_per_text(logs * other, words)),
-                    pa.array(model),
-                ],
-                ["doc_id", "held_out", "text_key", "n_tokens", "known", "other", "logs", "other_logs", "model"],
-            )
+        weights = unflat(shared.value)
+        for part in slices(batches, "numbers", SLICE):
+            model = score_texts(weights, *_numbers(part.column(part.schema.get_field_index("numbers")))) / math.log(10)
+            rest = part.drop_columns(["numbers"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(model)], [*rest.schema.names, "model"])
 
     return run
 
@@ -261,36 +258,35 @@ def scored(docs: DataFrame, held_out: Column, frequent: int = FREQUENT) -> DataF
     learned = texts.where("not held_out")
     counts = counted(learned)
     vocabulary = vocabulary_of(counts, frequent)
-    values = trained(learned, vocabulary)
-    words_only = spark.sparkContext.broadcast(vocabulary.state())
-    rare = (
-        texts.select("doc_id", "text")
-        .mapInArrow(_rare_rows(words_only), "doc_id long, text_key long, word long, times int")
-        .join(counts, "word", "left")
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)).cast("int").alias("part")
+    encoded = stage(
+        texts.select("doc_id", "held_out", part, "text").mapInArrow(
+            _encoded_rows(spark.sparkContext.broadcast(vocabulary.state())), _ENCODED
+        ),
+        "encoded",
     )
-    is_end = F.col("word") == int(END_HASH)
-    more = F.log10(F.coalesce("n", F.lit(0)) + MORE)
-    sums = rare.groupBy("doc_id", "text_key").agg(
-        F.sum(F.when(is_end, F.col("times"))).alias("copies"),
-        F.sum(F.when(~is_end, F.col("times") * more).otherwise(0.0)).alias("rare_logs"),
-        F.sum(F.when(~is_end & F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
+    values = trained(encoded.where("not held_out"), vocabulary)
+    light = [x.split()[0] for x in _ENCODED.split(", ") if x.split()[0] not in ("part", "numbers", "rare", "times")]
+    kinds = ", ".join(x for x in _ENCODED.split(", ") if x.split()[0] in light)
+    rows = encoded.select(*light, "numbers").mapInArrow(
+        _score_rows(spark.sparkContext.broadcast(values)), f"{kinds}, model double"
     )
-    both = spark.sparkContext.broadcast((vocabulary.state(), values))
-    rows = texts.select("doc_id", "held_out", "text").mapInArrow(
-        _score_rows(both),
-        "doc_id long, held_out boolean, text_key long, n_tokens long, known long, other long, "
-        "logs double, other_logs double, model double",
+    # Ends aren't among these words, so no word is in most documents.
+    rare = encoded.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))))
+    more = F.log10(F.coalesce("n", F.lit(0)) + MORE)
+    sums = rare.join(counts, "word", "left").groupBy("row").agg(
+        F.sum(F.col("times") * more).alias("rare_logs"),
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
     )
     end = int(vocabulary.counts[vocabulary.hashes == END_HASH].sum())
     norm = math.log10(vocabulary.total + MORE * (vocabulary.distinct + 1))
     other_norm = math.log10(vocabulary.other_total + MORE * (vocabulary.other_distinct + 1))
-    rare_logs = F.col("rare_logs") / F.col("copies")
-    sums = sums.withColumnsRenamed({"doc_id": "id", "text_key": "key"})
-    return rows.join(sums, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))).select(
+    rare_logs, rare_known = F.coalesce("rare_logs", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
+    return rows.join(sums, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.col("rare_known") / F.col("copies") + F.lit(int(end > 0))).cast("long").alias("n_known"),
+        (F.col("known") + rare_known + F.lit(int(end > 0))).cast("long").alias("n_known"),
         F.lit(vocabulary.total).cast("long").alias("train_tokens"),
         (F.col("logs") + rare_logs + math.log10(end + MORE) - F.col("n_tokens") * norm).alias("base_score"),
         (F.col("model") + F.col("other_logs") + rare_logs - F.col("other") * other_norm).alias("score"),
