@@ -26,7 +26,7 @@ SEGMENT = 128
 PIECE = 16
 EPOCHS = 5
 UNKNOWN = "und"
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 @dataclass
