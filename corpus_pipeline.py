@@ -31,14 +31,16 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Texts that share an id are judged one by one. Rows without an id or without words stay;
     an empty table stays empty.
     """
-    found = near_duplicates(docs).where("doc_id is not null")
     keys = ["doc_id", "_digest"]
-    found = found.select("doc_id", F.col("text_digest").alias("_digest"), "kept")
-    removed = stage(found.where("not kept").select(*keys).distinct(), "removed")
-    again = stage(found.where("kept").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "repeated")
-    rest = docs.withColumn("_digest", F.xxhash64(F.col("text").cast("string"))).join(removed, keys, "left_anti")
-    once = rest.join(again, keys, "left_semi").dropDuplicates(keys)
-    return rest.join(again, keys, "left_anti").unionByName(once).select(*docs.columns)
+    found = near_duplicates(docs).where("doc_id is not null").withColumnRenamed("text_digest", "_digest")
+    marks = found.groupBy(*keys).agg(F.max(~F.col("kept")).alias("_goes"), F.count("*").alias("_rows"))
+    marks = stage(marks.where("_goes or _rows > 1"), "marks")
+    # One join, by shuffle at every size: the marks grow with the texts.
+    digest = F.xxhash64(F.col("text").cast("string"))
+    rest = docs.withColumn("_digest", digest).join(marks.hint("merge"), keys, "left").where("not coalesce(_goes, false)")
+    again = F.coalesce(F.col("_rows"), F.lit(1)) > 1
+    rows = rest.where(~again).unionByName(rest.where(again).dropDuplicates(keys))
+    return rows.select(*docs.columns)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
