@@ -500,6 +500,15 @@ ORACLE["stream_resample_compacted"] = ORACLE["stream_resample"]
 ORACLE["stream_sample_hours"] = f"""{with_tables()}
 SELECT mid AS meta_id, tm AS series_timestamp, h AS hours, false AS late FROM ({weighed("SELECT * FROM sample")})"""
 
+# Mix samples of even hours are zero; a missing share counts as 1 where energy is split.
+for _name in ["consumption_by_carrier", "scope_two_emissions", "total_co2_emissions", "co2_savings"]:
+    ORACLE[f"{_name}_without_mix"] = (
+        ORACLE[_name]
+        .replace("ELSE value END AS v", "WHEN (event_id + user_id) % 21 + 1 BETWEEN 8 AND 18 AND hour(ts) % 2 = 0 THEN 0.0 ELSE value END AS v")
+        .replace("/ any_value(w.whole)", "/ nullif(any_value(w.whole), 0)")
+        .replace("round(mix.share * drawn.e, 7)", "round(coalesce(mix.share, 1.0) * drawn.e, 7)")
+    )
+
 # --- tables kept beside the samples ------------------------------------------------------
 
 for _name in [

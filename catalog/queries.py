@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattframe.functions.instants import rfc_3339, time_span
 from wattframe.functions.intervals import with_bucket
-from wattframe.functions.sizes import shared_folder
+from wattframe.functions.sizes import folder_names, shared_folder
 from wattframe.functions.text import number_or_zero
 from wattframe.operators.energy import mix_shares
 from wattframe.operators.factors import (
@@ -250,6 +251,23 @@ for _name, _args in BY_SERIES.items():
     add(f"{_name}_by_series", by_series(_name, *_args))
 
 
+def without_mix(function: Callable[..., DataFrame]) -> Query:
+    """The indicator where the grid mix adds up to zero in every other hour."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        t = event_tables(spark, folder)
+        zero = F.col("meta_id").between(8, 18) & (F.hour("series_timestamp") % 2 == 0)
+        ts = t.ts.withColumn("series_value", F.when(zero, 0.0).otherwise(F.col("series_value")))
+        result = function(replace(t, ts=ts), "1hour", *ALL, on_zero="null")
+        return rounded(result, TOTAL_DIGITS if "name" in result.columns else ROW_DIGITS, "value")
+
+    return run
+
+
+for _name in ("consumption_by_carrier", "scope_two_emissions", "total_co2_emissions", "co2_savings"):
+    add(f"{_name}_without_mix", without_mix(getattr(kpi, _name)))
+
+
 @query
 def total_consumption_chunked(spark: SparkSession, folder: str) -> DataFrame:
     t = event_tables(spark, folder, "chunked")
@@ -782,13 +800,16 @@ def stream_sample_hours(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- tables kept beside the samples ------------------------------------------------------
 
-_stored: dict[tuple[str, str], Tables] = {}
+_stored: dict[tuple[str, str], tuple[str, Tables]] = {}
 
 
 def stored_tables(spark: SparkSession, folder: str) -> Tables:
-    """Events appended to a sample table in three parts, with extents, pages and hourly sums."""
+    """Events appended to a sample table in three parts, with extents, pages and hourly sums.
+
+    They are written once per session, and again if their folder is gone.
+    """
     key_ = (spark.sparkContext.applicationId, folder)
-    if key_ not in _stored:
+    if key_ not in _stored or not folder_names(spark, f"{_stored[key_][0]}/pages"):
         place, t = shared_folder(spark, "stored"), event_tables(spark, folder)
         rows = t.ts.select(
             "id", "meta_id", F.col("series_timestamp").cast("timestamp").alias("series_timestamp"), "series_value"
@@ -798,7 +819,7 @@ def stored_tables(spark: SparkSession, folder: str) -> Tables:
             samples.append_samples(batch, f"{place}/samples", extents=f"{place}/extents")
             hourly.refresh_hourly(spark, f"{place}/samples", f"{place}/hourly", hourly.touched_months(batch))
         registry.page_directory(t.meta, width=5).write.parquet(f"{place}/pages")
-        _stored[key_] = Tables(
+        t = Tables(
             samples.read_samples(spark, f"{place}/samples"),
             t.meta,
             t.carriers,
@@ -807,7 +828,8 @@ def stored_tables(spark: SparkSession, folder: str) -> Tables:
             pages=spark.read.parquet(f"{place}/pages"),
             hourly=hourly.read_hourly(spark, f"{place}/hourly"),
         )
-    return _stored[key_]
+        _stored[key_] = place, t
+    return _stored[key_][1]
 
 
 def kept(function: Callable[..., DataFrame], *args: str) -> Query:
