@@ -75,6 +75,26 @@ def test_components_of_a_long_path(spark):
     assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+def test_components_take_few_rounds_whatever_the_order(spark, monkeypatch):
+    from wattframe.llm import components as module
+
+    staged = []
+
+    def counted(df, purpose):
+        staged.append((purpose, stage(df, purpose)))
+        assert len(staged) <= 60
+        return staged[-1][1]
+
+    order = list(range(300))
+    random.Random(8).shuffle(order)
+    edges = list(zip(order, order[1:])) + [(500 + i, 900) for i in range(100)]  # a path, a star
+    stage = module.stage
+    monkeypatch.setattr(module, "stage", counted)
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**dict.fromkeys(range(300), 0), **dict.fromkeys([*range(500, 600), 900], 500)}
+    assert sum(rows.count() for purpose, rows in staged if purpose == "links") <= 3 * len(edges)
+
+
 def test_texts_under_one_id_are_judged_apart(spark):
     rng = random.Random(31)
     a, b = sentence(rng, 80), sentence(rng, 80)
