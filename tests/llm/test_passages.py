@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from brute import documents, edited, sentence
+from brute import documents, edited, sentence, shingles
 from wattframe.llm import passages
 
 
@@ -134,3 +135,67 @@ def test_edge_cases(spark):
 def test_cuts():
     assert passages.without_spans(b"abcdefgh", [(4, 6), (1, 3), (2, 5)]) == b"agh"
     assert passages.without_spans(b"", []) == b""
+
+
+def linked(rows, first, second):
+    """Whether places (doc_id, text holding the passage's first words) are one component's."""
+    place = {(r.doc_id, r.start): (r.passage_doc, r.passage_start) for r in rows}
+    return first in place and place.get(first) == place.get(second)
+
+
+def test_near_equal_lines_and_blocks_are_linked_as_by_brute_force(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(40):
+        line = sentence(rng, rng.randrange(20, 70), 10**6)
+        other = edited(rng, line, rng.randrange(1, 3)) if rng.random() < 0.5 else line.rsplit(" ", rng.randrange(1, 4))[0]
+        texts += [f"{sentence(rng, 12, 10**6)}\n{x}\n{sentence(rng, 12, 10**6)}" for x in (line, other)]
+    block = [sentence(rng, 12, 10**6) for _ in range(8)]
+    texts += ["\n".join([sentence(rng, 9, 10**6), "", *x, " ", sentence(rng, 9, 10**6)]) for x in (block, [*block[:5], "one line more", *block[5:]])]
+    found = passages.repeated_passages(documents(spark, texts)).collect()
+    near = 0
+    for a in range(0, len(texts), 2):
+        one, two = (texts[i].split("\n", 2)[1:2] if a < 80 else [texts[i].split("\n\n")[1].rsplit("\n \n", 1)[0]] for i in (a, a + 1))
+        at = [texts[i].index(x) for i, x in ((a, one[0]), (a + 1, two[0]))]
+        left, right = shingles(one[0], 5), shingles(two[0], 5)
+        meets = 100 * len(left & right) >= 80 * len(left | right) and min(len(x[0].split()) for x in (one, two)) >= 20
+        near += meets
+        assert not meets or linked(found, (a, at[0]), (a + 1, at[1])), (a, one, two)
+    assert near > 20
+
+
+def test_prefixes_leave_out_no_pair():
+    rng = random.Random(10)
+    lines = []
+    for _ in range(200):
+        base = sentence(rng, rng.randrange(20, 90), 10**6)
+        lines += [base, edited(rng, base, rng.randrange(1, 4))]
+    words = passages.words_of(pa.array(["\n".join(lines)]))
+    first, last = passages.stretches(words, 20)
+    assert len(first) == 400
+    keys, owner = passages.prefixes(words, first, last, 80)
+    sets = [set(keys[owner == i].tolist()) for i in range(400)]
+    for i in range(0, 400, 2):
+        left, right = shingles(lines[i], 5), shingles(lines[i + 1], 5)
+        assert 100 * len(left & right) < 80 * len(left | right) or sets[i] & sets[i + 1]
+    assert sum(map(len, sets)) < 0.4 * sum(len(shingles(x, 5)) for x in lines)
+
+
+def test_passages_that_repeat_in_one_text_and_in_texts_of_one_id(spark):
+    rng = random.Random(11)
+    fresh = lambda n: sentence(rng, n, 10**6)
+    line, passage = fresh(40), fresh(60)
+    texts = [f"{fresh(30)}\n{line}\n{fresh(30)}\n{line}\n{fresh(30)}", f"{fresh(40)} {passage} {fresh(40)}", f"{fresh(70)} {passage} {fresh(20)}"]
+    docs = documents(spark, texts, ids=[1, 2, 2])
+    found = passages.repeated_passages(docs)
+    cut = sorted((r.doc_id, r.text) for r in passages.without_passages(docs, found).collect())
+    assert cut[0][1].count(line) == 1 and len(cut[0][1]) == len(texts[0]) - len(line)
+    assert sorted(passage in t for d, t in cut if d == 2) == [False, True]
+    assert all(any(t.startswith(x[:60]) and t.endswith(x[-60:]) for x in texts[1:]) for d, t in cut if d == 2)
+
+
+def test_runs_are_left_out_by_their_sets():
+    shingles_ = np.array([*[1, 2, 3, 4] * 25, *range(10, 22)], np.uint64)  # 100 of four kinds, then 12 of their own
+    spans = [(0, 116), (0, 104)]
+    assert passages.candidates(spans, [], shingles_, 80) == [(0, 104), (0, 116)]
+    assert passages.candidates(spans, [(3, 30)], np.arange(112, dtype=np.uint64), 80) == [(0, 116), (3, 30)]

@@ -1,9 +1,15 @@
 """Substring dedup: repeated paragraphs found by MinHash banding and removed but for one.
 
-Lines are cut further where the words themselves say so, which gives small pieces that are
-the same wherever a passage is copied to. Pairs of neighbouring pieces that occur in several
-documents form paragraphs, cut wherever the number of occurrences or the documents change; bands of their circulant MinHash propose links, exact Jaccard on 5-word
-shingles confirms them, and components tell what to remove.
+Paragraphs are whole lines, blocks of lines between blank lines, and passages inside them. For
+the last, lines are cut further where the words themselves say so, which gives small pieces that
+are the same wherever a passage is copied to; pairs of neighbouring pieces that occur in several
+places form passages, cut wherever the number of occurrences or the documents change. Bands of
+the paragraphs' circulant MinHash propose links, exact Jaccard on 5-word shingles confirms them,
+and components tell what to remove.
+
+Lines and blocks that can't have a partner leave before that: of two sets with a Jaccard of the
+threshold, the least shingles by hash, as many as may be missing in the other and one more, share
+one at least. This prefix is exact, so it leaves out no pair.
 """
 
 from __future__ import annotations
@@ -25,6 +31,9 @@ PERCENT = 80
 MIN_WORDS = 20
 REACH = 3  # words on either side that a cut depends on
 SPANS = "array<struct<first:long,last:long>>"
+KEY = ["doc_id", "text_digest"]  # different texts may share an id
+LINES = 1 << 16  # lines taken at once
+TOKEN = np.uint64(48)  # bits of a shingle's hash in a prefix
 
 
 def tuned_bands(percent: int, miss: float = 1e-5, largest: int = 160) -> tuple[int, int]:
@@ -61,9 +70,59 @@ def pieces(words: Words) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def _unit_rows(min_words: int):
+def stretches(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of the lines, and of the blocks of several lines between blank
+    lines, that have ``min_words`` words; a text without a blank line is no block."""
+    n = len(words.hashes)
+    gaps = np.bincount(np.searchsorted(words.starts, np.flatnonzero(words.data == 10)), minlength=n + 1)[:n]
+    # Of a text's first word, the gap may belong to the text before.
+    heads = np.zeros(n, bool)
+    heads[words.bounds[:-1][np.diff(words.bounds) > 0]] = True
+    lines, blocks = np.flatnonzero(heads | (gaps > 0)), np.flatnonzero(heads | (gaps > 1))
+    line_ends, block_ends = np.append(lines[1:], n)[: len(lines)], np.append(blocks[1:], n)[: len(blocks)]
+    several = np.searchsorted(lines, block_ends) - np.searchsorted(lines, blocks) > 1
+    text, end_text = (np.searchsorted(words.bounds, x, "right") - 1 for x in (blocks, block_ends - 1))
+    whole = (blocks == words.bounds[text]) & (block_ends == words.bounds[end_text + 1])
+    blocks, block_ends = blocks[several & ~whole], block_ends[several & ~whole]
+    first, last = np.concatenate([lines, blocks]), np.concatenate([line_ends, block_ends])
+    long = last - first >= min_words
+    return first[long], last[long]
+
+
+def prefixes(words: Words, first: np.ndarray, last: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the stretches' least shingles, and which stretch each belongs to.
+
+    A set of m that has a Jaccard of ``percent`` with another shares ``ceil(m * percent / 100)``
+    shingles or more with it, so one at least is among the least of both.
+    """
+    keys, owners = [], []
+    n = len(words.hashes)
+    sums = np.zeros(max(n - SHINGLE + 1, 0), np.uint64)
+    for k in range(SHINGLE):
+        sums += words.hashes[k : n - SHINGLE + 1 + k] * _GRAM[k]
+    sums = mix(sums) >> (np.uint64(64) - TOKEN)
+    for at in range(0, len(first), LINES):
+        begin, size = first[at : at + LINES], (last - first)[at : at + LINES] - SHINGLE + 1
+        ends = np.cumsum(size)
+        places = np.arange(ends[-1]) + np.repeat(begin - ends + size, size)
+        sets = np.repeat(np.arange(len(size), dtype=np.uint64) << TOKEN, size) | sums[places]
+        sets.sort()
+        sets = sets[np.append(True, sets[1:] != sets[:-1])]
+        owner = (sets >> TOKEN).astype(np.int64)
+        counts = np.bincount(owner, minlength=len(size))
+        number = np.arange(len(sets)) - np.repeat(np.cumsum(counts) - counts, counts)
+        own = number <= (counts - (counts * percent + 99) // 100)[owner]
+        keys.append(mix((sets[own] & ((np.uint64(1) << TOKEN) - np.uint64(1))) + (np.uint64(1) << TOKEN)))
+        owners.append(owner[own] + at)
+    return np.concatenate(keys or [sums[:0]]), np.concatenate(owners or [np.zeros(0, np.int64)])
+
+
+def _unit_rows(min_words: int, percent: int):
     """Hash, document and place (first word and number of words) of each two neighbouring
-    pieces, and of each piece that is long enough alone."""
+    pieces, and of each piece that is long enough alone.
+
+    Lines and blocks give a row for each shingle of their prefix; their places are below zero.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -81,13 +140,20 @@ def _unit_rows(min_words: int):
             text = np.concatenate([text[both], text[alone]])
             size = last - first
             hashes = mix((sums[last] - sums[first]) * _power_table(_INVERSE, n + 1)[first] + size.astype(np.uint64))
+            place = (first - words.bounds[text] << 32) + size
+            begin, end = stretches(words, max(min_words, SHINGLE))
+            keys, owner = prefixes(words, begin, end, percent)
+            owner_text = np.searchsorted(words.bounds, begin, "right") - 1
+            line = ~((begin - words.bounds[owner_text] << 32) + end - begin)
+            text = pa.array(np.concatenate([text, owner_text[owner]]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(signed(hashes)),
-                    part.column(0).take(pa.array(text)),
-                    pa.array((first - words.bounds[text] << 32) + size),
+                    pa.array(signed(np.concatenate([hashes, keys]))),
+                    part.column(0).take(text),
+                    part.column(2).take(text),
+                    pa.array(np.concatenate([place, line[owner]])),
                 ],
-                ["unit", "doc_id", "place"],
+                ["unit", *KEY, "place"],
             )
 
     return run
@@ -141,63 +207,116 @@ def runs(
     return out
 
 
-def _run_rows(min_words: int, percent: int):
+def _run_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for batch in batches:
-            own = batch.column(1)
+            own = batch.column(2)
             bounds = own.offsets.to_numpy()
             place, count, mark = (x.to_numpy() for x in own.values.flatten())
-            spans = []
+            found = {"spans": [], "lines": []}
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 order = a + np.argsort(place[a:b], kind="stable")
-                first, size = place[order] >> 32, place[order] & 0xFFFFFFFF
-                part = runs(first, first + size, count[order], mark[order], min_words, percent)
-                spans.append([{"first": x, "last": y} for x, y in part])
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
-            yield out.filter(pa.array([bool(s) for s in spans], pa.bool_()))
+                units, lines = order[place[order] >= 0], ~place[order[place[order] < 0]]
+                first, size = place[units] >> 32, place[units] & 0xFFFFFFFF
+                # all of them: which may be left out, their shingles tell
+                part = runs(first, first + size, count[units], mark[units], min_words, 100)
+                found["spans"].append([{"first": x, "last": y} for x, y in part])
+                found["lines"].append([{"first": int(x >> 32), "last": int((x >> 32) + (x & 0xFFFFFFFF))} for x in lines])
+            columns = [pa.array(x, kind) for x in found.values()]
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], [*KEY, *found])
+            yield out.filter(pa.array([bool(x or y) for x, y in zip(*found.values(), strict=True)], pa.bool_()))
 
     return run
 
 
-def _paragraph_rows(bands: int, rows: int):
+def candidates(
+    spans: list[tuple[int, int]], lines: list[tuple[int, int]], shingles: np.ndarray, percent: int
+) -> list[tuple[int, int]]:
+    """The lines, and the runs but for those left out as ``runs`` says, by their sets.
+
+    ``runs`` goes by length, which is right where no shingle of a text repeats. Elsewhere a
+    run stays unless its set makes up as much of the other's.
+    """
+    before = None
+    out: list[tuple[int, int]] = []
+    around: list[tuple[int, int]] = []
+    for a, b in sorted(spans, key=lambda x: (x[0], -x[1])):
+        while around and around[-1][1] < b:
+            around.pop()
+        if around:
+            first, last = around[-1]
+            own, wide = b - a - SHINGLE + 1, last - first - SHINGLE + 1
+            if own * (100 + percent) >= 2 * percent * wide:
+                if before is None:  # where the same shingle was last
+                    order = np.argsort(shingles, kind="stable")
+                    same = shingles[order[1:]] == shingles[order[:-1]]
+                    before = np.full(len(shingles), -1)
+                    before[order[1:][same]] = order[:-1][same]
+                own = np.count_nonzero(before[a : b - SHINGLE + 1] < a)
+                wide = np.count_nonzero(before[first : last - SHINGLE + 1] < first)
+                if own * (100 + percent) >= 2 * percent * wide:
+                    continue
+        around.append((a, b))
+        out.append((a, b))
+    return sorted({*out, *lines})
+
+
+def _paragraph_rows(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            words = words_of(part.column(1))
-            out: dict[str, list] = {k: [] for k in ("doc_id", "first", "last", "start", "end")}
+            words = words_of(part.column(2))
+            out: dict[str, list] = {k: [] for k in (*KEY, "first", "last", "start", "end")}
             hashes, sizes = [], []
-            for i, spans in enumerate(part.column(2).to_pylist()):
-                base, byte = words.bounds[i], words.offsets[i]
-                for span in spans:
-                    a, b = base + span["first"], base + span["last"]
-                    if b > words.bounds[i + 1]:
-                        continue  # another text under the same id
-                    sums = words.hashes[a : b - SHINGLE + 1] * _GRAM[0]
-                    for k in range(1, SHINGLE):
-                        sums += words.hashes[a + k : b - SHINGLE + 1 + k] * _GRAM[k]
-                    hashes.append(mix(sums))
-                    sizes.append(len(sums))
+            for i, found in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
+                base, byte, top = words.bounds[i], words.offsets[i], words.bounds[i + 1]
+                sums = np.zeros(max(top - base - SHINGLE + 1, 0), np.uint64)
+                for k in range(SHINGLE):
+                    sums += words.hashes[base + k : top - SHINGLE + 1 + k] * _GRAM[k]
+                sums = mix(sums)
+                spans, lines = ([(s["first"], s["last"]) for s in x] for x in found)
+                for first, last in candidates(spans, lines, sums, percent):
+                    hashes.append(sums[first : last - SHINGLE + 1])
+                    sizes.append(len(hashes[-1]))
                     out["doc_id"].append(part.column(0)[i].as_py())
-                    out["first"].append(span["first"])
-                    out["last"].append(span["last"])
-                    out["start"].append(int(words.starts[a] - byte))
-                    out["end"].append(int(words.ends[b - 1] - byte))
+                    out["text_digest"].append(part.column(1)[i].as_py())
+                    out["first"].append(first)
+                    out["last"].append(last)
+                    out["start"].append(int(words.starts[base + first] - byte))
+                    out["end"].append(int(words.ends[base + last - 1] - byte))
             if not hashes:
                 continue
             sets, bounds = sets_of(np.concatenate(hashes), np.concatenate(([0], np.cumsum(sizes))))
-            keys = signed(band_keys(signatures(sets, bounds, bands * rows), bands, rows))
             hi, lo = fingerprints(sets, bounds)
             columns = [pa.array(x, pa.int64()) for x in out.values()]
             columns += [pa.array(hi), pa.array(lo)]
-            columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel())))
             columns.append(pa.array([sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, [*out, "hi", "lo", "bands", "shingles"])
+            yield pa.RecordBatch.from_arrays(columns, [*out, "hi", "lo", "shingles"])
+
+    return run
+
+
+def _class_rows(bands: int, rows: int):
+    """The rows (hi, lo, shingles) with the bands of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(2)]
+                bounds = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+                keys = signed(band_keys(signatures(np.concatenate(sets), bounds, bands * rows), bands, rows))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "bands"])
 
     return run
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per paragraph that repeats, none for other text.
+    """One row per paragraph that repeats, in other texts or in its own, none for other text.
+
+    Paragraphs are all lines, all blocks of lines between blank lines, and all passages of
+    exactly repeated pieces, within lines or across them.
 
     Columns: doc_id, start and end (bytes of the text), first_word and n_words, passage_doc and
     passage_start (the place that is kept of its component: the smallest doc_id, then start)
@@ -208,46 +327,60 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
 
     Pairs of pieces are counted before they meet their documents, so a passage that a third of all
     documents share is a join with a split hot key. NULL and empty texts have no paragraphs;
-    repeated rows repeat their paragraphs; rows without an id are left out; other columns are
-    ignored; an empty table gives no rows.
+    repeated rows repeat their paragraphs; different texts of one id, which ``text_digest``
+    (xxhash64) tells apart, are places of their own; rows without an id are left out; other
+    columns are ignored; an empty table gives no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(
-        "doc_id is not null and text is not null"
+    texts = (
+        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        .where("doc_id is not null and text is not null")
+        .select("doc_id", "text", F.xxhash64("text").alias("text_digest"))
     )
-    rows = texts.mapInArrow(_unit_rows(min_words), "unit long, doc_id long, place long")
+    rows = texts.mapInArrow(_unit_rows(min_words, percent), "unit long, doc_id long, text_digest long, place long")
+    shared = stage(rows.groupBy("unit").count().where("count > 1").select("unit"), "units")
+    # by shuffle at every size, here and below: units and runs grow with the texts
+    met = stage(rows.join(shared.hint("merge"), "unit"), "met")
+    place = F.struct(*KEY, "place")
+    holder = F.xxhash64(*KEY)
     counted = stage(
-        rows.groupBy("unit")
+        met.where("place >= 0")
+        .groupBy("unit")
         .agg(
-            F.min("doc_id").alias("low"),
-            F.max("doc_id").alias("high"),
+            F.min(place).alias("low"),
+            F.max(place).alias("high"),
             F.count("*").alias("n"),
-            F.bit_xor(F.xxhash64("doc_id")).alias("mark"),
+            # the sum tells holders apart that come in pairs and leave no bits
+            F.bit_xor(holder).bitwiseXOR(F.sum(holder % (1 << 31))).alias("mark"),
         )
         .where("low < high")
         .select("unit", "n", "mark"),
-        "units",
+        "counted",
     )
+    lines = met.where("place < 0").select(*KEY, "place", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("mark"))
     runs_of = stage(
-        rows.join(counted, "unit")
-        .groupBy("doc_id")
+        met.where("place >= 0")
+        .join(counted, "unit")
+        .select(*KEY, "place", "n", "mark")
+        .unionByName(lines.distinct())
+        .groupBy(*KEY)
         .agg(F.collect_set(F.struct("place", "n", "mark")).alias("units"))
-        .mapInArrow(_run_rows(min_words, percent), f"doc_id long, spans {SPANS}"),
+        .mapInArrow(_run_rows(min_words), f"doc_id long, text_digest long, spans {SPANS}, lines {SPANS}"),
         "runs",
     )
     bands, band_rows = tuned_bands(percent)
     paragraphs = stage(
-        texts.join(runs_of.hint("merge"), "doc_id")  # by shuffle at every size: runs grow with the texts
-        .select("doc_id", "text", "spans")
+        texts.join(runs_of.hint("merge"), KEY)
+        .select(*KEY, "text", "spans", "lines")
         .mapInArrow(
-            _paragraph_rows(bands, band_rows),
-            "doc_id long, first long, last long, start long, end long, "
-            "hi long, lo long, bands array<long>, shingles binary",
+            _paragraph_rows(percent),
+            "doc_id long, text_digest long, first long, last long, start long, end long, hi long, lo long, shingles binary",
         ),
         "paragraphs",
     )
     classes = stage(
         paragraphs.groupBy("hi", "lo")
-        .agg(F.any_value("bands").alias("bands"), F.any_value("shingles").alias("shingles"))
+        .agg(F.any_value("shingles").alias("shingles"))
+        .mapInArrow(_class_rows(bands, band_rows), "hi long, lo long, shingles binary, bands array<long>")
         .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
@@ -257,7 +390,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
         percent,
     )
     placed = stage(
-        paragraphs.select("doc_id", "first", "last", "start", "end", "hi", "lo")
+        paragraphs.select(*KEY, "first", "last", "start", "end", "hi", "lo")
         .join(
             classes.select("hi", "lo", "node")
             .join(labels, "node", "left")
@@ -267,16 +400,17 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
         .drop("hi", "lo"),
         "placed",
     )
-    own = Window.partitionBy("component", "doc_id").orderBy("start", F.desc("end"))
+    own = Window.partitionBy("component", *KEY).orderBy("start", F.desc("end"))
     before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     merged = stage(
         placed.withColumn("head", F.when(F.coalesce(before <= F.col("start"), F.lit(True)), F.col("start")))
         .withColumn("head", F.max("head").over(own)),
         "merged",
     )
+    at = F.struct(*KEY, "head")
     kept = stage(
         merged.groupBy("component")
-        .agg(F.min(F.struct("doc_id", "head")).alias("place"), F.max(F.struct("doc_id", "head")).alias("other"))
+        .agg(F.min(at).alias("place"), F.max(at).alias("other"))
         .where("place < other")
         .select("component", "place"),
         "kept",
@@ -289,7 +423,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
         (F.col("last") - F.col("first")).alias("n_words"),
         F.col("place.doc_id").alias("passage_doc"),
         F.col("place.head").alias("passage_start"),
-        (F.struct("doc_id", "head") != F.col("place")).alias("removed"),
+        (at != F.col("place")).alias("removed"),
+        "text_digest",
     )
 
 
@@ -323,10 +458,15 @@ def _cut_rows(position: int):
 
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``docs`` with the removed passages cut out of their texts; rows and columns stay."""
+    own = ["_cut_id", "_cut_digest"]
     cuts = stage(
-        passages.where("removed").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("_cuts")), "cuts"
+        passages.where("removed")
+        .groupBy(F.col("doc_id").alias(own[0]), F.col("text_digest").alias(own[1]))
+        .agg(F.collect_set(F.struct("start", "end")).alias("_cuts")),
+        "cuts",
     )
-    joined = docs.join(cuts.hint("merge"), "doc_id", "left").select(*[docs[c] for c in docs.columns], "_cuts")
+    keyed = docs.select("*", F.col("doc_id").cast("long").alias(own[0]), F.xxhash64(F.col("text").cast("string")).alias(own[1]))
+    joined = keyed.join(cuts.hint("merge"), own, "left").select(*docs.columns, "_cuts")
     return joined.mapInArrow(_cut_rows(docs.columns.index("text")), docs.schema)
 
 
