@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -119,3 +120,23 @@ def test_signs_and_digits_are_no_letters(spark, model):
     rows = L.with_language(documents(spark, texts), model).orderBy("doc_id").collect()
     assert [r.lang_pred == "und" for r in rows] == [True, True, True, False, False, False, False]
     assert all(r.score == 0 for r in rows[:3]) and all(0 < r.score <= 1 for r in rows[3:])
+
+
+def test_training_runs_in_a_task(spark, folder, monkeypatch):
+    rng = random.Random(6)
+    langs = [k for k in LANGS for _ in range(4)]
+    docs = documents(spark, [speak(rng, k, 60) for k in langs], langs)
+    plain = L.train
+
+    def noted(*args):
+        with open(f"{folder}/pid", "w") as file:
+            file.write(str(os.getpid()))
+        return plain(*args)
+
+    monkeypatch.setattr(L, "train", noted)
+    model = L.fit(docs)
+    with open(f"{folder}/pid") as file:
+        assert int(file.read()) != os.getpid()
+    rows = sorted(docs.select("lang", "text").collect())
+    same = plain([r.text for r in rows], [r.lang for r in rows], sorted(LANGS))
+    assert np.array_equal(model.weights, same.weights) and np.array_equal(model.transitions, same.transitions)

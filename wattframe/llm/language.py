@@ -27,6 +27,7 @@ PIECE = 16
 EPOCHS = 5
 UNKNOWN = "und"
 SLICE = 2 << 20
+MODEL_ROWS = 1 << 14
 
 
 @dataclass
@@ -268,12 +269,28 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     return [model.labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], score
 
 
+def _trained_rows(labels: list[str]):
+    """The model of all rows (text, lang) of one task, in pieces (number, weights, transitions)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["lang"], r["text"]) for batch in batches for r in batch.to_pylist())
+        model = train([text for _, text in rows], [lang for lang, _ in rows], labels)
+        for number in range(0, DIMENSIONS, MODEL_ROWS):
+            weights = model.weights[number : number + MODEL_ROWS].tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int32()), pa.array([weights], pa.binary()), pa.array([model.transitions.tobytes()], pa.binary())],
+                ["number", "weights", "transitions"],
+            )
+
+    return run
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from labelled rows (text, lang).
 
     The classifier learns from a bounded sample, about ``sample`` different whole texts a
     language and 4000 in all, at least one each, by the hash of the text, of at most
-    ``sample_bytes`` bytes each. Copies count once. Where a language has longer texts only,
+    ``sample_bytes`` bytes each, in one task; the driver sees no text. Copies count once. Where a language has longer texts only,
     their first parts are taken. The languages are all that occur with a word; more than 1000 are refused. No labelled rows give a model
     without languages.
     """
@@ -304,9 +321,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES)
     bounds = {k: max(r["least"] + 1, int(min(1.0, sample / r["texts"]) * 2.0**31)) for k, r in used.items()}
     share = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])
     kind = F.create_map(*[F.lit(x) for k, r in used.items() for x in (k, r["long"])])
-    chosen = rows.where((place < share[F.col("lang")]) & (F.col("long") == kind[F.col("lang")])).select("text", "lang").distinct().collect()
-    chosen.sort(key=lambda r: (r["lang"], r["text"]))
-    return train([r["text"] for r in chosen], [r["lang"] for r in chosen], sorted(used))
+    chosen = rows.where((place < share[F.col("lang")]) & (F.col("long") == kind[F.col("lang")])).select("text", "lang").distinct()
+    labels = sorted(used)
+    trained = chosen.repartition(1).mapInArrow(_trained_rows(labels), "number int, weights binary, transitions binary")
+    weights, transitions = np.empty((DIMENSIONS, len(labels))), np.eye(len(labels))
+    for row in trained.collect():
+        part = np.frombuffer(row["weights"]).reshape(-1, len(labels))
+        weights[row["number"] : row["number"] + len(part)] = part
+        transitions = np.frombuffer(row["transitions"]).reshape(len(labels), -1)
+    return Model(labels, weights, transitions)
 
 
 def _predictions(shared, names: tuple[str, str]):
