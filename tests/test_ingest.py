@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from datetime import datetime
 from pathlib import Path
 
@@ -553,3 +554,16 @@ def test_pages_by_directory(spark, folder):
             assert [r.id for r in list_series(with_pages, page, size).collect()] == want
             narrow, skipped = registry.page_rows(meta, directory, page * size, size)
             assert narrow.count() - skipped >= len(want) and skipped <= 4
+
+
+def test_records_within_a_range_are_not_shuffled(spark, folder, small_ranges):
+    lines = [f'{i},"first ""{i}"",\nsecond",{i % 7}' for i in range(400)]
+    Path(f"{folder}/in").mkdir()
+    for name in "ab":
+        Path(f"{folder}/in/{name}.csv").write_text("\n".join([f"head {name}", *lines]) + "\n")
+    rows = records.records(spark, f"{folder}/in")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(file#\d+, range#\d+", plan)
+    found = rows.orderBy("file", "range", "place").collect()
+    assert [r.record for r in found] == [x for name in "ab" for x in (f"head {name}", *lines)]
+    assert [r.record for r in found if r.first] == ["head a", "head b"]
