@@ -109,3 +109,18 @@ def test_a_very_long_text(spark):
     long = sentence(rng, 400_000, 10**6)
     rows = minhash.near_duplicates(documents(spark, [long, edited(rng, long, 9), "short text"])).orderBy("doc_id").collect()
     assert [r.component_id for r in rows] == [0, 0, 2] and rows[0].n_shingles > 390_000
+
+
+def test_links_that_no_leader_has_by_pairs_and_by_blocks(spark, monkeypatch):
+    """Buckets of few nodes, of many, and both in one table give the links of brute force."""
+    rng = random.Random(3)
+    texts = [sentence(rng, 120)]
+    for _ in range(14):
+        texts.append(edited(rng, texts[-1], 3))
+    texts += [t for _ in range(3) for t in family(rng)]
+    expected = groups(list(range(len(texts))), [shingles(t, 4) for t in texts])
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 3)
+    for paired in (0, 5, 64):
+        monkeypatch.setattr(minhash, "PAIRED", paired)
+        found = minhash.near_duplicates(documents(spark, texts), shingle=4).collect()
+        assert {r.doc_id: r.component_id for r in found} == expected

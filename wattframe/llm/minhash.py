@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattframe.llm.components import components
-from wattframe.llm.staging import stage
+from wattframe.llm.staging import drop, stage
 from wattframe.llm.words import _GRAM, common, grams, mix, reduce_by_text, sets_of, signed, slices, words_of
 
 BANDS = 32
 ROWS = 4
 BLOCK_DOCS = 512
+PAIRED = 64  # nodes of the largest buckets whose pairs are rows
 U32 = np.uint32
 
 
@@ -159,16 +160,23 @@ def _links_between(percent: int):
     return run
 
 
+def _near_sizes(first: str, second: str, percent: int) -> F.Column:
+    """Whether sets of these sizes may have a Jaccard of ``percent``."""
+    return 100 * F.least(first, second) >= percent * F.greatest(first, second)
+
+
 def _between_groups(rows: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components that share a bucket but that no bucket's leader has joined.
 
-    Of each such bucket, the documents outside its largest component meet all its documents,
-    in blocks, so no row is made per pair. Buckets of two are settled by their leader.
+    Of each such bucket, the documents outside its largest component meet all its documents.
+    Buckets of up to ``PAIRED`` give a row per pair of sizes that may be similar, and a pair that
+    shares several of them is compared once; larger ones meet in blocks, without a row per pair.
+    Buckets of two are settled by their leader.
     """
     rows = stage(
         rows.where("n > 2")
         .join(labels, "node", "left")
-        .select("bucket", "node", "n", F.coalesce("component", "node").alias("component")),
+        .select("bucket", "node", "size", "n", F.coalesce("component", "node").alias("component")),
         "labelled",
     )
     parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("docs"))
@@ -182,7 +190,40 @@ def _between_groups(rows: DataFrame, labels: DataFrame, sets: DataFrame, percent
         .drop("groups"),
         "mixed",
     )
-    rows = rows.join(mixed, "bucket").join(sets, "node")
+    rows = stage(rows.join(mixed, "bucket"), "unsettled")
+    found = _between_few(rows.where(F.col("n") <= PAIRED), sets, percent)
+    return found.unionByName(_between_many(rows.where(F.col("n") > PAIRED), sets, percent)).distinct()
+
+
+def _between_few(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, by one row for each pair of nodes of a bucket."""
+    left = rows.where("component != largest").select(
+        "bucket", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("component").alias("a_component")
+    )
+    right = rows.select(
+        "bucket", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("component").alias("b_component")
+    )
+    pairs = stage(
+        left.join(right.hint("merge"), "bucket")
+        .where(F.col("a_component") != F.col("b_component"))
+        .where(_near_sizes("a_size", "b_size", percent))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct(),
+        "pairs",
+    )
+    near = stage(links(pairs, sets, percent), "near")
+    of = rows.select("node", "component").distinct()
+    one, other = (of.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component")) for x in "ab")
+    return (
+        near.join(one, "a")
+        .join(other, "b")
+        .select(F.least("a_component", "b_component").alias("a"), F.greatest("a_component", "b_component").alias("b"))
+    )
+
+
+def _between_many(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, by blocks of nodes that meet in a task each."""
+    rows = rows.join(sets, "node")
     blocks = F.ceil(F.col("n") / BLOCK_DOCS).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -196,36 +237,38 @@ def _between_groups(rows: DataFrame, labels: DataFrame, sets: DataFrame, percent
         members.groupBy(*key)
         .cogroup(others.groupBy([f"other_{k}" for k in key]))
         .applyInPandas(_links_between(percent), "a long, b long")
-        .distinct()
     )
 
 
 def grouped(nodes: DataFrame, sets_of_nodes: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(node, component) of all nodes that have a link to another.
 
-    ``nodes`` has (node, bands) with one row per different set; ``sets_of_nodes`` takes a table
-    of nodes and gives their (node, shingles).
+    ``nodes`` has (node, size, bands) with one row per different set; ``sets_of_nodes`` takes a
+    table of nodes and gives their (node, shingles).
     """
-    cells = nodes.select("node", F.explode("bands").alias("bucket"))
+    cells = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     shared = stage(cells.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     met = stage(cells.join(shared, "bucket"), "met")
     weight = stage(met.groupBy("node").agg(F.sum("n").alias("weight")), "weight")
     leaders = stage(
         met.join(weight, "node")
         .groupBy("bucket")
-        .agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("leader")),
+        .agg(F.max_by(F.struct("node", "size"), F.struct("weight", -F.col("node"))).alias("leader")),
         "leaders",
     )
     pairs = stage(
         met.join(leaders, "bucket")
-        .where("node != leader")
-        .select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        .where(F.col("node") != F.col("leader.node"))
+        .where(_near_sizes("size", "leader.size", percent))
+        .select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
         .distinct(),
         "pairs",
     )
     sets = stage(sets_of_nodes(weight.select("node")), "sets")
+    drop(shared, weight, leaders)
     labels = components(links(pairs, sets, percent))
     more = stage(_between_groups(met, labels, sets, percent), "more")
+    drop(met, pairs, sets)
     if more.isEmpty():
         return labels
     over = components(more).select(F.col("node").alias("component"), F.col("component").alias("lower"))
@@ -268,13 +311,13 @@ def near_duplicates(
     known = signed_docs.where("n_shingles > 0 and doc_id is not null")
     classes = stage(
         known.groupBy("hi", "lo")
-        .agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("size"), F.any_value("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id()),  # ids of documents may stand for several texts
         "classes",
     )
     stands = classes.select(F.col("rep").alias("doc_id"), "node", "hi", "lo")
     labels = grouped(
-        classes.select("node", "bands"),
+        classes.select("node", "size", "bands"),
         # by shuffle at every size: the nodes grow with the texts
         lambda nodes: texts.join(stands.join(nodes, "node", "left_semi").hint("merge"), "doc_id")
         .select("node", "text", "hi", "lo")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from wattframe.llm.minhash import band_keys, fingerprints, grouped, signatures
-from wattframe.llm.staging import stage
+from wattframe.llm.staging import drop, stage
 from wattframe.llm.words import (
     _BASE, _GRAM, _INVERSE, Words, _power_table, mix, sets_of, signed, slices, text_bytes, words_of,
 )
@@ -207,6 +207,17 @@ def runs(
     return out
 
 
+def _unit_counts(min_words: int, percent: int):
+    """How often each unit is in a slice of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _unit_rows(min_words, percent)(batches):
+            units, counts = np.unique(batch.column(0).to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(units), pa.array(counts)], ["unit", "n"])
+
+    return run
+
+
 def _run_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -262,52 +273,67 @@ def candidates(
     return sorted({*out, *lines})
 
 
+def _pairs(column: pa.ListArray) -> list[list[tuple[int, int]]]:
+    """Rows of a column of ``SPANS``."""
+    first, last = (x.to_numpy().tolist() for x in column.flatten().flatten())
+    found = list(zip(first, last, strict=True))
+    ends = np.cumsum(column.value_lengths().to_numpy()).tolist()
+    return [found[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def _paragraph_rows(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             words = words_of(part.column(2))
-            out: dict[str, list] = {k: [] for k in (*KEY, "first", "last", "start", "end")}
-            hashes, sizes = [], []
-            for i, found in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
-                base, byte, top = words.bounds[i], words.offsets[i], words.bounds[i + 1]
-                sums = np.zeros(max(top - base - SHINGLE + 1, 0), np.uint64)
-                for k in range(SHINGLE):
-                    sums += words.hashes[base + k : top - SHINGLE + 1 + k] * _GRAM[k]
-                sums = mix(sums)
-                spans, lines = ([(s["first"], s["last"]) for s in x] for x in found)
-                for first, last in candidates(spans, lines, sums, percent):
-                    hashes.append(sums[first : last - SHINGLE + 1])
-                    sizes.append(len(hashes[-1]))
-                    out["doc_id"].append(part.column(0)[i].as_py())
-                    out["text_digest"].append(part.column(1)[i].as_py())
-                    out["first"].append(first)
-                    out["last"].append(last)
-                    out["start"].append(int(words.starts[base + first] - byte))
-                    out["end"].append(int(words.ends[base + last - 1] - byte))
-            if not hashes:
+            n = len(words.hashes)
+            sums = np.zeros(max(n - SHINGLE + 1, 0), np.uint64)
+            for k in range(SHINGLE):
+                sums += words.hashes[k : n - SHINGLE + 1 + k] * _GRAM[k]
+            sums = mix(sums)
+            found: list[tuple[int, int]] = []
+            counts = []
+            for base, top, spans, lines in zip(
+                words.bounds[:-1].tolist(), words.bounds[1:].tolist(), *(_pairs(part.column(x)) for x in (3, 4)), strict=True
+            ):
+                own = candidates(spans, lines, sums[base : max(top - SHINGLE + 1, base)], percent)
+                found += own
+                counts.append(len(own))
+            if not found:
                 continue
-            sets, bounds = sets_of(np.concatenate(hashes), np.concatenate(([0], np.cumsum(sizes))))
+            text = np.repeat(np.arange(len(counts)), counts)
+            first, last = np.array(found, np.int64).T
+            begin, end = words.bounds[text] + first, words.bounds[text] + last
+            size = end - begin - SHINGLE + 1
+            ends = np.cumsum(size)
+            sets, bounds = sets_of(
+                sums[np.arange(ends[-1]) + np.repeat(begin - ends + size, size)], np.concatenate(([0], ends))
+            )
             hi, lo = fingerprints(sets, bounds)
-            columns = [pa.array(x, pa.int64()) for x in out.values()]
-            columns += [pa.array(hi), pa.array(lo)]
-            columns.append(pa.array([sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, [*out, "hi", "lo", "shingles"])
+            byte = words.offsets[text]
+            places = [first, last, words.starts[begin] - byte, words.ends[end - 1] - byte]
+            keys = [part.column(x).take(pa.array(text)) for x in (0, 1)]
+            buffers = [None, pa.py_buffer((8 * bounds).astype(np.int32)), pa.py_buffer(sets)]
+            yield pa.RecordBatch.from_arrays(
+                [*keys, *map(pa.array, places), pa.array(hi), pa.array(lo), pa.Array.from_buffers(pa.binary(), len(text), buffers)],
+                [*KEY, "first", "last", "start", "end", "hi", "lo", "shingles"],
+            )
 
     return run
 
 
-def _class_rows(bands: int, rows: int):
-    """The rows (hi, lo, shingles) with the bands of their sets."""
+def _band_rows(bands: int, rows: int):
+    """Sizes and bands of the sets of the rows (node, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(2)]
-                bounds = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
+                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                bounds = np.concatenate(([0], np.cumsum(sizes)))
                 keys = signed(band_keys(signatures(np.concatenate(sets), bounds, bands * rows), bands, rows))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), lists], ["node", "size", "bands"])
 
     return run
 
@@ -337,9 +363,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
         .select("doc_id", "text", F.xxhash64("text").alias("text_digest"))
     )
     rows = texts.mapInArrow(_unit_rows(min_words, percent), "unit long, doc_id long, text_digest long, place long")
-    shared = stage(rows.groupBy("unit").count().where("count > 1").select("unit"), "units")
-    # by shuffle at every size, here and below: units and runs grow with the texts
-    met = stage(rows.join(shared.hint("merge"), "unit"), "met")
+    counts = texts.mapInArrow(_unit_counts(min_words, percent), "unit long, n long")
+    shared = stage(counts.groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1").select("unit"), "units")
+    # by shuffle at every size, here and below: units and runs grow with the texts; the larger side isn't sorted
+    met = stage(rows.join(shared.hint("shuffle_hash"), "unit"), "met")
     place = F.struct(*KEY, "place")
     holder = F.xxhash64(*KEY)
     counted = stage(
@@ -359,17 +386,18 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
     lines = met.where("place < 0").select(*KEY, "place", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("mark"))
     runs_of = stage(
         met.where("place >= 0")
-        .join(counted, "unit")
+        .join(counted.hint("shuffle_hash"), "unit")
         .select(*KEY, "place", "n", "mark")
-        .unionByName(lines.distinct())
+        .unionByName(lines)
         .groupBy(*KEY)
         .agg(F.collect_set(F.struct("place", "n", "mark")).alias("units"))
         .mapInArrow(_run_rows(min_words), f"doc_id long, text_digest long, spans {SPANS}, lines {SPANS}"),
         "runs",
     )
+    drop(shared, met, counted)
     bands, band_rows = tuned_bands(percent)
     paragraphs = stage(
-        texts.join(runs_of.hint("merge"), KEY)
+        texts.join(runs_of.hint("shuffle_hash"), KEY)
         .select(*KEY, "text", "spans", "lines")
         .mapInArrow(
             _paragraph_rows(percent),
@@ -377,29 +405,31 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
         ),
         "paragraphs",
     )
+    drop(runs_of)
     classes = stage(
         paragraphs.groupBy("hi", "lo")
         .agg(F.any_value("shingles").alias("shingles"))
-        .mapInArrow(_class_rows(bands, band_rows), "hi long, lo long, shingles binary, bands array<long>")
         .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
-    labels = grouped(
-        classes.select("node", "bands"),
-        lambda nodes: classes.select("node", "shingles").join(nodes, "node", "left_semi"),
-        percent,
+    # the sets of equal paragraphs are kept once from here
+    places = stage(paragraphs.drop("shingles"), "places")
+    drop(paragraphs)
+    banded = stage(
+        classes.select("node", "shingles").mapInArrow(_band_rows(bands, band_rows), "node long, size long, bands array<long>"),
+        "bands",
     )
+    labels = grouped(banded, lambda nodes: classes.select("node", "shingles").join(nodes, "node", "left_semi"), percent)
     placed = stage(
-        paragraphs.select(*KEY, "first", "last", "start", "end", "hi", "lo")
-        .join(
+        places.join(
             classes.select("hi", "lo", "node")
             .join(labels, "node", "left")
             .select("hi", "lo", F.coalesce("component", "node").alias("component")),
             ["hi", "lo"],
-        )
-        .drop("hi", "lo"),
+        ).drop("hi", "lo"),
         "placed",
     )
+    drop(places, banded, classes)
     own = Window.partitionBy("component", *KEY).orderBy("start", F.desc("end"))
     before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     merged = stage(
@@ -407,6 +437,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
         .withColumn("head", F.max("head").over(own)),
         "merged",
     )
+    drop(placed)
     at = F.struct(*KEY, "head")
     kept = stage(
         merged.groupBy("component")

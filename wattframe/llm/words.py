@@ -166,9 +166,12 @@ def grams(words: Words, n: int, whole: bool = False) -> tuple[np.ndarray, np.nda
 
 def sets_of(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct hashes in order, and their bounds."""
-    parts = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    return (np.concatenate(parts) if parts else hashes[:0]), np.concatenate(([0], np.cumsum(sizes)))
+    hashes = hashes[: bounds[-1]].copy()
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        hashes[a:b].sort()
+    own = np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)]
+    own[bounds[:-1][np.diff(bounds) > 0]] = True
+    return hashes[own], np.concatenate(([0], np.cumsum(own)))[bounds]
 
 
 def reduce_by_text(reducer: np.ufunc, values: np.ndarray, bounds: np.ndarray, empty) -> np.ndarray:
